@@ -42,6 +42,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def if_small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df, marked for broadcast if its counted rows fit the session's broadcast threshold; call it on settled rows."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(df) if row_bytes * df.count() <= limit else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that no column of df bears, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -113,3 +119,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int = 17) -> DataFrame:
+    """At most `most` rows of each stratum, those whose key hashes lowest; the same ones at any partitioning.
+
+    A first count per stratum sets a bar on the hash, so that only about 2 * most rows of each are ranked.
+    Rows with a null key or stratum take no part.
+    """
+    draw, total, bar, place = fresh(df, "b_draw", "b_total", "b_bar", "b_place")
+    df = df.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
+    sizes = settled(df.groupBy(F.col(stratum).alias(total + "_s")).agg(F.count("*").alias(total)))
+    sizes = sizes.select(F.col(total + "_s"), ((2.0 * most + 100) / F.col(total)).alias(bar))
+    drawn = df.withColumn(draw, F.xxhash64(F.lit(seed), key) / F.lit(float(2**63)) * 0.5 + 0.5)
+    drawn = drawn.join(if_small(sizes), F.col(stratum) == F.col(total + "_s")).where(F.col(draw) <= F.col(bar))
+    drawn = drawn.withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key)))
+    return drawn.where(F.col(place) <= most).select(*df.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import fresh, settled
+from tokenloom.llm.common import fresh, if_small, settled
 
 MIN_SITES = 8
 MIRROR_SHARE = 0.5
@@ -71,11 +71,9 @@ def strip_lines(
     shuffled. Equal texts share one key, so a hot text costs one row of decisions.
     """
     bad = settled(spread_lines(docs, site, text, min_sites, band, lg_k))
-    bytes_of_bad = 16 * bad.count()
-    limit = docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     k, hits = fresh(docs, "k_text", "k_hits")
     pieces = docs.select(F.xxhash64(text).alias(k), F.explode(F.split(F.col(text), "\n")).alias("raw")).select(k, line_hash(F.col("raw")).alias("line"))
-    found = pieces.join(F.broadcast(bad) if bytes_of_bad <= limit else bad, "line", "left_semi")
+    found = pieces.join(if_small(bad, 16), "line", "left_semi")
     found = found.groupBy(k).agg(F.collect_set("line").alias(hits))
     joined = docs.withColumn(k, F.xxhash64(text)).join(found, k, "left")
 

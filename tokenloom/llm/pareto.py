@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenloom.llm.common import fresh, settled
+from tokenloom.llm.common import fresh, if_small, settled
 
 SEED = "mix-1"
 #: Rows drawn in all, as a share of the rows read.
@@ -75,7 +75,7 @@ def draw(
 
     def judged(plan: DataFrame) -> DataFrame:
         """Documents with expected copies e, the value q that orders their remainder, and its bucket."""
-        named = plan.withColumnRenamed(src, "m_join")
+        named = if_small(plan.withColumnRenamed(src, "m_join"))
         at = sized.join(named, sized[src].eqNullSafe(named["m_join"])).drop("m_join").where(F.col(x) > 0)
         at = at.withColumn(e, F.col("m_rate") * F.col(x).cast("double"))
         p = F.col(e) - F.floor(e).cast("double")
@@ -91,11 +91,11 @@ def draw(
     at_cut = left.where((F.col("upto") - F.col("c") < F.col("rest")) & ((F.col("upto") >= F.col("rest")) | (F.col(b) == F.col("most"))))
     cuts = settled(at_cut.select(F.col(src).alias("c_source"), F.col(b).alias(cut_b), (F.col("rest") - F.col("upto") + F.col("c")).alias(before)))
 
-    close = narrow.join(cuts, F.col(src).eqNullSafe(F.col("c_source")) & (F.col(b) == F.col(cut_b)))
+    close = narrow.join(if_small(cuts), F.col(src).eqNullSafe(F.col("c_source")) & (F.col(b) == F.col(cut_b)))
     ranked = close.withColumn("place", F.row_number().over(Window.partitionBy(src).orderBy(q)))
     last = ranked.where(F.col("place") <= F.col(before)).groupBy("c_source").agg(F.max(q).alias(cut_q))
-    with_cut = plan.join(settled(last), F.col(src).eqNullSafe(F.col("c_source")), "left").drop("c_source")
-    final = judged(with_cut)
+    with_cut = plan.join(last, F.col(src).eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    final = judged(settled(with_cut))
     taken = F.floor(e).cast("int") + F.when(F.col(q) <= F.col(cut_q), 1).otherwise(0)
     return final.select(*[F.col(c) for c in docs.columns], taken.alias(copies)).where(F.col(copies) > 0)
 
