@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -135,3 +136,18 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int =
     drawn = drawn.join(if_small(sizes), F.col(stratum) == F.col(total + "_s")).where(F.col(draw) <= F.col(bar))
     drawn = drawn.withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key)))
     return drawn.where(F.col(place) <= most).select(*df.columns)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared checkpoint folder and read again, and the table's path."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a stored table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
