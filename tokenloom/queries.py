@@ -180,9 +180,13 @@ _named(
 _named("ascii_lower", _over("documents", "doc_id", "text", "text", lower_ascii, "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
 
 
-@query("SELECT o_orderkey, '<K:o_orderkey> <SEP> ' || o_orderkey::VARCHAR || ' <EOL> <K:o_orderstatus> <SEP> ' || o_orderstatus || ' <EOL>' AS out FROM orders WHERE o_orderkey < 100000")
+#: A key of orders as the typed rules leave it.
+_KEY_SQL = "CASE WHEN length(o_orderkey::VARCHAR) < 6 THEN o_orderkey::VARCHAR ELSE '<NUM_POW10_' || (length(o_orderkey::VARCHAR) - 1)::VARCHAR || '>' END"
+
+
+@query(f"SELECT o_orderkey, '<K:o_orderkey> <SEP> ' || {_KEY_SQL} || ' <EOL> <K:o_orderstatus> <SEP> ' || o_orderstatus || ' <EOL>' AS out FROM orders")
 def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 100000").select("o_orderkey", "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return rows.select("o_orderkey", Contract().applied_to_rows(rows).alias("out"))
 
 
@@ -302,13 +306,13 @@ def url_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, '<METHOD> GET <URL> / item / ' || o_orderkey::VARCHAR || ' <QK> p <QVAL> <STR> <PROT> HTTP/1.1 <EOL> <HDR> host <SEP> shop.org <EOL> "
-    "<HDR> authorization <SEP> <AUTH_BEARER> <HASH_32> <EOL> <BODY> <FORM> <QK> a <QVAL> <NUM> <QK> b <QVAL> <STR>' AS out FROM orders WHERE o_orderkey < 100000"
+    f"SELECT o_orderkey, '<METHOD> GET <URL> / item / ' || {_KEY_SQL} || ' <QK> p <QVAL> <STR> <PROT> HTTP/1.1 <EOL> <HDR> host <SEP> shop.org <EOL> "
+    "<HDR> authorization <SEP> <AUTH_BEARER> <HASH_32> <EOL> <BODY> <FORM> <QK> a <QVAL> <NUM> <QK> b <QVAL> <STR>' AS out FROM orders"
 )
 def http_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("GET https://shop.org/item/"), key, F.lit("?p=x HTTP/1.1\r\nHost: shop.org\r\nAuthorization: Bearer "), F.md5(key.cast("binary")), F.lit("\r\n\r\na=1&b=two"))
-    return table(spark, sf_dir, "orders").where("o_orderkey < 100000").select("o_orderkey", httpstruct.structured(text).alias("out"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", httpstruct.structured(text).alias("out"))
 
 
 @query(
