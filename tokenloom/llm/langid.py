@@ -6,7 +6,8 @@ sign apart: its weights are log ratios of smoothed trigram shares, each language
 is the mean weight over the text, scaled so that held-out texts have a typical margin of 1. Decoding is loss-weighted:
 a language's distance is the sum over bits of exp(-3 sign output), weighted by the bit's held-out accuracy. The
 nearest codeword wins. The margin is (second - best) / (second + best); a document is ambiguous if it lies below the
-bar, which is the AMBIGUOUS_SHARE quantile of held-out margins (their lowest thousandths are mixtures and scraps).
+bar, which is the AMBIGUOUS_SHARE quantile of held-out margins (their lowest thousandths are mixtures and scraps), but
+at most MOST_BAR: a text whose second language is over twice as far as its first is never ambiguous.
 
 The classifiers are fitted on at most PER_LANGUAGE labelled documents of each language; every document is then read
 whole and decoded in one pass without a shuffle.
@@ -33,6 +34,7 @@ from tokenloom.llm.common import bounded_sample, field_type, map_arrow
 PER_LANGUAGE = 600
 DIM = 8192
 AMBIGUOUS_SHARE = 0.002
+MOST_BAR = 1 / 3
 #: At up to this many languages all two-way splits are used as bits, beyond it random ones.
 EXHAUSTIVE = 5
 
@@ -128,7 +130,7 @@ def fit(texts: list[str], labels: list[str], held: list[bool]) -> Model | None:
     right = (np.sign(out) == code[truth]).mean(axis=0)
     model = Model(languages, code, weights / scale, right / right.sum(), 0.0)
     _, margin = model.decode(out / scale)
-    return Model(languages, code, model.weights, model.trust, float(np.quantile(margin, AMBIGUOUS_SHARE)))
+    return Model(languages, code, model.weights, model.trust, min(MOST_BAR, float(np.quantile(margin, AMBIGUOUS_SHARE))))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
