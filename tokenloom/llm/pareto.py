@@ -56,7 +56,7 @@ def draw(
     judged where they lie.
     """
     src, x, e, n, q, b = fresh(docs, "m_source", "m_size", "m_expected", "m_n", "m_order", "m_bucket")
-    cut_b, before, cut_q = fresh(docs, "m_cut_b", "m_before", "m_cut_q")
+    cut_b, before, cut_q, rate, peer = fresh(docs, "m_cut_b", "m_before", "m_cut_q", "m_rate", "m_join")
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "#"), F.coalesce(F.col(key).cast("string"), F.lit("")) ).cast("binary")), 1, 13), 16, 10)
     u = (digits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
@@ -71,13 +71,13 @@ def draw(
     stats = stats.withColumn("w", w)
     whole = stats.agg(F.sum("n_docs").cast("double").alias("all_docs"), F.sum("w").alias("all_w"))
     goal = F.floor(F.col("all_docs") * F.lit(float(total_share)) * F.col("w") / F.col("all_w") + 0.5).cast("bigint")
-    plan = settled(stats.crossJoin(F.broadcast(whole)).select(F.col(src), (goal.cast("double") / F.col("sum_x").cast("double")).alias("m_rate"), goal.alias(n)).where(F.col(n) > 0))
+    plan = settled(stats.crossJoin(F.broadcast(whole)).select(F.col(src), (goal.cast("double") / F.col("sum_x").cast("double")).alias(rate), goal.alias(n)).where(F.col(n) > 0))
 
     def judged(plan: DataFrame) -> DataFrame:
         """Documents with expected copies e, the value q that orders their remainder, and its bucket."""
-        named = if_small(plan.withColumnRenamed(src, "m_join"))
-        at = sized.join(named, sized[src].eqNullSafe(named["m_join"])).drop("m_join").where(F.col(x) > 0)
-        at = at.withColumn(e, F.col("m_rate") * F.col(x).cast("double"))
+        named = if_small(plan.withColumnRenamed(src, peer))
+        at = sized.join(named, sized[src].eqNullSafe(named[peer])).drop(peer).where(F.col(x) > 0)
+        at = at.withColumn(e, F.col(rate) * F.col(x).cast("double"))
         p = F.col(e) - F.floor(e).cast("double")
         at = at.withColumn(q, F.when(p > 0, _order(u, p)))
         return at.withColumn(b, F.floor(F.col(q) / (F.lit(1.0) + F.col(q)) * F.lit(float(BUCKETS))).cast("int"))
