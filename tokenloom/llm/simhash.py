@@ -93,10 +93,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_arrow(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")), run, schema)
 
 
-def _keys() -> Column:
-    """The entries of a row: for each block, its number and value, or one of the value's one-bit neighbours, in one int."""
+#: Block number of each slot, and the bit that it flips: one slot for a block's value and one for each neighbour.
+SLOTS = np.array([(k, flip) for k, n in enumerate(WIDTHS) for flip in (0, *(1 << j for j in range(n)))], np.int64)
+
+
+def _entry() -> Column:
+    """The entry of a row (slot, hi, lo): block number and value, with the slot's bit flipped, in one number."""
     high = lambda c, at, n: F.shiftrightunsigned(F.col(c), 64 - at - n).bitwiseAND(F.lit(2**n - 1))
-    out, at = [], 0
+    out, at, first = None, 0, 0
     for k, n in enumerate(WIDTHS):
         if at + n <= 64:
             value = high("hi", at, n)
@@ -104,10 +108,16 @@ def _keys() -> Column:
             value = high("lo", at - 64, n)
         else:
             value = F.shiftleft(high("hi", at, 64 - at), at + n - 64).bitwiseOR(high("lo", 0, at + n - 64))
-        entry = value.cast("int").bitwiseOR(F.lit(k << VALUE_BITS))
-        out += [entry, *(entry.bitwiseXOR(F.lit(1 << j)) for j in range(n))]
-        at += n
-    return F.array(*out)
+        flip = F.when(F.col("slot") == first, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1), (F.col("slot") - (first + 1)).cast("int"))).cast("bigint")
+        entry = value.bitwiseXOR(flip).bitwiseOR(F.lit(k << VALUE_BITS))
+        at, first = at + n, first + n + 1
+        out = F.when(F.col("slot") < first, entry) if out is None else out.when(F.col("slot") < first, entry)
+    return out
+
+
+def _entries(slot: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    k, flip = SLOTS[slot].T
+    return (k << VALUE_BITS) | (_block_values(hi, lo)[np.arange(len(hi)), k] ^ flip)
 
 
 def _block_values(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -185,13 +195,16 @@ def _grouped(prints: DataFrame, radius: int) -> DataFrame:
     named = prints.where("id IS NOT NULL AND hi IS NOT NULL")
     heads = settled(named.withColumn("head", F.min("id").over(Window.partitionBy("hi", "lo"))))
     rows = heads.where("id = head").select("id", "hi", "lo").distinct()
-    spread = rows.select(F.explode(_keys()).alias("key"), "id", "hi", "lo").repartition("key")
+    # entries are worked out on either side of the shuffle rather than sent
+    slots = F.sequence(F.lit(0), F.lit(len(SLOTS) - 1))
+    spread = rows.select(F.explode(slots).alias("slot"), "id", "hi", "lo").select(F.col("slot").cast("short"), "id", "hi", "lo").repartition(_entry())
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in batch.columns] for batch in batches]
         if got:
-            a, b = near_pairs(*(np.concatenate(c) for c in zip(*got)), radius)
+            slot, ids, hi, lo = (np.concatenate(c) for c in zip(*got))
+            a, b = near_pairs(_entries(slot, hi, lo), ids, hi, lo, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     edges = spread.mapInArrow(search, schema).unionByName(heads.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
