@@ -2,8 +2,9 @@
 
 Trusted positives are documents labelled quality 1; everything else in the corpus is unlabelled, labels 0 are not
 used. Each document becomes FEATURES dense numbers, computed once and kept in the checkpoint folder. A first
-classifier tells positives from unlabelled documents; from its scores over the whole corpus the class prior is
-estimated as the least ratio of the unlabelled to the positive tail. A network with one hidden layer then minimises
+classifier, fitted without a hashed half of the positives, tells positives from unlabelled documents; from its scores
+over the whole corpus the class prior is estimated as the least ratio of the unlabelled tail to that of the positives left
+out (those it was fitted on score too high and would make the prior too low). A network with one hidden layer then minimises
 the non-negative unbiased risk
 
     prior * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - prior * E_P[loss(g, -)])
@@ -177,7 +178,7 @@ def prior_of(scores: DataFrame) -> float:
         return 1.0
     tail = (p / p[-1] >= LEAST_TAIL) & (p > 0)
     # the upper end of each ratio's error keeps a chance dip from deciding
-    ratio = (u / u[-1]) / (p / p[-1]) * (1 + 1 / np.sqrt(np.maximum(p, 1)))
+    ratio = (u / u[-1]) / np.maximum(p / p[-1], 1e-9) * (1 + 1 / np.sqrt(np.maximum(p, 1)))
     return float(np.clip(ratio[tail].min(), 0.05, 0.99))
 
 
@@ -189,12 +190,17 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ids = usable.select(key).join(trusted, F.col(key) == F.col("t_id"), "left_semi").distinct().withColumn("s", F.lit(1))
     chosen = settled(bounded_sample(ids, key, "s", positives).select(F.col(key).alias("c_id")))
     fetch = lambda rows: np.array([r.x for r in rows.orderBy(key).select("x").collect()], np.float64)
-    pos = fetch(usable.join(F.broadcast(chosen), F.col(key) == F.col("c_id"), "left_semi").dropDuplicates([key]))
+    picked = usable.join(F.broadcast(chosen), F.col(key) == F.col("c_id"), "left_semi").dropDuplicates([key])
+    pos = fetch(picked)
     if not len(pos):
         return feats.select(F.col(key), F.when(F.col("x").isNotNull(), 0.5).otherwise(0.0).alias("score"), F.col("x").isNotNull().alias("keep"))
     unl = fetch(bounded_sample(usable.withColumn("s", F.lit(1)), key, "s", unlabelled, seed=23))
-    first = _fit(pos, unl, None)
-    marked = usable.join(trusted.withColumn("trusted", F.lit(True)), F.col(key) == F.col("t_id"), "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    left_out = F.pmod(F.xxhash64(F.lit(9), F.col(key)), F.lit(2)) == 0
+    part = fetch(picked.where(~left_out))
+    if not 0 < len(part) < len(pos):
+        part, left_out = pos, F.lit(True)
+    first = _fit(part, unl, None)
+    marked = usable.join(trusted.withColumn("trusted", F.lit(True)), F.col(key) == F.col("t_id"), "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)) & left_out)
     prior = prior_of(_score(marked.select(key, "x", "trusted"), first, key, "score"))
     net = _fit(pos, unl, prior)
     scored = _score(feats, net, key, "score")
