@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site boilerplate lines out of the texts; keeps every document."""
-    return linededup.strip_lines(docs)
+    """Takes cross-site boilerplate lines out of all texts but proven mirrors; keeps every document, if with empty text."""
+    return linededup.strip_lines(docs, mirror_share=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

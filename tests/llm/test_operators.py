@@ -355,6 +355,24 @@ def test_line_dedup_equals_brute_force(spark, lg_k):
     assert got.where("n_chars <> length(text)").count() == 0
 
 
+def test_line_dedup_spares_proven_mirrors_only(spark):
+    """Short pages made of boilerplate lose it; a page that stands whole on enough sites keeps its lines."""
+    rows = [(k, f"Shared footer\nown {k}", "en", f"s{k}") for k in range(6)] + [(10 + k, "A mirrored page\nof two lines", "en", f"s{k}") for k in range(6)]
+    rows += [(20, "SHARED footer", "en", "s1"), (21, "Shared footer \nx", "en", "s2"), (22, "A mirrored page\nof two lines\nand more", "en", None), (23, None, "en", "s1")]
+    got = {r.doc_id: (r.text, r.n_chars, r.gone) for r in linededup.strip_lines(table_of(spark, rows), min_sites=6, mirror_share=None, removed="gone").collect()}
+    for k in range(6):
+        assert got[k] == (f"own {k}", 5, 1) and got[10 + k] == ("A mirrored page\nof two lines", 28, 0)
+    assert [got[k] for k in range(20, 24)] == [("", 0, 1), ("x", 1, 1), ("and more", 8, 2), (None, None, 0)]
+
+
+def test_pipeline_strips_pages_made_of_boilerplate(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"The shared footer of all sites\npage {k}", "en", f"s{k}") for k in range(9)]
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, table_of(spark, rows), "")
+    assert sorted(r.text for r in got.collect()) == [f"page {k}" for k in range(9)]
+
+
 # 9
 
 

@@ -5,9 +5,11 @@ are never removed. Each line's sites are gathered in a HyperLogLog sketch per li
 merges before and after the shuffle. The estimate decides far from the threshold; a line whose estimate lies within
 `band` of it gets an exact count of distinct sites. A line on at least `min_sites` sites is boilerplate.
 
-A document loses its boilerplate lines, in every copy. One that holds at least `mirror_share` of its
-characters in such lines is a mirrored copy rather than a page with boilerplate: it stays whole, for
-near-dedup to judge, so no text is ever emptied.
+A document loses its boilerplate lines, in every copy. With `mirror_share`, one that holds at least that share of its
+characters in such lines stays whole, whether it is a copy or not, so no text is ever emptied. With `mirror_share=None`
+only a proven mirror stays whole, for near-dedup to judge: a text that stands unchanged on at least `min_sites` sites, so
+that the copies alone make boilerplate of all its lines. Every other document loses its lines whatever their share, and
+one that has no other line is left with empty text.
 
 Defined cases: null text stays null; empty text stays empty; a null site counts for nothing; a line
 repeated within a document or a repeated row counts its site once, and all its occurrences go; a null id is
@@ -55,12 +57,18 @@ def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
+def mirrored_texts(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
+    """Hashes (mirror) of the texts that stand whole on at least min_sites sites."""
+    at = docs.where(F.col(site).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("mirror"), F.col(site).cast("string").alias("site"))
+    return at.groupBy("mirror").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("mirror")
+
+
 def strip_lines(
     docs: DataFrame,
     site: str = "source",
     text: str = "text",
     min_sites: int = MIN_SITES,
-    mirror_share: float = MIRROR_SHARE,
+    mirror_share: float | None = MIRROR_SHARE,
     band: float = BAND,
     lg_k: int = LG_K,
     removed: str | None = None,
@@ -75,6 +83,8 @@ def strip_lines(
     pieces = docs.select(F.xxhash64(text).alias(k), F.explode(F.split(F.col(text), "\n")).alias("raw")).select(k, line_hash(F.col("raw")).alias("line"))
     found = pieces.join(if_small(bad, 16), "line", "left_semi")
     found = found.groupBy(k).agg(F.collect_set("line").alias(hits))
+    if mirror_share is None:
+        found = found.join(mirrored_texts(docs, site, text, min_sites).withColumnRenamed("mirror", k), k, "left_anti")
     joined = docs.withColumn(k, F.xxhash64(text)).join(found, k, "left")
 
     lines = F.split(F.col(text), "\n")
@@ -82,7 +92,9 @@ def strip_lines(
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
     gone, out_lines = fresh(joined, "k_gone", "k_lines")
     joined = joined.withColumn(out_lines, F.when(F.col(hits).isNotNull(), lines)).withColumn(gone, F.filter(F.col(out_lines), is_bad))
-    strips = F.col(hits).isNotNull() & (chars(F.col(gone)) < F.lit(float(mirror_share)) * chars(F.col(out_lines)))
+    strips = F.col(hits).isNotNull()
+    if mirror_share is not None:
+        strips = strips & (chars(F.col(gone)) < F.lit(float(mirror_share)) * chars(F.col(out_lines)))
     flag, shorter = fresh(joined, "k_flag", "k_short")
     joined = joined.withColumn(flag, F.coalesce(strips, F.lit(False)))
     joined = joined.withColumn(shorter, F.when(F.col(flag), F.array_join(F.filter(F.col(out_lines), lambda x: ~is_bad(x)), "\n")))
@@ -111,3 +123,17 @@ def oracle(min_sites: int = MIN_SITES, mirror_share: float = MIRROR_SHARE) -> st
     SELECT documents.doc_id, CASE WHEN n_bad > 0 AND c_bad < {mirror_share} * c_all THEN rest ELSE text END AS text,
            CASE WHEN n_bad > 0 AND c_bad < {mirror_share} * c_all THEN n_bad ELSE 0 END::INTEGER AS removed_lines
     FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
+
+
+def oracle_proven(min_sites: int = MIN_SITES) -> str:
+    """SQL of strip_lines with mirror_share=None."""
+    key = r"lower(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))"
+    return f"""
+    WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    k AS (SELECT *, {key} AS key FROM l),
+    bad AS (SELECT key FROM k WHERE key <> '' AND source IS NOT NULL GROUP BY key HAVING count(DISTINCT source) >= {min_sites}),
+    mirror AS (SELECT text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) >= {min_sites}),
+    f AS (SELECT k.*, bad.key IS NOT NULL AND k.text NOT IN (SELECT text FROM mirror) AS is_bad FROM k LEFT JOIN bad ON k.key = bad.key),
+    d AS (SELECT doc_id, count(*) FILTER (is_bad) AS n_bad, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_bad) AS rest FROM f GROUP BY doc_id)
+    SELECT documents.doc_id, CASE WHEN n_bad > 0 THEN coalesce(rest, '') ELSE text END AS text, coalesce(n_bad, 0)::INTEGER AS removed_lines
+    FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""

@@ -44,6 +44,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.strip_lines(table(spark, sf_dir, "documents"), removed="removed_lines").select("doc_id", "text", "removed_lines")
 
 
+def op8_line_dedup_proven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline does it: only proven mirrors keep boilerplate lines."""
+    docs = table(spark, sf_dir, "documents")
+    return linededup.strip_lines(docs, mirror_share=None, removed="removed_lines").select("doc_id", "text", "removed_lines")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_language,
         op7_embeddings,
         op8_line_dedup,
+        op8_line_dedup_proven,
         op9_bpe,
         op10_mixing,
     )
@@ -73,5 +80,6 @@ ORACLES: dict[str, str] = {
     "op4_sharding": shardtree.oracle(),
     "op7_embeddings": lsh.oracle(),
     "op8_line_dedup": linededup.oracle(),
+    "op8_line_dedup_proven": linededup.oracle_proven(),
     "op10_mixing": pareto.oracle(),
 }
