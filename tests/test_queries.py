@@ -1,9 +1,13 @@
 """Every query of the engine against its SQL, over whole tables; those without SQL against brute force."""
 
+import math
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as contract
 from tokenloom.operators import baselines
+from tokenloom.operators.mining import SPECIALS
 from tokenloom.queries import ORACLES, QUERIES
 
 
@@ -43,3 +47,50 @@ def test_bpe_merges_are_the_most_frequent_pairs(spark):
     _, merges = baselines.bpe(counts, 100, 2)
     # ab: 3 * 2 + 2 = 8, then abab: 3; abc: 2
     assert [tuple(m) for m in merges] == [("a", "b"), ("ab", "ab"), ("ab", "c")]
+
+
+def test_unigram_query_trains_on_all_documents_without_own_bounds(spark, sf_dir, duck, monkeypatch):
+    given = {}
+    monkeypatch.setattr(baselines, "unigram", lambda counts, size, **bounds: given.update(bounds, counts=counts) or {"[UNK]": 0.0})
+    contract.queries()["unigram_vocab"](spark, sf_dir)
+    want = duck.sql(ORACLES["ws_pretokenize_counts"]).fetchall()
+    assert sorted(map(tuple, given.pop("counts").collect())) == sorted(want) and not given
+
+
+def segmentations(word):
+    return [[word]] + [[word[:k], *rest] for k in range(1, len(word)) for rest in segmentations(word[k:])] if word else [[]]
+
+
+def plain_unigram(counted, size, shrink=0.75):
+    """EM over written-out segmentations; the pruning as the operator describes it."""
+    subs = Counter()
+    for w, n in counted:
+        for s in range(len(w)):
+            for e in range(s + 1, len(w) + 1):
+                subs[w[s:e]] += n
+    weight = {t: float(n) for t, n in subs.items() if len(t) == 1 or n > 1}
+    chars = [t for t in weight if len(t) == 1]
+    room = size - len(SPECIALS) - len(chars)
+    while True:
+        for _ in range(2):
+            total, sums = sum(weight.values()), Counter()
+            for w, n in counted:
+                odds = [(math.prod(weight[p] / total for p in pieces), pieces) for pieces in segmentations(w) if all(p in weight for p in pieces)]
+                whole = sum(p for p, _ in odds)
+                for p, pieces in odds:
+                    for piece in pieces:
+                        sums[piece] += n * p / whole
+            weight = {t: x for t, x in sums.items() if x >= 0.5 or t in chars} | {c: sums.get(c, 1e-3) for c in chars}
+        kept = sorted((t for t in weight if t not in chars), key=lambda t: (-weight[t] * (len(t) - 1 or 1), t))
+        if len(kept) <= room:
+            return {t: math.log(x / sum(weight.values())) for t, x in weight.items()}
+        weight = {t: weight[t] for t in [*kept[: max(room, int(len(kept) * shrink))], *chars]}
+
+
+def test_unigram_equals_a_plain_em(spark):
+    counted = [("walking", 9), ("walked", 7), ("talking", 5), ("talked", 3), ("king", 4), ("talkative", 2), ("a", 6), ("été", 3)]
+    got = baselines.unigram(spark.createDataFrame(counted, "word string, n bigint"), 45)
+    want = plain_unigram(counted, 45)
+    assert [got.pop(s) for s in SPECIALS] == [0.0] * len(SPECIALS)
+    assert set(got) == set(want) and any(len(t) > 6 for t in got)
+    assert all(abs(got[t] - want[t]) < 1e-6 for t in want)

@@ -610,7 +610,7 @@ def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def unigram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logp = baselines.unigram(baselines.word_counts(table(spark, sf_dir, "conversations")), 400, longest=6, seeds=2000)
+    logp = baselines.unigram(baselines.word_counts(table(spark, sf_dir, "documents")), 400)
     return spark.createDataFrame(list(logp.items()), "token string, logp double")
 
 
