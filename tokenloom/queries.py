@@ -216,11 +216,11 @@ def _kind_sql(t: str) -> str:
     )
 
 
-def _noise_sql(result: str) -> str:
+def _noise_sql(result: str, x: str = _NOISY_SQL) -> str:
     total = "list_sum(list_transform(w, lambda t: length(t)))"
     part = lambda k: f"coalesce(list_sum(list_transform(w, lambda t: CASE WHEN {_kind_sql('t')} = '{k}' THEN length(t) ELSE 0 END)), 0)"
     return (
-        f"WITH s AS (SELECT doc_id, {_NOISY_SQL} AS x FROM documents), t AS (SELECT doc_id, x, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM s), "
+        f"WITH s AS (SELECT doc_id, {x} AS x FROM documents), t AS (SELECT doc_id, x, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM s), "
         rf"u AS (SELECT *, regexp_split_to_array(s, '\s+') AS w FROM t), v AS (SELECT *, {_kind_sql('s')} AS whole, {total} AS n, {part('<HASH>')} AS a, {part('<HEX>')} AS b, {part('<B64>')} AS c FROM u), "
         "k AS (SELECT *, CASE WHEN s = '' THEN NULL WHEN whole IS NOT NULL THEN whole WHEN len(w) > 1 AND n >= 32 AND a + b + c > 0 AND (a + b + c) / n >= 0.85 "
         "THEN CASE WHEN a >= b AND a >= c THEN '<HASH>' WHEN b >= c THEN '<HEX>' ELSE '<B64>' END END AS kind FROM v) "
@@ -238,6 +238,17 @@ def noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", noise.cleaned(F.expr(_NOISY)).alias("out"))
 
 
+@query(_noise_sql("kind", "text"))
+def noise_classify_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document, where noise_classify puts made-up strings in place of five in six."""
+    return table(spark, sf_dir, "documents").select("doc_id", noise.classify(F.col("text")).alias("kind"))
+
+
+@query(_noise_sql("coalesce(kind, x) AS out", "text"))
+def noise_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", noise.cleaned(F.col("text")).alias("out"))
+
+
 @query(r"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[^\t\n\r -~]')) AS odd FROM documents GROUP BY lang")
 def unprintable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(noise.unprintable(F.col("text"))).alias("odd"))
