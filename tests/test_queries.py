@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL, over whole tables; those without SQL against brute force."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -103,3 +104,12 @@ def test_noise_is_looked_for_in_every_text(spark, tmp_path):
     assert [kinds[k] for k in range(6)] == ["<HASH>", None, "<HEX>", None, None, "<B64>"]
     outs = {r.doc_id: r.out for r in contract.queries()["noise_clean_texts"](spark, str(tmp_path)).collect()}
     assert [outs[k] for k in range(6)] == [kinds[k] or t for k, t in enumerate(texts)]
+
+
+def test_merging_many_words_in_rounds_equals_the_loop(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {"".join(rng.choice("aabcé#") for _ in range(rng.randint(1, 7))) for _ in range(60)} | {"aaaaaaaa", "\U0001f600b"}
+    counts = spark.createDataFrame([(w, rng.randint(1, 9)) for w in sorted(words)], "word string, n bigint").coalesce(1).cache()
+    want = baselines.bpe(counts, 50, 2), baselines.wordpiece(counts, 40, 2)
+    monkeypatch.setattr(baselines, "MOST_WORDS", 5)
+    assert (baselines.bpe(counts, 50, 2), baselines.wordpiece(counts, 40, 2)) == want

@@ -1,8 +1,9 @@
 """Subword baselines: BPE, WordPiece and Unigram vocabularies over word counts.
 
-Counting words is the part that grows with the data, and it is a distributed aggregation. Merging runs on the driver over
-distinct words; more than MOST_WORDS of them is refused with advice rather than cut silently. The Unigram E-step is
-distributed over the words.
+Counting words is the part that grows with the data, and it is a distributed aggregation. Up to MOST_WORDS distinct words
+merge on the driver. More of them stay distributed: each round counts pairs in Spark, takes as many merges as are sure to
+follow one another, and stores the merged words; the result is the same, at a job a round. The Unigram E-step is distributed
+over the words.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ def pair_counts(counts: DataFrame) -> DataFrame:
     return cut.groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _collected(counts: DataFrame) -> list[tuple[str, int]]:
+def _merged(counts: DataFrame, size: int, min_freq: int, prefix: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
     rows = counts.limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} distinct words; drop the rare ones first")
-    return sorted((r.word, r.n) for r in rows)
+        del rows
+        return _merge_rounds(counts, size, min_freq, prefix)
+    return _merge_loop(sorted((r.word, r.n) for r in rows), size, min_freq, prefix)
 
 
 def _merge_loop(counted: list[tuple[str, int]], size: int, min_freq: int, prefix: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
@@ -102,14 +104,98 @@ def _merge_loop(counted: list[tuple[str, int]], size: int, min_freq: int, prefix
     return vocab, merges
 
 
+def _sure_merges(ranked: list[tuple[int, int, int]], names: dict[int, str], vocab: dict[str, int], size: int, prefix: str) -> list[tuple[int, int, int]]:
+    """The merges (left, right, new) that come first whatever the others do to the counts; adds their tokens to vocab.
+
+    ranked: (n, left, right), most frequent first, ties by lower ids. Pairs without a common symbol leave each other's counts
+    alone, and a pair that a merge makes is at most as frequent as one that shares a symbol with it. So the run before the
+    first pair that shares a symbol is sure, but for pairs as frequent as that one. A token that was there already may
+    add to other pairs, and a doubled one may pair with itself again, so these end the run.
+    """
+    stop, touched = len(ranked), set()
+    for k, (_, left, right) in enumerate(ranked):
+        if touched & {left, right}:
+            stop = k
+            break
+        touched |= {left, right}
+    bar = ranked[stop][0] if stop < len(ranked) else ranked[-1][0]
+    out = []
+    for k, (n, left, right) in enumerate(ranked[:stop]):
+        if k and n <= bar or len(vocab) >= size:
+            break
+        a, b = names[left], names[right]
+        token = a + b[len(prefix) :] if prefix and b.startswith(prefix) else a + b
+        known = token in vocab
+        new = vocab.setdefault(token, len(vocab))
+        names[new] = token
+        out.append((left, right, new))
+        if known or left == right:
+            break
+    return out
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows in the folder of spark.checkpoint.dir, or in the warehouse of a local session; lineage cut."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahead: int = 500) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """_merge_loop over words that stay distributed."""
+    vocab = {t: i for i, t in enumerate(SPECIALS)}
+    at = counts.select("word", F.posexplode(F.regexp_extract_all("word", F.lit(r"(?s)."), F.lit(0))).alias("k", "ch"))
+    first = at.groupBy("ch", (F.col("k") > 0).alias("inner")).agg(F.min(F.struct("word", "k")).alias("at")).collect()  # two rows a character
+    for ch in sorted({r.ch for r in first}):
+        vocab.setdefault(ch, len(vocab))
+    for r in sorted((r for r in first if r.inner), key=lambda r: (r["at"].word, r["at"].k)):
+        vocab.setdefault(prefix + r.ch, len(vocab))
+    start = dict(vocab)
+
+    def split(words: pa.Array) -> pa.Array:
+        return pa.array([[start[prefix + ch if k else ch] for k, ch in enumerate(w)] for w in words.to_pylist()], pa.list_(pa.int32()))
+
+    names, merges = {i: t for t, i in vocab.items()}, []
+    seqs = _settled(counts.select(F.arrow_udf(split, "array<int>")("word").alias("seq"), "n").where(F.size("seq") > 1))
+    while len(vocab) < size:
+        pairs = seqs.select("n", F.explode(F.arrays_zip(F.slice("seq", F.lit(1), F.size("seq") - 1).alias("a"), F.slice("seq", F.lit(2), F.size("seq") - 1).alias("b"))).alias("p"))
+        total = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, min_freq))
+        ranked = [(r.n, r.a, r.b) for r in total.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()]
+        if not ranked:
+            break
+        sure = _sure_merges(ranked, names, vocab, size, prefix)
+        merges += [(names[a], names[b]) for a, b, _ in sure]
+        seqs = _settled(seqs.select(F.arrow_udf(_merger({(a, b): new for a, b, new in sure}), "array<int>")("seq").alias("seq"), "n").where(F.size("seq") > 1))
+    return vocab, merges
+
+
+def _merger(news: dict[tuple[int, int], int]):
+    def merge(seqs: pa.Array) -> pa.Array:
+        out = []
+        for seq in seqs.to_pylist():
+            done, i = [], 0
+            while i < len(seq):
+                new = news.get((seq[i], seq[i + 1])) if i + 1 < len(seq) else None
+                done.append(seq[i] if new is None else new)
+                i += 1 if new is None else 2
+            out.append(done)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return merge
+
+
 def bpe(counts: DataFrame, size: int, min_freq: int = 10) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Vocabulary and ordered merges: the most frequent adjacent pair merges first, ties by lower ids."""
-    return _merge_loop(_collected(counts), size, min_freq, "")
+    return _merged(counts, size, min_freq, "")
 
 
 def wordpiece(counts: DataFrame, size: int, min_freq: int = 10, prefix: str = "##") -> dict[str, int]:
     """Vocabulary of word beginnings and of pieces that continue a word, which bear the prefix."""
-    return _merge_loop(_collected(counts), size, min_freq, prefix)[0]
+    return _merged(counts, size, min_freq, prefix)[0]
 
 
 def bpe_encoder(vocab: dict[str, int], merges: list[tuple[str, str]], unk: str = "[UNK]"):
