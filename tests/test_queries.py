@@ -10,6 +10,7 @@ import __spark_entry__ as contract
 from tokenloom.operators import baselines
 from tokenloom.operators.mining import SPECIALS
 from tokenloom.queries import ORACLES, QUERIES
+from tokenloom.sources import scan
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -113,3 +114,12 @@ def test_merging_many_words_in_rounds_equals_the_loop(spark, monkeypatch):
     want = baselines.bpe(counts, 50, 2), baselines.wordpiece(counts, 40, 2)
     monkeypatch.setattr(baselines, "MOST_WORDS", 5)
     assert (baselines.bpe(counts, 50, 2), baselines.wordpiece(counts, 40, 2)) == want
+
+
+def test_a_stream_without_a_split_reads_all_of_them(spark, tmp_path):
+    for k, name in enumerate(("train", "test")):
+        spark.range(k * 10, k * 10 + 2).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    splits = {n: f"{tmp_path}/{n}" for n in ("train", "test")}
+    got = scan.load_dataset(spark, splits, streaming=True)
+    got.writeStream.format("memory").queryName("all_splits").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.id for r in spark.table("all_splits").collect()) == [0, 1, 10, 11]

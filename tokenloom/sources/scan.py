@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,7 +126,8 @@ def load_dataset(spark: SparkSession, splits: dict[str, str], split: str | None
     if not streaming:
         return spark.read.format(fmt).options(**options).load(paths)
     schema = spark.read.format(fmt).options(**options).load(paths).schema
-    return spark.readStream.format(fmt).options(**options).schema(schema).load(paths[0])
+    streams = [spark.readStream.format(fmt).options(**options).schema(schema).load(path) for path in paths]
+    return reduce(DataFrame.unionByName, streams)
 
 
 def dataset_texts(df: DataFrame, name: str, key: str | None = None, formatted: bool = True, most: int | None = None) -> DataFrame:
