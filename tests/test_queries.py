@@ -123,3 +123,13 @@ def test_a_stream_without_a_split_reads_all_of_them(spark, tmp_path):
     got = scan.load_dataset(spark, splits, streaming=True)
     got.writeStream.format("memory").queryName("all_splits").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r.id for r in spark.table("all_splits").collect()) == [0, 1, 10, 11]
+
+
+def test_vocabularies_have_the_default_size(spark, sf_dir, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(baselines, "bpe", lambda counts, size: sizes.append(size) or ({}, [("a", "b")]))
+    monkeypatch.setattr(baselines, "wordpiece", lambda counts, size: sizes.append(size) or {"a": 0})
+    monkeypatch.setattr(baselines, "unigram", lambda counts, size: sizes.append(size) or {"a": 0.0})
+    for name in ("bpe_merges", "wordpiece_vocab", "unigram_vocab"):
+        contract.queries()[name](spark, sf_dir)
+    assert sizes == [8192] * 3

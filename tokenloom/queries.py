@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import drift, httpstruct, hygiene, noise, records
 from tokenloom.functions.text import float_repr, lower_ascii
 from tokenloom.operators import baselines, induce, matcher, metrics, mining, validate
-from tokenloom.plans.config import Contract
+from tokenloom.plans.config import Contract, Trainer
 from tokenloom.sources import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,19 +609,19 @@ def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, merges = baselines.bpe(baselines.word_counts(table(spark, sf_dir, "documents")), 400)
+    _, merges = baselines.bpe(baselines.word_counts(table(spark, sf_dir, "documents")), Trainer().vocab_size)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left string, right string")
 
 
 @query()
 def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = baselines.wordpiece(baselines.word_counts(table(spark, sf_dir, "documents")), 400)
+    vocab = baselines.wordpiece(baselines.word_counts(table(spark, sf_dir, "documents")), Trainer().vocab_size)
     return spark.createDataFrame(list(vocab.items()), "token string, id int")
 
 
 @query()
 def unigram_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logp = baselines.unigram(baselines.word_counts(table(spark, sf_dir, "documents")), 400)
+    logp = baselines.unigram(baselines.word_counts(table(spark, sf_dir, "documents")), Trainer().vocab_size)
     return spark.createDataFrame(list(logp.items()), "token string, logp double")
 
 
