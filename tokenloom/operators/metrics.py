@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from tokenloom.functions.text import strip
 
 LABEL_NAMES = ("label", "labels", "target", "y", "class", "attack", "is_attack", "anomaly", "is_anomaly")
+#: Ids below it are characters after the shift by 256, before the surrogates.
+FEWEST_IDS = 0xD800 - 256
 _NO, _YES = ("0", "false", "benign", "normal", "ham"), ("1", "true", "malicious", "attack", "anomaly", "phish", "spam")
 
 
@@ -31,13 +33,23 @@ def label_value(c: Column) -> Column:
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two id arrays, ids below 55040: ids are mapped to characters and compared in the JVM."""
+    """Levenshtein distance of two id arrays: ids are mapped to characters and compared in the JVM.
+
+    Ids that are no characters by themselves are numbered by their place among the pair's distinct ids. A pair with more
+    than FEWEST_IDS distinct ids, some of them that large, is an error. A null array gives null.
+    """
 
     def chars(ids: Column) -> Column:
         hexed = F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i.cast("bigint") + 256), 4, "0")), "")
         return F.decode(F.unhex(hexed), "UTF-16BE")
 
-    return F.levenshtein(chars(a), chars(b))
+    distinct = F.array_distinct(F.concat(a, b))
+    numbered = lambda ids: F.transform(ids, lambda i: F.array_position(distinct, i))
+    plain = F.coalesce(F.array_min(distinct) >= 0, F.lit(True)) & (F.coalesce(F.array_max(distinct), F.lit(0)) < FEWEST_IDS)
+    apart = F.when(F.size(distinct) < FEWEST_IDS, F.levenshtein(chars(numbered(a)), chars(numbered(b)))).otherwise(
+        F.raise_error(F.lit("too many distinct ids in one pair")).cast("int")
+    )
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(plain, F.levenshtein(chars(a), chars(b))).otherwise(apart)
 
 
 def drift_report(df: DataFrame, base: str, changed: dict[str, str]) -> DataFrame:
@@ -73,21 +85,22 @@ def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     return with_rates.withColumn("f1", ratio(2 * p * r, p + r))
 
 
-def within_budget(df: DataFrame, length: str, budget: int, order: str, parts: int = 64) -> DataFrame:
+def within_budget(df: DataFrame, length: str, budget: int, order: str, range_rows: int = 200_000) -> DataFrame:
     """The first rows by `order` whose running sum of `length` stays within the budget.
 
-    Sums of `parts` ranges of the order come first, so the running sum inside each range runs in parallel.
+    The order is cut into ranges of some `range_rows` rows. Their sums come first, ranges that begin beyond the budget are
+    dropped, and the running sums of the others run in parallel.
     """
+    parts = min(10_000, -(-df.count() // range_rows)) if range_rows else 1
     edges = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + F.when(F.col(order) > e, 1).otherwise(0)
+    at = F.lit(sorted(set(edges))).cast("array<double>")
+    part = F.size(F.filter(at, lambda e: e < F.col(order))) if edges else F.lit(0)
     ranged = df.withColumn("_part", part)
     sums = ranged.groupBy("_part").agg(F.sum(length).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # at most `parts` rows
+    # at most 10 000 rows
     out = ranged.join(F.broadcast(starts), "_part").withColumn("running", F.col("_before") + F.sum(length).over(inside))
     return out.where(F.col("running") <= budget).drop("_part", "_before")
 
