@@ -1,16 +1,18 @@
 """Greedy longest-match encoding by a dictionary, and decoding.
 
 The dictionary becomes one regular expression, a trie of optional tails; leftmost matches of it are the longest ones.
-Encoding is then regexp_extract_all and a map lookup: it stays in the JVM and keeps whole-stage pipelines. The
-dictionary is bounded by the vocabulary size, so literal and map do not grow with the data.
+Encoding by a small dictionary is then regexp_extract_all and a map lookup in the JVM. A literal map is searched from its
+beginning, so larger dictionaries are looked up by distinct word in an Arrow function, with the same ids.
+The dictionary is bounded by the vocabulary size and does not grow with the data.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,54 +72,119 @@ def trie_tokens(text: Column, vocab: Mapping[str, int]) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{pattern}|[\\s\\S]" if pattern else r"[\s\S]"), F.lit(0))
 
 
+#: Up to so many tokens are looked up in a literal map in the JVM, whose price grows with the map; the ids are the same either way.
+MAPPED = 64
+
+
 def encoded(text: Column, vocab: Mapping[str, int], unk: str = "[UNK]") -> Column:
-    """Ids of a text. An unknown character becomes the id of `unk`, 1 if the vocabulary lacks it."""
-    ids: dict[str, int] = {}
-    for token, number in vocab.items():
-        ids[token] = min(number, ids.get(token, number))
+    """Ids of a text. An unknown character becomes the id of `unk`, 1 if the vocabulary lacks it; null gives null."""
+    if len(vocab) > MAPPED:
+        return encoded_arrow(vocab, unk)(text)
+    ids = _lowest(vocab)
     lookup = F.map_from_arrays(F.lit(list(ids)), F.lit(list(ids.values()))) if ids else F.create_map().cast("map<string,int>")
     unknown = F.lit(int(vocab.get(unk, 1)))
     return F.transform(trie_tokens(text, vocab), lambda t: F.coalesce(F.try_element_at(lookup, t), unknown))
 
 
-def encoded_arrow(vocab: Mapping[str, int], unk: str = "[UNK]"):
-    """The same as a vectorised function, faster where vocabularies reach tens of thousands."""
-    tokens = sorted((t for t in vocab if t), key=lambda t: (-len(t), t))
-    heads: dict[str, tuple[int, ...]] = {}
-    for t in tokens:
-        heads.setdefault(t[0], ())
-    sizes = {h: tuple(sorted({len(t) for t in tokens if t[0] == h}, reverse=True)) for h in heads}
-    unknown = int(vocab.get(unk, 1))
-    known = dict(vocab)
+def _lowest(vocab: Mapping[str, int]) -> dict[str, int]:
+    return {token: int(number) for token, number in vocab.items() if token}
+
+
+class WordEncoder:
+    """Greedy encoding word by word, each distinct word once.
+
+    A text is cut at the characters that no longer token holds, where greedy matches can't run across; a cut character is a
+    piece of its own. Words and their ids are remembered up to `kept` characters.
+    """
 
-    def one(text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        out, at, n = [], 0, len(text)
+    def __init__(self, vocab: Mapping[str, int], unk: str = "[UNK]", kept: int = 8_000_000) -> None:
+        self.ids, self.unknown, self.kept = _lowest(vocab), int(vocab.get(unk, 1)), kept
+        inside = {ch for token in self.ids if len(token) > 1 for ch in token}
+        cuts = [ch for ch in " \t\n\r,;.:!?()<>[]{}\"'=&/#%|-_" if ch not in inside]
+        self.pieces = re.compile(f"[^{re.escape(''.join(cuts))}]+|[{re.escape(''.join(cuts))}]").findall if cuts else lambda text: [text] if text else []
+        sizes: dict[str, set[int]] = {}
+        for token in self.ids:
+            sizes.setdefault(token[:2] if len(token) > 1 else token, set()).add(len(token))
+        self.sizes = {head: tuple(sorted(found, reverse=True)) for head, found in sizes.items()}
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.letters, self.used = 0, 0
+        self.flat = np.empty(1 << 16, np.int32)
+        self.starts: list[int] = []
+        self.counts: list[int] = []
+
+    def greedy(self, word: str) -> list[int]:
+        ids, sizes, out, at, n = self.ids, self.sizes, [], 0, len(word)
         while at < n:
-            for size in sizes.get(text[at], ()):
-                number = known.get(text[at : at + size]) if at + size <= n else None
-                if number is not None:
-                    out.append(number)
+            head = word[at : at + 2]
+            found = None
+            for size in sizes.get(head, ()) if len(head) > 1 else ():
+                found = ids.get(word[at : at + size])
+                if found is not None:
                     at += size
                     break
-            else:
-                out.append(unknown)
+            if found is None:
+                found = ids.get(word[at], self.unknown)
                 at += 1
+            out.append(found)
         return out
 
+    def learn(self, words: list[str]) -> None:
+        if self.letters > self.kept:
+            self.clear()
+        for word in dict.fromkeys(words):
+            if word in self.words:
+                continue
+            ids = self.greedy(word)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.words[word] = len(self.starts)
+            self.starts.append(self.used)
+            self.counts.append(len(ids))
+            self.used += len(ids)
+            self.letters += len(word)
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        split = [[] if t is None else self.pieces(t) for t in texts.to_pylist()]
+        flat = [w for ws in split for w in ws]
+        self.learn(flat)
+        at = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        counts, starts = np.array(self.counts, np.int64)[at], np.array(self.starts, np.int64)[at]
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)]
+        absent = texts.is_null().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32), pa.int32(), mask=np.append(absent, False)), pa.array(ids, pa.int32()))
+
+
+def encoded_arrow(vocab: Mapping[str, int], unk: str = "[UNK]"):
+    """The same as a vectorised function; its price a word does not depend on the size of the vocabulary."""
+    known = dict(vocab)
+
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        return pa.array([one(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = WordEncoder(known, unk)
+        for texts in batches:
+            parts = [encoder(texts.slice(start, 512)) for start in range(0, len(texts), 512)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
 
 
 def decoded(ids: Column, vocab: Mapping[str, int]) -> Column:
-    """Tokens of the ids end to end; an unknown id gives nothing."""
-    names = {number: token for token, number in vocab.items()}
-    lookup = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values())))
-    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(""))), "")
+    """Tokens of the ids end to end; an unknown id gives nothing. Dense ids are looked up by their place."""
+    names = {int(number): token for token, number in vocab.items()}
+    top = max(names, default=-1)
+    if top < 4 * len(names) and min(names, default=0) >= 0:
+        places = F.lit([names.get(i, "") for i in range(top + 1)]) if names else F.array(F.lit(""))
+        token = lambda i: F.when(i >= 0, F.get(places, i))
+    else:
+        lookup = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values())))
+        token = lambda i: F.try_element_at(lookup, i)
+    return F.array_join(F.transform(ids, lambda i: F.coalesce(token(i), F.lit(""))), "")
 
 
 def framed(a: Column, b: Column | None = None, cls_id: int = 2, sep_id: int = 3) -> Column:
