@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom.functions.noise import is_base64, unprintable
 from tokenloom.functions.text import BLANK, fields, lines, lower_ascii, strip
@@ -283,3 +284,21 @@ def structured(c: Column, marks: Marks = Marks(), min_digits: int = 6, max_len:
     out = F.get(F.transform(parts, lambda p: from_parts(p["method"], p["url"], p["proto"], p["headers"], p["body"], marks, min_digits, max_len)), F.lit(0))
     out = F.when(long, F.trim(F.concat(out, F.lit(" <TRUNC>")))).otherwise(out)
     return F.when(c.isNull(), "").when(bare.rlike(r"^<[^>]+>\z"), bare).otherwise(out)
+
+
+def is_request(df: DataFrame) -> bool:
+    """Whether df has a column that is a part of a request."""
+    return bool({c.lower() for c in df.columns} & {"method", "url", "protocol", "proto", "headers", "body"})
+
+
+def structured_row(df: DataFrame, marks: Marks = Marks(), min_digits: int = 6, max_len: int = 4096) -> Column:
+    """Token string of a request whose parts are columns: method, url, protocol or proto, headers (lines, or a map by name) and body."""
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+    headers = F.array().cast("array<string>")
+    if "headers" in df.columns:
+        if isinstance(df.schema["headers"].dataType, T.MapType):
+            headers = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), F.coalesce(e["value"].cast("string"), F.lit("None"))))
+        else:
+            headers = lines(part("headers"))
+    proto = part("protocol") if "protocol" in df.columns else part("proto")
+    return from_parts(part("method"), part("url"), proto, headers, part("body"), marks, min_digits, max_len)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,17 +61,45 @@ def serialized_map(c: Column, order: Sequence[str] | None = None, emit_missing:
     return F.array_join(F.transform(keys, one), " ")
 
 
+def _holds_objects(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.MapType, T.VariantType)) or (isinstance(kind, T.ArrayType) and _holds_objects(kind.elementType))
+
+
+@F.pandas_udf(T.StringType())
+def _spaced(texts: pd.Series) -> pd.Series:
+    """JSON as plain text: lists joined by blanks, objects printed anew in ASCII with a blank after each mark."""
+
+    def plain(value: object) -> str:
+        if value is None:
+            return ""
+        if isinstance(value, list):
+            return " ".join(plain(v) for v in value if v is not None).strip()
+        return json.dumps(value) if isinstance(value, dict) else str(value)
+
+    return texts.map(lambda t: plain(json.loads(t)), na_action="ignore")
+
+
+def plain_text(c: Column, kind: T.DataType) -> Column:
+    """A value as plain text: null is empty, lists are joined by blanks at every depth, structs and maps become JSON.
+
+    Lists of plain values stay in the JVM; values with objects inside are printed by a vectorised Python function.
+    """
+    if _holds_objects(kind):
+        shown = _spaced(F.to_json(c, {"ignoreNullFields": "false"}))
+    elif isinstance(kind, T.ArrayType):
+        shown = strip(F.array_join(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: plain_text(x, kind.elementType)), " "))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        shown = float_repr(c.cast("double"))
+    elif isinstance(kind, T.BooleanType):
+        shown = F.when(c, "True").when(~c, "False")
+    else:
+        shown = c.cast("string")
+    return F.coalesce(shown, F.lit(""))
+
+
 def as_text(df: DataFrame, name: str) -> Column:
-    """A column as plain text: null is empty, lists are joined by blanks, structs and maps become JSON."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.ArrayType):
-        inner = F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: x.cast("string"))
-        return F.coalesce(strip(F.array_join(inner, " ")), F.lit(""))
-    if isinstance(kind, (T.StructType, T.MapType)):
-        return F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit(""))
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.coalesce(float_repr(c.cast("double")), F.lit(""))
-    return F.coalesce(c.cast("string"), F.lit(""))
+    """A column as plain text."""
+    return plain_text(F.col(name), df.schema[name].dataType)
 
 
 def _field(df: DataFrame, *names: str) -> Column:

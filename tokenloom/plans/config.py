@@ -13,6 +13,10 @@ from tokenloom.functions.text import lower_ascii
 from tokenloom.operators import mining
 
 
+def _is_http(mode: str | None, default: str) -> bool:
+    return str(mode or default).strip().lower() in ("http", "waf")
+
+
 class _Json:
     def to_dict(self) -> dict:
         return asdict(self)
@@ -54,22 +58,30 @@ class Contract(_Json):
     def marks(self) -> httpstruct.Marks:
         return httpstruct.Marks(self.sep_token, self.eol_token, self.empty_token, self.key_prefix, self.key_suffix)
 
+    @property
+    def structures(self) -> bool:
+        """Whether texts are taken apart as HTTP requests."""
+        return _is_http(self.structured_input_mode, "none")
+
     def applied(self, text: Column) -> Column:
         """The contract over a text column: structure, typed replacement, case."""
         if self.lowercase_mode not in ("none", "", "ascii"):
             raise ValueError(f"no lowercase mode {self.lowercase_mode!r}")
-        if (self.structured_input_mode or "none").lower() in ("http", "waf"):
+        if self.structures:
             text = httpstruct.structured(text, self.marks, self.long_num_min_digits, int(self.structured_max_len))
         if self.enable_typed_hygiene:
-            if (self.typed_hygiene_mode or "generic").lower() in ("http", "waf"):
+            if _is_http(self.typed_hygiene_mode, "generic"):
                 text = hygiene.http(text, self.enable_numeric_buckets, self.long_num_min_digits, self.enable_version_token)
             else:
                 text = hygiene.generic(text, self.enable_numeric_buckets, self.long_num_min_digits)
         return lower_ascii(text) if self.lowercase_mode == "ascii" else text
 
     def applied_to_rows(self, df: DataFrame) -> Column:
-        """The contract over whole rows: role-marked serialization first, or compact JSON with that switched off."""
+        """The contract over whole rows: the parts of a request taken as such if structure is asked for, else role-marked
+        serialization, or compact JSON with that switched off."""
         plain = replace(self, structured_input_mode="none")
+        if self.structures and httpstruct.is_request(df):
+            return plain.applied(httpstruct.structured_row(df, self.marks, self.long_num_min_digits, int(self.structured_max_len)))
         if self.enable_json_serialization:
             return plain.applied(records.serialized(df, order=self.json_field_order, emit_missing=self.json_emit_missing, marks=self.marks))
         return plain.applied(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
@@ -95,7 +107,7 @@ class Trainer(_Json):
     preset: str = "default"
     lambda_rd: float = 0.0
     seed: int = 0
-    sample_texts: int | None = 200_000
+    sample_texts: int | None = None
     distortion_mode: str = "none"
     boundary_penalty: float = 1.0
     include_char_vocab: bool | None = None
@@ -105,7 +117,7 @@ class Trainer(_Json):
 
     @property
     def for_http(self) -> bool:
-        return (self.preset or "default").strip().lower() in ("http", "waf")
+        return _is_http(self.preset, "default")
 
     def settled(self) -> Trainer:
         """Every open choice made as the preset has it."""
@@ -128,7 +140,7 @@ class Trainer(_Json):
 class Build(_Json):
     """A whole build, as it is kept in the artifact."""
 
-    schema_version: str = "cit_build.v1"
+    schema_version: str = "build.v1"
     trainer: Trainer = field(default_factory=Trainer)
     contract: Contract = field(default_factory=Contract)
     corpus_format: str | None = None
