@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +26,10 @@ def distortion(token: Column, bounds: str, mode: str = "none", penalty: float =
     return F.length(inside).cast("double") * F.lit(float(penalty))
 
 
-def scored(cands: DataFrame, bounds: str, rate: float = 0.0, mode: str = "none", penalty: float = 1.0) -> DataFrame:
-    """Adds score = gain - rate * distortion; negative scores stay."""
-    cost = F.lit(float(rate)) * distortion(F.col("token"), bounds, mode, penalty) if rate > 0 else F.lit(0.0)
+def scored(cands: DataFrame, bounds: str, rate: float = 0.0, mode: str = "none", penalty: float = 1.0, price: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds score = gain - rate * distortion; negative scores stay. price, if given, is the distortion of a token in place of the mode's."""
+    paid = price(F.col("token")) if price else distortion(F.col("token"), bounds, mode, penalty)
+    cost = F.lit(float(rate)) * paid.cast("double") if rate > 0 else F.lit(0.0)
     return cands.withColumn("score", gain(F.col("freq"), F.col("token")) - cost)
 
 

@@ -17,7 +17,9 @@ from tokenloom.operators.matcher import Matcher
 from tokenloom.operators.mining import SPECIALS
 from tokenloom.plans.config import Contract
 
-VOCAB_SCHEMA, HYGIENE_SCHEMA = "cit_artifact.v1", "hygiene_artifact.v1"
+VOCAB_SCHEMA, HYGIENE_SCHEMA = "vocabulary.v1", "hygiene_artifact.v1"
+#: Files of an artifact folder. Other names can be given where a folder is read.
+VOCAB_FILE, META_FILE, CONTRACT_FILE = "vocabulary_artifact.json", "vocabulary_meta.json", "contract.json"
 _ROLES = dict(zip(("pad_token", "unk_token", "cls_token", "sep_token", "mask_token"), SPECIALS))
 
 
@@ -64,18 +66,19 @@ class Artifact:
         return cls(d.get("meta") or {"schema_version": VOCAB_SCHEMA}, vocab, Contract.from_dict(d["contract"]), [str(t) for t in d.get("special_tokens", [])], Matcher.from_dict(d["matcher"]))
 
     @classmethod
-    def load(cls, path: str | Path) -> Artifact:
-        return cls.loads(_file(path, "cit_artifact.json").read_text(encoding="utf-8"))
+    def load(cls, path: str | Path, name: str = VOCAB_FILE) -> Artifact:
+        """From the file itself, or from the one of that name in a folder."""
+        return cls.loads(_file(path, name).read_text(encoding="utf-8"))
 
     def save(self, folder: str | Path) -> None:
         out = Path(folder)
         out.mkdir(parents=True, exist_ok=True)
-        (out / "cit_artifact.json").write_text(self.dumps(), encoding="utf-8")
+        (out / VOCAB_FILE).write_text(self.dumps(), encoding="utf-8")
         _dump(out / "tokenizer_config.json", {"model_max_length": 512, "padding_side": "right", "truncation_side": "right"})
         _dump(out / "special_tokens_map.json", {**_ROLES, "additional_special_tokens": [t for t in self.special_tokens if t not in SPECIALS]})
 
     def save_vocabulary(self, folder: str | Path, prefix: str | None = None) -> Path:
-        path = Path(folder) / ((prefix + "-" if prefix else "") + "cit_artifact.json")
+        path = Path(folder) / ((prefix + "-" if prefix else "") + VOCAB_FILE)
         path.write_text(self.dumps(), encoding="utf-8")
         return path
 
@@ -127,12 +130,12 @@ def export_folder(source: str | Path, target: str | Path, max_length: int = 512,
             raise FileExistsError(f"{out} is there already")
         shutil.rmtree(out)
     out.mkdir(parents=True)
-    shutil.copy2(_file(src, "cit_artifact.json"), out / "cit_artifact.json")
+    shutil.copy2(_file(src, VOCAB_FILE), out / VOCAB_FILE)
     roles = src / "special_tokens_map.json"
     _dump(out / roles.name, json.loads(roles.read_text(encoding="utf-8")) if roles.exists() else _ROLES)
     _dump(out / "vocab.json", artifact.vocab)
-    _dump(out / "tokenizer_config.json", {"tokenizer_class": "CITTokenizer", "model_max_length": int(max_length), "padding_side": "right", "truncation_side": "right", **(extra or {})})
-    _dump(out / "cit_meta.json", artifact.meta)
+    _dump(out / "tokenizer_config.json", {"tokenizer_class": "VocabularyTokenizer", "model_max_length": int(max_length), "padding_side": "right", "truncation_side": "right", **(extra or {})})
+    _dump(out / META_FILE, artifact.meta)
 
 
 @dataclass(frozen=True)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.httpstruct import TAGS
 from tokenloom.operators import baselines, induce, mining
 from tokenloom.operators.mining import SPECIALS
-from tokenloom.plans.artifact import VOCAB_SCHEMA, Artifact, HygieneArtifact, save_tokenizer, versions
+from tokenloom.plans.artifact import CONTRACT_FILE, VOCAB_SCHEMA, Artifact, HygieneArtifact, save_tokenizer, versions
 from tokenloom.plans.config import Build, Contract
 from tokenloom.sources.scan import first_rows
 
@@ -25,8 +25,11 @@ def reserved(build: Build, texts: DataFrame, extra: Sequence[str] = ()) -> list[
     return [t for t in dict.fromkeys([*found, *extra]) if t and t not in SPECIALS]
 
 
-def build_vocabulary(texts: DataFrame, build: Build, extra: Sequence[str] = ()) -> Artifact:
-    """Artifact from rows (id, text). The contract's output feeds three aggregations and is cached for them."""
+def build_vocabulary(texts: DataFrame, build: Build, extra: Sequence[str] = (), price: Callable[[Column], Column] | None = None) -> Artifact:
+    """Artifact from rows (id, text). The contract's output feeds three aggregations and is cached for them.
+
+    price: distortion of a token as a Column function, in place of the configured mode.
+    """
     build = build.settled()
     t = build.trainer
     bounds = "".join(t.boundaries)
@@ -39,7 +42,7 @@ def build_vocabulary(texts: DataFrame, build: Build, extra: Sequence[str] = ())
             # bounded by the alphabet
             chars = [r.ch for r in mining.characters(proc, also=also).collect()] if t.include_char_vocab else sorted(set(also))
         cands = mining.candidates(proc, "text", bounds, t.len_min, t.len_max, t.symbol_ngram_min_len, t.symbol_ngram_max_len, t.min_freq)
-        ranked = induce.scored(cands, bounds, t.lambda_rd, t.distortion_mode, t.boundary_penalty)
+        ranked = induce.scored(cands, bounds, t.lambda_rd, t.distortion_mode, t.boundary_penalty, price)
         base = induce.base_tokens(special, build.contract.typed_symbols(), chars)
         rows = induce.vocabulary(ranked, base, t.vocab_size).collect()  # vocab_size rows at most
     finally:
@@ -80,5 +83,5 @@ def build_baseline(
     if hygiene_folder is not None:
         HygieneArtifact(contract, both[1], both[0]).save(hygiene_folder, overwrite=True)
     if emit_contract or hygiene_folder is None:
-        (Path(folder) / "cit_contract.json").write_text(contract.to_json(), encoding="utf-8")
+        (Path(folder) / CONTRACT_FILE).write_text(contract.to_json(), encoding="utf-8")
     return model
