@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators.mining import SPECIALS, spans
+from tokenloom.sources.shared import dropped, settled
 
-MOST_WORDS = 5_000_000
+MOST_WORDS = 1_000_000
 
 
 def words(c: Column) -> Column:
@@ -134,17 +135,6 @@ def _sure_merges(ranked: list[tuple[int, int, int]], names: dict[int, str], voca
     return out
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows in the folder of spark.checkpoint.dir, or in the warehouse of a local session; lineage cut."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahead: int = 500) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """_merge_loop over words that stay distributed."""
     vocab = {t: i for i, t in enumerate(SPECIALS)}
@@ -160,7 +150,7 @@ def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahea
         return pa.array([[start[prefix + ch if k else ch] for k, ch in enumerate(w)] for w in words.to_pylist()], pa.list_(pa.int32()))
 
     names, merges = {i: t for t, i in vocab.items()}, []
-    seqs = _settled(counts.select(F.arrow_udf(split, "array<int>")("word").alias("seq"), "n").where(F.size("seq") > 1))
+    seqs, path = settled(counts.select(F.arrow_udf(split, "array<int>")("word").alias("seq"), "n").where(F.size("seq") > 1))
     while len(vocab) < size:
         pairs = seqs.select("n", F.explode(F.arrays_zip(F.slice("seq", F.lit(1), F.size("seq") - 1).alias("a"), F.slice("seq", F.lit(2), F.size("seq") - 1).alias("b"))).alias("p"))
         total = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, min_freq))
@@ -169,7 +159,10 @@ def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahea
             break
         sure = _sure_merges(ranked, names, vocab, size, prefix)
         merges += [(names[a], names[b]) for a, b, _ in sure]
-        seqs = _settled(seqs.select(F.arrow_udf(_merger({(a, b): new for a, b, new in sure}), "array<int>")("seq").alias("seq"), "n").where(F.size("seq") > 1))
+        last = path
+        seqs, path = settled(seqs.select(F.arrow_udf(_merger({(a, b): new for a, b, new in sure}), "array<int>")("seq").alias("seq"), "n").where(F.size("seq") > 1))
+        dropped(counts.sparkSession, last)
+    dropped(counts.sparkSession, path)
     return vocab, merges
 
 

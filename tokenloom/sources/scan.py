@@ -80,10 +80,18 @@ def scan(spark: SparkSession, path: str, fmt: str = "txt", key: str = "text", mo
 
 # --- registry ---
 
-DATASETS = {"hdfs": "logfit-project/HDFS_v1", "phish_html": "puyang2025/phish_html", "phishing_email": "puyang2025/seven-phishing-email-datasets", "waf": "puyang2025/waf_data_v2"}
+#: Path of each known data set; register() says where one lies.
+DATASETS = {"hdfs": "hdfs", "phish_html": "phish_html", "phishing_email": "phishing_email", "waf": "waf"}
 _ALIASES = {"hdfs_v1": "hdfs", "waf_v2": "waf"}
 
 
+def register(key: str, path: str) -> None:
+    """Says where a known data set lies, such as a folder or <org>/<name>."""
+    if key not in DATASETS:
+        raise ValueError(f"no dataset {key!r}; there are {', '.join(datasets())}")
+    DATASETS[key] = path
+
+
 def datasets() -> list[str]:
     return sorted(DATASETS)
 
@@ -139,7 +147,11 @@ def dataset_texts(df: DataFrame, name: str, key: str | None = None, formatted: b
         keys = (key,) if key else records.TEXT_KEYS[which]
         text = first_filled(*(records.as_text(df, k) for k in keys if k in df.columns), records.any_text(df))
     out = df.select(strip(text).alias("text")).where("text <> ''")
-    return out if df.isStreaming else first_rows(with_id(out), most)
+    if df.isStreaming:
+        if most is not None:
+            raise ValueError("a stream has no first rows")
+        return out
+    return first_rows(with_id(out), most)
 
 
 def pulled(df: DataFrame, path: str, most: int | None = None, shuffle: bool = False, seed: int = 0) -> None:
@@ -149,7 +161,8 @@ def pulled(df: DataFrame, path: str, most: int | None = None, shuffle: bool = Fa
     elif shuffle:
         df = df.orderBy(F.rand(seed))
     elif most is not None:
-        df = df.limit(most)
+        at = "_at"
+        df = first_rows(df.withColumn(at, F.monotonically_increasing_id()), most, at).drop(at)
     df.write.mode("overwrite").parquet(path)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tokenloom.functions.httpstruct import structured
 from tokenloom.functions.noise import cleaned
 from tokenloom.functions.text import strip
-from tokenloom.sources.scan import FORMATS, dataset_path, dataset_texts, json_field
+from tokenloom.plans.config import Contract
+from tokenloom.sources.scan import FORMATS, dataset_path, dataset_texts, first_rows, json_field, scan
 
 
 def _prepared(c: Column, structure: str | None, max_len: int) -> Column:
@@ -54,7 +55,7 @@ def clean_corpus(
         raise ValueError("only Parquet input can be written as Parquet")
     if most is not None and most <= 0:
         raise ValueError("a row limit must be positive")
-    limited = lambda df: df if most is None else df.limit(most)
+    limited = lambda df: df if most is None else first_rows(df.withColumn("_at", F.monotonically_increasing_id()), most, "_at").drop("_at")
     if fmt == "parquet":
         df = limited(spark.read.parquet(source))
         if key not in df.columns:
@@ -94,6 +95,14 @@ def write_texts(texts: DataFrame, path: str, text: str = "text") -> None:
     texts.select(_one_line(F.col(text)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_contracted(spark: SparkSession, source: str, contract: Contract, target: str | None = None, fmt: str = "txt", key: str = "text", most: int | None = None) -> DataFrame:
+    """Rows (id, text) of a corpus under a contract; written as lines of text to target, if one is given."""
+    texts = scan(spark, source, fmt, key, most).withColumn("text", contract.applied(F.col("text")))
+    if target is not None:
+        write_texts(texts, target)
+    return texts
+
+
 def save_json(payload: Mapping, path: str | Path) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(payload, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
