@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from tokenloom.functions import drift, httpstruct, hygiene, noise, records
 from tokenloom.functions.text import float_repr, lower_ascii
 from tokenloom.operators import baselines, induce, matcher, metrics, mining, validate
+from tokenloom.plans import runs
+from tokenloom.plans.artifact import Artifact, HygieneArtifact, Runtime
 from tokenloom.plans.config import Contract, Trainer
-from tokenloom.sources import scan
+from tokenloom.sources import scan, shared, sink
+from tokenloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +46,11 @@ def _over(name: str, key: str, made: str, made_sql: str, rule: Callable[[Column]
     return run
 
 
+def _beside(name: str, key: str, made: str, made_sql: str, column: str, rule: Callable[[Column], Column], want: Callable[[str], str]) -> Query:
+    """Query of a rule over a made-up text, a bar, and a whole column: want is SQL of the rule over an expression."""
+    return _over(name, key, f"concat({made}, ' | ', {column})", f"{made_sql} || ' | ' || {column}", rule, want("x"))
+
+
 def _named(name: str, run: Query) -> None:
     run.__name__ = name
     query(run.sql)(run)
@@ -50,9 +59,12 @@ def _named(name: str, run: Query) -> None:
 # --- scans and limits ---
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query("SELECT translate(text, chr(13) || chr(10), '  ') AS text FROM documents WHERE text <> ''")
 def scan_text_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id", F.length("text").alias("n"))
+    """Texts written as lines and scanned again."""
+    path = shared.fresh_path(spark, "lines")
+    sink.write_texts(table(spark, sf_dir, "documents"), path)
+    return scan.scan(spark, path, "txt").select("text")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
@@ -60,10 +72,18 @@ def limit_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.first_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), 100, "doc_id")
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
+@query("SELECT text FROM documents WHERE text IS NOT NULL")
 def scan_parquet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.length(F.col("text").cast("string")).alias("n"))
+    return scan.scan(spark, f"{sf_dir}/documents.parquet", "parquet").select("text")
+
+
+@query("SELECT text FROM documents WHERE text IS NOT NULL UNION ALL SELECT '{\"item_id\": ' || item_id::VARCHAR || '}' FROM benchmark")
+def scan_jsonl_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as JSON lines, and lines without the field, which are printed anew."""
+    path = shared.fresh_path(spark, "json")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.json(path)
+    table(spark, sf_dir, "benchmark").select("item_id").write.mode("append").json(path)
+    return scan.scan(spark, path, "jsonl").select("text")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') WHEN event_id % 3 = 1 THEN 'None' ELSE '{\"q\": ' || (event_id % 10)::VARCHAR || '}' END AS text FROM events")
@@ -122,32 +142,42 @@ def _runs(inside: str, outside: str, test: str, symbol: str) -> str:
 _HEX_RUNS = ("[0-9a-fA-F]+", "[^0-9a-fA-F]+")
 _named("hyg_hash", _over("documents", "doc_id", "text", "text", lambda x: hygiene.replaced(x, (hygiene.HASH, "<HASH>")), _runs(*_HEX_RUNS, "[0-9a-fA-F]{32,64}", "<HASH>")))
 _named("hyg_hex", _over("documents", "doc_id", "text", "text", lambda x: hygiene.replaced(x, (hygiene.HEX, "<HEX>")), _runs(*_HEX_RUNS, "[0-9a-fA-F]{16,}", "<HEX>")))
+#: Runs of the alphabet with what pads them; one that a letter follows is no whole run.
+_B64_SQL = (
+    "array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z0-9+/]+=*|[^A-Za-z0-9+/]+'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z0-9+/]{{24,}}=*$') "
+    "AND regexp_matches(r, '^[A-Z+/]*[a-z0-9]|^[+/]+=*$') THEN regexp_replace(r, '^[A-Za-z0-9+/]+={{0,2}}', '<B64>') ELSE r END), '')"
+)
 _named(
     "hyg_b64",
-    _over("documents", "doc_id", "concat('k=', base64(cast(concat('document number ', doc_id) AS binary)), '; ', repeat('AB', doc_id % 20))",
-          "'k=' || to_base64(('document number ' || doc_id::VARCHAR)::BLOB) || '; ' || repeat('AB', (doc_id % 20)::INTEGER)",
-          lambda x: hygiene.replaced(x, (hygiene.BASE64, "<B64>")), "regexp_replace(x, '[A-Za-z0-9+/]{24,}={0,2};', '<B64>;')"),
+    _beside("documents", "doc_id", "concat('k=', base64(cast(concat('document number ', doc_id) AS binary)), '; ', repeat('AB', doc_id % 20))",
+            "'k=' || to_base64(('document number ' || doc_id::VARCHAR)::BLOB) || '; ' || repeat('AB', (doc_id % 20)::INTEGER)", "text",
+            lambda x: hygiene.replaced(x, (hygiene.BASE64, "<B64>")), lambda x: _B64_SQL.format(x=x)),
 )
+_PORT_SQL = (
+    "array_to_string(list_transform(regexp_extract_all({x}, '[0-9]+(?::[0-9]+)*|:[0-9]+(?::[0-9]+)*|[^0-9:]+|:'), "
+    "lambda r: CASE WHEN regexp_full_match(r, ':[0-9]{{1,5}}(?::[0-9]+)*') THEN regexp_replace(r, '^:[0-9]+', ':<PORT>') ELSE r END), '')"
+)
 _named(
     "hyg_port_generic",
     _over("pages", "page_id", "html", "html", lambda x: hygiene.replaced(x, (hygiene.PORT, ":<PORT>")),
-          "array_to_string(list_transform(regexp_extract_all(x, '[0-9]+(?::[0-9]+)*|:[0-9]+(?::[0-9]+)*|[^0-9:]+|:'), "
-          "lambda r: CASE WHEN regexp_full_match(r, ':[0-9]{1,5}(?::[0-9]+)*') THEN regexp_replace(r, '^:[0-9]+', ':<PORT>') ELSE r END), '')"),
+          _PORT_SQL.format(x="x")),
 )
 _named(
     "hyg_version",
     _over("documents", "doc_id", "text", "text", lambda x: hygiene.replaced(x, (hygiene.VERSION, "<VER>")), r"regexp_replace(x, '(?:[0-9]+\.){1,3}[0-9]+', '<VER>', 'g')"),
 )
+_AUTHORITY_SQL = r"regexp_replace({x}, '([A-Za-z0-9.-]+:)[0-9]{{1,5}}([/\s])', '\1<PORT>\2', 'g')"
+_HOST_SQL = r"regexp_replace({x}, '(?im)^(Host:\s*[^:\s]+:)[0-9]{{1,5}}\s*$', '\1<PORT>', 'g')"
 _named(
     "hyg_authority_port",
-    _over("pages", "page_id", "concat(url, ':', 8000 + page_id % 99, '/x rv:', page_id, '.0')", "url || ':' || (8000 + page_id % 99)::VARCHAR || '/x rv:' || page_id::VARCHAR || '.0'",
-          lambda x: hygiene.replaced(x, (hygiene.AUTHORITY_PORT, "$1<PORT>")), r"regexp_replace(x, '([A-Za-z0-9.-]+:)[0-9]{1,5}([/\s])', '\1<PORT>\2', 'g')"),
+    _beside("pages", "page_id", "concat(url, ':', 8000 + page_id % 99, '/x rv:', page_id, '.0')", "url || ':' || (8000 + page_id % 99)::VARCHAR || '/x rv:' || page_id::VARCHAR || '.0'", "html",
+            lambda x: hygiene.replaced(x, (hygiene.AUTHORITY_PORT, "$1<PORT>")), lambda x: _AUTHORITY_SQL.format(x=x)),
 )
 _named(
     "hyg_host_port",
-    _over("pages", "page_id", "concat('GET /', page_id, '\\nhost: h', page_id, '.org:', page_id % 999, '\\nport:1')",
-          "'GET /' || page_id::VARCHAR || chr(10) || 'host: h' || page_id::VARCHAR || '.org:' || (page_id % 999)::VARCHAR || chr(10) || 'port:1'",
-          lambda x: hygiene.replaced(x, (hygiene.HOST_PORT, "$1<PORT>")), r"regexp_replace(x, '(?im)^(Host:\s*[^:\s]+:)[0-9]{1,5}$', '\1<PORT>')"),
+    _beside("pages", "page_id", "concat('GET /', page_id, '\\nhost: h', page_id, '.org:', page_id % 999, '\\nport:1')",
+            "'GET /' || page_id::VARCHAR || chr(10) || 'host: h' || page_id::VARCHAR || '.org:' || (page_id % 999)::VARCHAR || chr(10) || 'port:1'", "html",
+            lambda x: hygiene.replaced(x, (hygiene.HOST_PORT, "$1<PORT>")), lambda x: _HOST_SQL.format(x=x)),
 )
 _bucket_sql = "x"
 for _n in range(6, 13):
@@ -158,25 +188,59 @@ _named(
           "'order ' || (o_orderkey * 7919)::VARCHAR || ' of ' || o_custkey::VARCHAR || ', ' || (o_orderkey * o_custkey * 104729)::VARCHAR || '!'",
           hygiene.bucketed, rf"regexp_replace({_bucket_sql}, '\b\d{{13,}}\b', '<NUM_POW10_12>', 'g')"),
 )
+#: %hh in capitals, then a blank before a letter or digit that follows.
+_PERCENT_SQL = (
+    "regexp_replace(array_to_string(list_transform(regexp_extract_all({x}, '%[0-9a-fA-F]{{2}}|[^%]+|%'), lambda r: CASE WHEN regexp_full_match(r, '%[0-9a-fA-F]{{2}}') THEN upper(r) ELSE r END), ''), "
+    r"'(%[0-9A-F]{{2}})([0-9A-Za-z])', '\1 \2', 'g')"
+)
 _named(
     "hyg_percent",
-    _over("documents", "doc_id", "concat('q=%', lower(lpad(hex(doc_id % 256), 2, '0')), 'x%', lower(lpad(hex(doc_id * 7 % 256), 2, '0')), '%zz')",
-          "'q=%' || printf('%02x', doc_id % 256) || 'x%' || printf('%02x', doc_id * 7 % 256) || '%zz'",
-          hygiene.percent_normalized, "'q=%' || printf('%02X', doc_id % 256) || ' x%' || printf('%02X', doc_id * 7 % 256) || '%zz'"),
+    _beside("documents", "doc_id", "concat('q=%', lower(lpad(hex(doc_id % 256), 2, '0')), 'x%', lower(lpad(hex(doc_id * 7 % 256), 2, '0')), '%zz')",
+            "'q=%' || printf('%02x', doc_id % 256) || 'x%' || printf('%02x', doc_id * 7 % 256) || '%zz'", "text",
+            hygiene.percent_normalized, lambda x: _PERCENT_SQL.format(x=x)),
 )
 
-_MIX = "concat('u=6fa459ea-ee8a-{v}ca4-894e-db77e160355e ip=10.0.', o_custkey % 256, '.7 h=', md5(cast(o_orderkey AS string)), ' n=', 1000000 + o_orderkey, ' b=', repeat('deadBEEF', 9), ' p=:80', o_orderkey % 10, ' e=15', 10000000 + o_orderkey)"
-_MIX = _MIX.replace("{v}", "3")
-_named(
-    "hyg_generic_full",
-    _over("orders", "o_orderkey", _MIX, "''", hygiene.generic,
-          "'u=<UUID> ip=<IPV4> h=<HASH> n=<NUM_POW10_6> b=<HEX> p=:<PORT> e=<TS>'"),
-)
-_named(
-    "hyg_http_full",
-    _over("orders", "o_orderkey", "concat('GET http://h', o_orderkey, '.org:', 1000 + o_custkey % 9000, '/a%2fb?v=', o_custkey % 9, '.', o_orderkey % 7, ' rv:92.0 n=', 1000000 + o_orderkey)", "''", hygiene.http,
-          "'GET http://h' || o_orderkey::VARCHAR || '.org:<PORT>/a%2F b?v=<VER> rv:<VER> n=<NUM_POW10_6>'"),
-)
+#: The ordered rules up to base 64, as SQL with {x} for what they run on.
+_TYPED_SQL = (
+    r"regexp_replace({x}, '\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[1-5][0-9a-fA-F]{{3}}-[89abAB][0-9a-fA-F]{{3}}-[0-9a-fA-F]{{12}}\b', '<UUID>', 'g')",
+    r"regexp_replace({x}, '\b(?:[0-9a-fA-F]{{1,4}}:){{2,7}}[0-9a-fA-F]{{1,4}}\b', '<IPV6>', 'g')",
+    r"regexp_replace({x}, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b', '<IPV4>', 'g')",
+    r"regexp_replace({x}, '\b\d{{4}}-\d{{2}}-\d{{2}}(?:[T\s]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?)?(?:Z|[+-]\d{{2}}:?\d{{2}})?\b', '<TS>', 'g')",
+    r"regexp_replace({x}, '\b\d{{10,13}}\b', '<TS>', 'g')",
+    _runs(*_HEX_RUNS, "[0-9a-fA-F]{32,64}", "<HASH>").replace("{32,64}", "{{32,64}}").replace("extract_all(x,", "extract_all({x},"),
+    _runs(*_HEX_RUNS, "[0-9a-fA-F]{16,}", "<HEX>").replace("{16,}", "{{16,}}").replace("extract_all(x,", "extract_all({x},"),
+    _B64_SQL,
+)
+_BUCKET_SQL = (*(rf"regexp_replace({{x}}, '\b\d{{{{{n}}}}}\b', '<NUM_POW10_{n - 1}>', 'g')" for n in range(6, 13)), r"regexp_replace({x}, '\b\d{{13,}}\b', '<NUM_POW10_12>', 'g')")
+
+
+def _chain(steps: tuple[str, ...], name: str, key: str, made: str) -> str:
+    """The steps one after another, each over what the one before left."""
+    parts = [f"c0 AS (SELECT {key}, {made} AS x FROM {name})"]
+    parts += [f"c{k} AS (SELECT {key}, {step.format(x='x')} AS x FROM c{k - 1})" for k, step in enumerate(steps, 1)]
+    return f"WITH {', '.join(parts)} SELECT {key}, x AS out FROM c{len(steps)}"
+
+
+_MIX = "concat('u=6fa459ea-ee8a-3ca4-894e-db77e160355e ip=10.0.', {k} % 256, '.7 h=', md5(cast({k} AS string)), ' n=', 1000000 + {k}, ' b=', repeat('deadBEEF', 9), ' p=:80', {k} % 10, ' e=15', 10000000 + {k}, ' | ', {c})"
+_MIX_SQL = "'u=6fa459ea-ee8a-3ca4-894e-db77e160355e ip=10.0.' || ({k} % 256)::VARCHAR || '.7 h=' || md5({k}::VARCHAR) || ' n=' || (1000000 + {k})::VARCHAR || ' b=' || repeat('deadBEEF', 9) || ' p=:80' || ({k} % 10)::VARCHAR || ' e=15' || (10000000 + {k})::VARCHAR || ' | ' || {c}"
+_REQUEST = "concat('GET http://h', {k}, '.org:', 1000 + {k} % 9000, '/a%2fb?v=', {k} % 9, '.', {k} % 7, ' rv:92.0 n=', 1000000 + {k}, ' | ', {c})"
+_REQUEST_SQL = "'GET http://h' || {k}::VARCHAR || '.org:' || (1000 + {k} % 9000)::VARCHAR || '/a%2fb?v=' || ({k} % 9)::VARCHAR || '.' || ({k} % 7)::VARCHAR || ' rv:92.0 n=' || (1000000 + {k})::VARCHAR || ' | ' || {c}"
+
+
+def _full(name: str, table_name: str, key: str, column: str, made: str, made_sql: str, rule: Callable[[Column], Column], steps: tuple[str, ...]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, table_name).select(key, rule(F.expr(made.format(k=key, c=column))).alias("out"))
+
+    run.sql = _chain(steps, table_name, key, made_sql.format(k=key, c=column))
+    _named(name, run)
+
+
+_GENERIC_STEPS = (*_TYPED_SQL, _PORT_SQL, *_BUCKET_SQL)
+_HTTP_STEPS = (_PERCENT_SQL, *_TYPED_SQL, r"regexp_replace({x}, '(?:[0-9]+\.){{1,3}}[0-9]+', '<VER>', 'g')", _AUTHORITY_SQL, _HOST_SQL, *_BUCKET_SQL)
+for _table, _id, _column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+    _suffix = "" if _table == "documents" else "_pages"
+    _full(f"hyg_generic_full{_suffix}", _table, _id, _column, _MIX, _MIX_SQL, hygiene.generic, _GENERIC_STEPS)
+    _full(f"hyg_http_full{_suffix}", _table, _id, _column, _REQUEST, _REQUEST_SQL, hygiene.http, _HTTP_STEPS)
 _named("ascii_lower", _over("documents", "doc_id", "text", "text", lower_ascii, "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
 
 
@@ -208,6 +272,9 @@ _NOISY_SQL = (
 )
 
 
+_BOTH = "(SELECT doc_id, 'text' AS part, text FROM documents UNION ALL SELECT doc_id, 'made', " + _NOISY_SQL + " FROM documents)"
+
+
 def _kind_sql(t: str) -> str:
     return (
         f"CASE WHEN regexp_full_match({t}, '[0-9a-fA-F]{{32,64}}') THEN '<HASH>' WHEN regexp_full_match({t}, '[0-9a-fA-F]{{16,}}') THEN '<HEX>' "
@@ -216,37 +283,66 @@ def _kind_sql(t: str) -> str:
     )
 
 
-def _noise_sql(result: str, x: str = _NOISY_SQL) -> str:
+def _noise_sql(result: str, x: str = "text", shown: str = "doc_id, ") -> str:
     total = "list_sum(list_transform(w, lambda t: length(t)))"
     part = lambda k: f"coalesce(list_sum(list_transform(w, lambda t: CASE WHEN {_kind_sql('t')} = '{k}' THEN length(t) ELSE 0 END)), 0)"
     return (
-        f"WITH s AS (SELECT doc_id, {x} AS x FROM documents), t AS (SELECT doc_id, x, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM s), "
+        f"WITH s AS (SELECT doc_id, part, {x} AS x FROM {_BOTH}), t AS (SELECT doc_id, part, x, trim(x, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM s), "
         rf"u AS (SELECT *, regexp_split_to_array(s, '\s+') AS w FROM t), v AS (SELECT *, {_kind_sql('s')} AS whole, {total} AS n, {part('<HASH>')} AS a, {part('<HEX>')} AS b, {part('<B64>')} AS c FROM u), "
         "k AS (SELECT *, CASE WHEN s = '' THEN NULL WHEN whole IS NOT NULL THEN whole WHEN len(w) > 1 AND n >= 32 AND a + b + c > 0 AND (a + b + c) / n >= 0.85 "
         "THEN CASE WHEN a >= b AND a >= c THEN '<HASH>' WHEN b >= c THEN '<HEX>' ELSE '<B64>' END END AS kind FROM v) "
-        f"SELECT doc_id, {result} FROM k"
+        f"SELECT {shown}{result} FROM k"
     )
 
 
-@query(_noise_sql("kind"))
+def _noise_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document, and beside it a made-up string of a kind that the texts lack."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.lit("text").alias("part"), "text").unionByName(docs.select("doc_id", F.lit("made").alias("part"), F.expr(_NOISY).alias("text")))
+
+
+@query(_noise_sql("part, kind"))
 def noise_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", noise.classify(F.expr(_NOISY)).alias("kind"))
+    return _noise_both(spark, sf_dir).select("doc_id", "part", noise.classify(F.col("text")).alias("kind"))
 
 
-@query(_noise_sql("coalesce(kind, x) AS out"))
+@query(_noise_sql("part, coalesce(kind, x) AS out"))
 def noise_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", noise.cleaned(F.expr(_NOISY)).alias("out"))
+    return _noise_both(spark, sf_dir).select("doc_id", "part", noise.cleaned(F.col("text")).alias("out"))
+
+
+def _cleaned_corpus(spark: SparkSession, sf_dir: str, fmt: str, out_fmt: str) -> DataFrame:
+    """Texts and made-up strings as a corpus of a format, cleaned into a file and scanned."""
+    source, target = shared.fresh_path(spark, f"corpus.{fmt}"), shared.fresh_path(spark, f"cleaned.{out_fmt}")
+    rows = _noise_both(spark, sf_dir)
+    if fmt == "txt":
+        sink.write_texts(rows, source)
+    elif fmt == "jsonl":
+        rows.write.json(source)
+    else:
+        rows.write.parquet(source)
+    sink.clean_corpus(spark, source, target, fmt, out_fmt=out_fmt)
+    return scan.scan(spark, target, out_fmt).select("text")
+
 
+@query(_noise_sql("coalesce(kind, x) AS text", "translate(text, chr(13) || chr(10), '  ')", shown=""))
+def clean_corpus_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned_corpus(spark, sf_dir, "txt", "txt")
 
-@query(_noise_sql("kind", "text"))
-def noise_classify_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole text of every document, where noise_classify puts made-up strings in place of five in six."""
-    return table(spark, sf_dir, "documents").select("doc_id", noise.classify(F.col("text")).alias("kind"))
 
+@query(_noise_sql("coalesce(kind, x) AS text", shown=""))
+def clean_corpus_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned_corpus(spark, sf_dir, "jsonl", "jsonl")
 
-@query(_noise_sql("coalesce(kind, x) AS out", "text"))
-def noise_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", noise.cleaned(F.col("text")).alias("out"))
+
+@query(_noise_sql("coalesce(kind, x) AS text", shown=""))
+def clean_corpus_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned_corpus(spark, sf_dir, "parquet", "parquet")
+
+
+@query(_noise_sql("translate(coalesce(kind, x), chr(13) || chr(10), '  ') AS text", shown=""))
+def clean_corpus_parquet_to_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned_corpus(spark, sf_dir, "parquet", "txt")
 
 
 @query(r"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[^\t\n\r -~]')) AS odd FROM documents GROUP BY lang")
@@ -335,9 +431,82 @@ def http_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", httpstruct.structured(text).alias("out"))
 
 
+@query(
+    f"SELECT o_orderkey, '<METHOD> PUT <URL> / item / ' || {_KEY_SQL} || ' <PROT> HTTP/1.1 <EOL> <HDR> host <SEP> shop.org <EOL> <BODY> <FORM> <QK> a <QVAL> <NUM> <QK> b <QVAL> <STR>' AS out FROM orders"
+)
+def http_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request whose parts are columns, its headers a map."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(
+        "o_orderkey", F.lit("PUT").alias("method"), F.concat(F.lit("https://shop.org/item/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.lit("HTTP/1.1").alias("protocol"), F.create_map(F.lit("Host"), F.lit("shop.org")).alias("headers"), F.lit("a=1&b=two").alias("body"),
+    )
+    contract = Contract(structured_input_mode="http", enable_typed_hygiene=False)
+    return rows.select("o_orderkey", contract.applied_to_rows(rows).alias("out"))
+
+
+@query(
+    "SELECT o_orderkey, '<BODY> <JSON> <K:a> <SEP> ' || CASE WHEN length(o_orderkey::VARCHAR) < 6 THEN '<NUM>' ELSE '<NUM_POW10_' || (length(o_orderkey::VARCHAR) - 1)::VARCHAR || '>' END || "
+    "' <EOL> <K:b> <SEP> <NUM> <EOL> <K:c> <SEP> <STR> <EOL> <K:d> <SEP> ' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || "
+    "' <EOL> <K:e> <SEP> <EMPTY> <EOL> <K:f> <SEP> <JSON> <EOL> <K:g> <SEP> <JSON> <EOL> <K:h> <SEP> <HASH_32> <EOL>' AS out FROM orders"
+)
+def json_body_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of JSON value: whole number, fraction, text, truth value, null, list, object, hash."""
+    body = F.expr("concat('{\"b\": 1.5, \"a\": ', o_orderkey, ', \"d\": ', o_orderkey % 2 = 0, ', \"c\": \"', o_orderpriority, '\", \"e\": null, \"f\": [1, 2], \"g\": {\"x\": 1}, \"h\": \"', md5(cast(o_orderkey AS string)), '\"}')")
+    tokens = httpstruct.body_tokens(body, httpstruct.Marks(), 6, 4096)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tokens, " ").alias("out"))
+
+
+@query(f"SELECT o_orderkey, '<BODY> ' || CASE o_orderkey % 3 WHEN 0 THEN '<JSON> <LIST>' WHEN 1 THEN '<RAW> {{\"a\": ' || o_orderkey::VARCHAR ELSE '<FORM> <QK> a <QVAL> <STR>' END AS out FROM orders")
+def other_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list, broken JSON, and a form."""
+    body = F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('[', o_orderkey, ']') WHEN 1 THEN concat('{\"a\": ', o_orderkey) ELSE 'a=b&' END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(httpstruct.body_tokens(body, httpstruct.Marks(), 6, 4096), " ").alias("out"))
+
+
 # --- records ---
 
 
+@query(
+    "SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus || ' x' AS list, '{\"k\": ' || o_orderkey::VARCHAR || ', \"t\": \"\\u00e9\"}' AS object, "
+    "'a {\"k\": ' || o_orderkey::VARCHAR || '}' AS mixed, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS truth FROM orders"
+)
+def plain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists at every depth, objects in ASCII, and truth values as plain text."""
+    made = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.array(F.array("o_orderpriority", F.lit(None)), F.array("o_orderstatus", F.lit("x"))).alias("list"),
+        F.struct(F.col("o_orderkey").alias("k"), F.lit("é").alias("t")).alias("object"),
+        F.array(F.create_map(F.lit("k"), F.col("o_orderkey"))).alias("maps"),
+        (F.col("o_orderkey") % 2 == 0).alias("truth"),
+    )
+    text = lambda name: records.as_text(made, name)
+    return made.select("o_orderkey", text("list").alias("list"), text("object").alias("object"), F.concat(F.lit("a "), text("maps")).alias("mixed"), text("truth").alias("truth"))
+
+
+@query("SELECT '<PATH> ' || url || chr(10) || '<HTML>' || chr(10) || trim(html, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
+def dataset_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a known data set by its formatter."""
+    return scan.dataset_texts(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("text")), "phish_html").select("text")
+
+
+@query("SELECT trim(html, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
+def dataset_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unformatted texts of a data set as JSON lines, scanned again."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("text"))
+    path = sink.export_dataset(pages, "phish_html", shared.fresh_path(spark, "export"), formatted=False)
+    return scan.scan(spark, path, "jsonl").select("text")
+
+
+@query("SELECT page_id, trim(html, ' ' || chr(9) || chr(10) || chr(13)) AS out FROM pages UNION ALL SELECT -o_orderkey, '{\"o_orderkey\":' || o_orderkey::VARCHAR || '}' FROM orders")
+def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first usual column that is filled, else the row as JSON."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit(" ").alias("formatted"), F.col("html").alias("body"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return pages.select("page_id", records.row_text(pages).alias("out")).unionByName(orders.select((-F.col("o_orderkey")).alias("page_id"), records.row_text(orders).alias("out")))
+
+
+
 @query(
     "SELECT o_orderkey, '<K:o_custkey> <SEP> ' || o_custkey::VARCHAR || ' <EOL> <K:o_orderpriority> <SEP> ' || o_orderpriority || ' <EOL> <K:o_totalprice> <SEP> ' || o_totalprice::VARCHAR || ' <EOL> <K:none> <SEP> <EMPTY> <EOL>' AS out FROM orders"
 )
@@ -425,10 +594,25 @@ def symbol_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.spans(runs, 2, 4).groupBy("token").agg(F.sum("n").alias("freq")).where("freq >= 10")
 
 
-@query("SELECT tag, count(*) AS freq FROM (SELECT unnest(regexp_extract_all('<' || upper(event_type) || '> <TYPE> <K9_X> <a> ' || CASE WHEN event_id % 2 = 0 THEN '<EVEN>' ELSE '' END, '<[A-Z][A-Z0-9_]{1,31}>')) AS tag FROM events) GROUP BY tag HAVING count(*) >= 2 ORDER BY freq DESC, tag LIMIT 64")
+_TAG_PATTERN = "'<[A-Z][A-Z0-9_]{1,31}>'"
+
+
+@query(
+    f"SELECT tag, count(*) AS freq FROM (SELECT unnest(regexp_extract_all('<' || upper(event_type) || '> <TYPE> <K9_X> <a> ' || CASE WHEN event_id % 2 = 0 THEN '<EVEN>' ELSE '' END, {_TAG_PATTERN})) AS tag FROM events "
+    f"UNION ALL SELECT unnest(regexp_extract_all(html, {_TAG_PATTERN})) FROM pages UNION ALL SELECT unnest(regexp_extract_all(text, {_TAG_PATTERN})) FROM documents) GROUP BY tag HAVING count(*) >= 2 ORDER BY freq DESC, tag LIMIT 64"
+)
 def tag_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages and documents, and made-up tags of events."""
     made = F.expr("concat('<', upper(event_type), '> <TYPE> <K9_X> <a> ', IF(event_id % 2 = 0, '<EVEN>', ''))")
-    return mining.tags(table(spark, sf_dir, "events").select(made.alias("text")), min_freq=2)
+    texts = table(spark, sf_dir, "events").select(made.alias("text")).unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    return mining.tags(texts.unionByName(table(spark, sf_dir, "documents").select("text")), min_freq=2)
+
+
+@query("SELECT text AS out FROM (SELECT unnest(regexp_extract_all(CASE WHEN event_id % 3 = 0 THEN 'x<' || upper(event_type) || '>y' ELSE 'z <' || event_type || '> w' END, '[xyzw]|[a-z_]{2,}')) AS text FROM events)")
+def tag_interior_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments leave out what stands in a tag of capitals, and keep what stands in one of small letters."""
+    made = F.expr("IF(event_id % 3 = 0, concat('x<', upper(event_type), '>y'), concat('z <', event_type, '> w'))")
+    return table(spark, sf_dir, "events").select(F.explode(mining.segments(made, mining.boundaries("default"))).alias("out"))
 
 
 @query("SELECT DISTINCT unnest(string_split(text || 'Q~', '')) AS ch FROM documents")
@@ -478,7 +662,7 @@ def base_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_vocab(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     """512 best tokens after all characters of the corpus."""
-    chars = [r.ch for r in mining.characters(table(spark, sf_dir, "documents")).collect()]
+    chars = [r.ch for r in mining.characters(table(spark, sf_dir, "documents")).collect()]  # bounded by the alphabet
     base = induce.base_tokens([], [], chars)
     ranked = induce.scored(_docs_candidates(spark, sf_dir), mining.boundaries("default"))
     return {r.token: r.id for r in induce.vocabulary(ranked, base, len(base) + 512).collect()}
@@ -516,6 +700,99 @@ def encode_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", matcher.encoded_arrow(_WORDS)("text").alias("ids"))
 
 
+def _vocab_of(spark: SparkSession, sf_dir: str, size: int) -> dict[str, int]:
+    """The best tokens of the documents after all their characters, size in all."""
+    chars = [r.ch for r in mining.characters(table(spark, sf_dir, "documents")).collect()]  # bounded by the alphabet
+    ranked = induce.scored(_docs_candidates(spark, sf_dir), mining.boundaries("default"))
+    return {r.token: r.id for r in induce.vocabulary(ranked, induce.base_tokens([], [], chars), size).collect()}
+
+
+@query("SELECT doc_id, text AS out FROM documents")
+def encode_8192(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary of the default size: the ids decode to the text, as all characters are tokens."""
+    vocab = _vocab_of(spark, sf_dir, 8192)
+    ids = table(spark, sf_dir, "documents").select("doc_id", matcher.encoded(F.col("text"), vocab).alias("ids"))
+    return ids.select("doc_id", matcher.decoded(F.col("ids"), vocab).alias("out"))
+
+
+@query("SELECT doc_id, text AS out FROM documents")
+def encode_32768(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = _vocab_of(spark, sf_dir, 32768)
+    ids = table(spark, sf_dir, "documents").select("doc_id", matcher.encoded(F.col("text"), vocab).alias("ids"))
+    return ids.select("doc_id", matcher.decoded(F.col("ids"), vocab).alias("out"))
+
+
+_BARE = Contract(enable_typed_hygiene=False)
+_WORDS_SQL = (
+    "[CASE p WHEN 'tion' THEN 2 WHEN 'ti' THEN 3 WHEN 'on' THEN 4 WHEN 'the' THEN 5 WHEN 'th' THEN 6 WHEN 'he' THEN 7 WHEN 'e' THEN 8 ELSE 1 END "
+    "FOR p IN regexp_extract_all(text, '(?s)tion|ti|on|the|th|he|e|.')]"
+)
+
+
+def _small_artifact() -> Artifact:
+    """Written out and read again."""
+    with tempfile.TemporaryDirectory() as folder:  # small files of the driver, gone before any job runs
+        Artifact({"schema_version": "vocabulary.v1"}, dict(_WORDS), _BARE, list(mining.SPECIALS)).save(folder)
+        return Artifact.load(folder)
+
+
+@query(f"SELECT doc_id, {_WORDS_SQL} AS ids FROM documents")
+def artifact_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding by an artifact that went through its files."""
+    return table(spark, sf_dir, "documents").select("doc_id", Runtime(_small_artifact()).encoded(F.col("text")).alias("ids"))
+
+
+@query(f"WITH e AS (SELECT doc_id, list_concat([2], ({_WORDS_SQL})[1:14], [3]) AS f FROM documents) SELECT doc_id, list_concat(f, list_transform(range(0, 16), lambda i: 0))[1:16] AS input_ids, list_transform(range(0, 16), lambda i: CASE WHEN i < len(f) THEN 1 ELSE 0 END) AS attention_mask, list_transform(range(0, 16), lambda i: 0) AS token_type_ids FROM e")
+def artifact_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", Runtime(_small_artifact()).batch(F.col("text"), 16).alias("x")).select("doc_id", "x.*")
+
+
+@query(f"WITH e AS (SELECT text, {_WORDS_SQL} AS ids FROM documents) SELECT text, len(ids)::INTEGER AS tokens, len(list_filter(ids, lambda i: i = 1))::INTEGER AS unknown, len(list_filter(ids, lambda i: i = 1)) / greatest(1, len(ids)) AS rate FROM e")
+def encode_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on how a corpus is encoded, over all of its texts."""
+    texts = scan.scan(spark, f"{sf_dir}/documents.parquet", "parquet")
+    return runs.verified(texts, _small_artifact())[0].select("text", "tokens", "unknown", "rate")
+
+
+@query("SELECT conv_id, turn, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS out FROM conversations")
+def hygiene_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract by way of an artifact of its own, written out and read again."""
+    with tempfile.TemporaryDirectory() as folder:
+        HygieneArtifact(Contract(lowercase_mode="ascii"), "h1", "t1").save(folder)
+        hygiene_only = HygieneArtifact.load(folder)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", hygiene_only.normalized(F.col("text")).alias("out"))
+
+
+@query("SELECT translate(text, chr(13) || chr(10) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '  abcdefghijklmnopqrstuvwxyz') AS text FROM conversations WHERE text <> ''")
+def contract_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus under a contract, written as lines and scanned."""
+    source, target = f"{sf_dir}/conversations.parquet", shared.fresh_path(spark, "contracted")
+    sink.write_contracted(spark, source, Contract(lowercase_mode="ascii"), target, "parquet")
+    return scan.scan(spark, target, "txt").select("text")
+
+
+# --- streams ---
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table read as a stream, changed, and written out until there is no more; read again as a table."""
+    schema = table(spark, sf_dir, name).schema
+    stream = change(jobs.read(spark, f"{sf_dir}/{name}.parquet*", schema))
+    target = shared.fresh_path(spark, "stream")
+    jobs.write(stream, target, shared.fresh_path(spark, "offsets")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+@query(f"SELECT doc_id, {_WORDS_SQL} AS ids FROM documents")
+def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "documents", lambda df: jobs.encoded(df, _small_artifact())).select("doc_id", "ids")
+
+
+@query("SELECT conv_id, turn, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM conversations")
+def stream_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "conversations", lambda df: jobs.normalized(df, Contract(lowercase_mode="ascii"))).select("conv_id", "turn", "text")
+
+
 @query(r"SELECT doc_id, length(regexp_replace(text, '[ -~\t\n\r]', '', 'g')) / greatest(1, length(text)) AS rate FROM documents")
 def unk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = {t: i for i, t in enumerate([*mining.SPECIALS, *mining.ASCII])}
@@ -537,14 +814,29 @@ def frame_cls_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", matcher.framed(F.col("a"), F.col("b")).alias("ids"))
 
 
-@query("SELECT l_orderkey, l_linenumber, [0, 0, 0, 0, 0, 1, 1, 1] AS ids FROM lineitem")
+#: Two sequences of 0 to 6 and of 1 to 3 ids.
+_A_VARIED, _B_VARIED = "range(5, 5 + l_partkey % 7)", "range(9, 10 + l_linenumber % 3)"
+
+
+def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    none = "cast(array() AS array<int>)"
+    a = f"IF(l_partkey % 7 = 0, {none}, sequence(5, cast(4 + l_partkey % 7 AS int)))"
+    return line.select("l_orderkey", "l_linenumber", F.expr(a).alias("a"), F.expr("sequence(9, cast(9 + l_linenumber % 3 AS int))").alias("b"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, list_concat(list_transform(range(0, len({_A_VARIED}) + 2), lambda i: 0), list_transform(range(0, len({_B_VARIED}) + 1), lambda i: 1)) AS ids FROM lineitem")
 def segment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", matcher.segment_ids(F.col("a"), F.col("b")).alias("ids"))
+    return _varied(spark, sf_dir).select("l_orderkey", "l_linenumber", matcher.segment_ids(F.col("a"), F.col("b")).alias("ids"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, ([2] || {_A} || [3, 0, 0])[1:(CASE WHEN l_linenumber % 2 = 0 THEN 7 ELSE 7 END)] AS input_ids, [1, 1, 1, 1, 1, 0, 0] AS attention_mask, [0, 0, 0, 0, 0, 0, 0] AS token_type_ids FROM lineitem")
+@query(
+    f"WITH f AS (SELECT l_orderkey, l_linenumber, list_concat([2], ({_A_VARIED})[1:4], [3]) AS f FROM lineitem) SELECT l_orderkey, l_linenumber, "
+    "list_concat(f, [0, 0, 0, 0])[1:6] AS input_ids, list_transform(range(0, 6), lambda i: CASE WHEN i < len(f) THEN 1 ELSE 0 END) AS attention_mask, list_transform(range(0, 6), lambda i: 0) AS token_type_ids FROM f"
+)
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", matcher.batch(F.col("a"), 7).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    """Length 6: up to 4 ids between the marks, longer sequences cut, shorter ones padded."""
+    return _varied(spark, sf_dir).select("l_orderkey", "l_linenumber", matcher.batch(F.col("a"), 6).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
 # --- validation ---
@@ -589,6 +881,20 @@ def entropy_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.entropy_issues(_suspect_vocab(spark, sf_dir), _TYPED)
 
 
+@query(
+    f"{_ENTROPY_SQL}, i AS (SELECT 'entropy_hex_overflow' AS code, long_hex::VARCHAR || ' of ' || tokens::VARCHAR || ' tokens: of them look like random blobs' AS message FROM c WHERE long_hex > 32 OR long_hex / tokens > 0.005 "
+    "UNION ALL SELECT 'entropy_b64_overflow', b64::VARCHAR || ' of ' || tokens::VARCHAR || ' tokens: of them look like random blobs' FROM c WHERE b64 > 16 OR b64 / tokens > 0.002 "
+    "UNION ALL SELECT 'typed_hygiene_leak_hex', long_hex::VARCHAR || ' of ' || tokens::VARCHAR || ' tokens: raw hex tokens remain beside the typed symbol' FROM c WHERE long_hex > 5 "
+    "UNION ALL SELECT 'typed_hygiene_leak_b64', b64::VARCHAR || ' of ' || tokens::VARCHAR || ' tokens: raw base-64 tokens remain beside the typed symbol' FROM c WHERE b64 > 3), "
+    f"s AS (SELECT unnest({_TYPED!r}) AS symbol) SELECT * FROM i UNION ALL SELECT 'typed_symbol_substring', 'token ''' || min(token) || ''' is a piece of the typed symbol ''' || symbol || '''' "
+    "FROM v JOIN s ON token <> symbol AND length(token) >= 2 AND (contains(token, '<') OR contains(token, '>')) AND contains(symbol, token) GROUP BY symbol"
+)
+def artifact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All guardrails over an artifact's vocabulary."""
+    tokens = sorted(r.token for r in _suspect_vocab(spark, sf_dir).collect())  # a vocabulary, which is the driver's to hold
+    return Artifact({}, {t: i for i, t in enumerate(tokens)}, Contract(), list(mining.SPECIALS)).issues(spark)
+
+
 # --- baselines ---
 
 _WORD_SQL = r"w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) AS word FROM documents) GROUP BY word)"
@@ -639,10 +945,18 @@ _named(
 )
 
 
-@query("SELECT page_id, length(html) AS n FROM pages")
+_TWO_ATTRS = "concat('<a href=\"', url, '\" class=\"c', page_id, '\" id=\"x\">', page_id, '</a>', html)"
+
+
+@query(
+    "WITH h AS (SELECT page_id, '<a href=\"' || url || '\" class=\"c' || page_id::VARCHAR || '\" id=\"x\">' || page_id::VARCHAR || '</a>' || html AS h FROM pages) "
+    r"SELECT page_id, list_sort(list_filter(regexp_split_to_array(replace(h, '>', ' > '), '\s+'), lambda p: p <> '')) AS pieces FROM h"
+)
 def html_attr_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shuffling keeps every character but folds blanks between attributes, of which these pages have one each."""
-    return table(spark, sf_dir, "pages").select("page_id", F.length(drift.attributes_shuffled(F.col("html"))).alias("n"))
+    """Shuffling only moves pieces within their tags, so that the sorted pieces stay what they were."""
+    shuffled = drift.attributes_shuffled(F.expr(_TWO_ATTRS))
+    pieces = F.filter(F.split(F.replace(shuffled, F.lit(">"), F.lit(" > ")), r"\s+"), lambda p: p != "")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(pieces).alias("pieces"))
 
 
 @query("SELECT o_orderkey, levenshtein(o_orderpriority, o_orderstatus || o_orderpriority || 'x') AS d FROM orders")
@@ -670,6 +984,23 @@ def label_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", metrics.label_value(raw).alias("y")).groupBy("event_type", "y").agg(F.count("*").alias("n"))
 
 
+@query("SELECT toxic AS y, count(*) AS n FROM labels GROUP BY toxic")
+def label_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label column found by its usual name, in any case."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("Is_Attack"))
+    return rows.groupBy(metrics.label_value(F.col(metrics.label_column(rows))).alias("y")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, 1 AS one, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS some FROM orders")
+def edit_distance_large_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids beyond the characters: one changed, and one or two changed."""
+    big = lambda *ids: F.array(*(F.col("o_orderkey") + F.lit(i) for i in ids))
+    some = F.when(F.col("o_orderkey") % 2 == 0, big(70000, 70002)).otherwise(big(70003))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", metrics.edit_distance(big(70000), big(70001)).alias("one"), metrics.edit_distance(big(70000, 2_000_000), some).alias("some")
+    )
+
+
 @query(
     "WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 1 AND quality = 1) AS fn, count(*) FILTER (toxic = 0 AND quality = 1) AS tn FROM labels), "
     "r AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS \"precision\", CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c) "
