@@ -7,6 +7,7 @@ expression; no row leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,11 @@ def _whole(pattern: str) -> str:
     return rf"^(?:{pattern})\z"
 
 
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of c with c worked out once; inside lambdas Catalyst shares no common parts."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def number_tag(digits: Column, min_digits: int) -> Column:
     n = F.length(digits)
     bucket = F.concat(F.lit("<NUM_POW10_"), F.least(F.lit(12), F.greatest(F.lit(0), n - 1)).cast("string"), F.lit(">"))
@@ -59,7 +65,10 @@ def hex_tag(c: Column) -> Column:
 
 def value_placeholder(c: Column, min_digits: int = 6) -> Column:
     """What kind of value a text is."""
-    s = strip(c)
+    return bound(strip(c), lambda s: _stripped_placeholder(s, min_digits))
+
+
+def _stripped_placeholder(s: Column, min_digits: int) -> Column:
     return (
         F.when(s == "", "<EMPTY>")
         .when(unprintable(s), "<BYTES>")
@@ -68,8 +77,8 @@ def value_placeholder(c: Column, min_digits: int = 6) -> Column:
         .when(s.rlike(_whole(rf"{_OCTET}(?:\.{_OCTET}){{3}}")), "<IPV4>")
         .when(s.rlike(_whole(f"(?:{_X}{{1,4}}:){{2,7}}{_X}{{1,4}}")), "<IPV6>")
         .when(s.rlike(_whole(rf"\d{{4}}-\d\d-\d\d(?:{_CLOCK})?(?:[+-]\d\d:?\d\d|Z)?|\d{{10,13}}")), "<TS>")
-        .when(hash_tag(s).isNotNull(), hash_tag(s))
-        .when(hex_tag(s).isNotNull(), hex_tag(s))
+        .when(s.rlike(_whole(f"{_X}{{32,}}")), hash_tag(s))
+        .when(s.rlike(_whole(f"{_X}{{16,}}")), hex_tag(s))
         .when(is_base64(s), "<B64>")
         .when(s.rlike(_whole("[0-9]+")), number_tag(s, min_digits))
         .otherwise("<STR>")
@@ -81,13 +90,15 @@ def _cut(c: Column, most: int) -> Column:
 
 
 def key_tokens(c: Column, most: int = 64) -> Column:
-    s = strip(c)
-    odd = F.when(s == "", "<EMPTY>").when(unprintable(s), "<BYTES>").when(s.rlike(_PCT), "<URLENC>")
-    return F.when(odd.isNotNull(), F.array(odd)).otherwise(_cut(s, most))
+    odd = lambda s: F.when(s == "", "<EMPTY>").when(unprintable(s), "<BYTES>").when(s.rlike(_PCT), "<URLENC>")
+    return bound(strip(c), lambda s: bound(odd(s), lambda o: F.when(o.isNotNull(), F.array(o)).otherwise(_cut(s, most))))
 
 
 def cookie_key_tokens(c: Column, most: int = 64) -> Column:
-    s = strip(c)
+    return bound(strip(c), lambda s: _stripped_cookie_key(s, most))
+
+
+def _stripped_cookie_key(s: Column, most: int) -> Column:
     edged = rf"(?<![0-9A-Za-z_]){_UUID}(?![0-9A-Za-z_])"
     typed = F.regexp_replace(F.regexp_replace(s, _PCT, "<URLENC>"), edged, "<UUID>")
     for n in (16, 24, 32, 64):
@@ -95,13 +106,13 @@ def cookie_key_tokens(c: Column, most: int = 64) -> Column:
     typed = F.regexp_replace(typed, f"(?<!<HEX_)(?<!{_X}){_X}{{16,}}", "<HEX>")
     typed = F.regexp_replace(typed, "[0-9A-Za-z+/_-]{24,}={0,2}", "<B64>")
     odd = F.when(s == "", "<EMPTY>").when(unprintable(s), "<BYTES>")
-    return F.when(odd.isNotNull(), F.array(odd)).otherwise(_cut(typed, most))
+    return F.when(odd.isNotNull(), F.array(odd)).otherwise(bound(typed, lambda t: _cut(t, most)))
 
 
 def raw_value_tokens(c: Column, min_digits: int, most: int) -> Column:
     """The value itself if it is a word or a short number, else its placeholder."""
-    tag = value_placeholder(c, min_digits)
-    return F.when(~tag.isin("<STR>", "<NUM>"), F.array(tag)).when(unprintable(c), F.array(F.lit("<BYTES>"))).otherwise(_cut(c, most))
+    shown = lambda tag: F.when(~tag.isin("<STR>", "<NUM>"), F.array(tag)).when(unprintable(c), F.array(F.lit("<BYTES>"))).otherwise(_cut(c, most))
+    return bound(value_placeholder(c, min_digits), shown)
 
 
 def pairs(c: Column, sep: str) -> Column:
@@ -139,8 +150,11 @@ def _url_part(c: Column, group: int) -> Column:
 
 
 def url_tokens(c: Column, min_digits: int = 6) -> Column:
-    url = strip(c)
-    path = F.when(_url_part(url, 1) == "", url).otherwise(_url_part(url, 1))
+    path = lambda url: bound(_url_part(url, 1), lambda p: F.when(p == "", url).otherwise(p))
+    return bound(strip(c), lambda url: bound(path(url), lambda p: _path_tokens(url, p, min_digits)))
+
+
+def _path_tokens(url: Column, path: Column, min_digits: int) -> Column:
     rooted = path.startswith("/")
     segments = F.split(F.regexp_replace(path, "^/", ""), "/")
     last = F.size(segments) - 1
@@ -163,7 +177,9 @@ _HEADER = rf"(?s)^[{BLANK}]*([^:]+):[{BLANK}]*(.*)\z"
 def header_tokens(headers: Column, marks: Marks, min_digits: int) -> Column:
     def one(line: Column) -> Column:
         name = lower_ascii(strip(F.regexp_extract(line, _HEADER, 1)))
-        value = strip(F.regexp_extract(line, _HEADER, 2))
+        return bound(name, lambda n: bound(strip(F.regexp_extract(line, _HEADER, 2)), lambda v: named(n, v)))
+
+    def named(name: Column, value: Column) -> Column:
         kind = lower_ascii(value)
         typed = (
             F.when(name == "cookie", cookie_tokens(value, min_digits))
@@ -180,41 +196,48 @@ def header_tokens(headers: Column, marks: Marks, min_digits: int) -> Column:
 
 def json_object_tokens(variant: Column, marks: Marks, min_digits: int) -> Column:
     """Keys in order, one level deep: kinds of values in place of values."""
-    members = F.variant_get(variant, "$", "map<string,variant>")
+    none = F.array().cast("array<string>")
 
-    def one(key: Column) -> Column:
-        value = F.element_at(members, key)
-        kind = F.schema_of_variant(value)
-        shown = F.variant_get(value, "$", "string")
+    def shown(kind: Column, text: Column) -> Column:
         whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$")
-        tag = (
+        return (
             F.when(kind.isNull() | (kind == "VOID"), F.lit(marks.empty))
-            .when(kind == "BOOLEAN", shown)
-            .when(whole, number_tag(shown, min_digits))
+            .when(kind == "BOOLEAN", text)
+            .when(whole, number_tag(text, min_digits))
             .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "<NUM>")
-            .when(kind == "STRING", value_placeholder(shown, min_digits))
+            .when(kind == "STRING", value_placeholder(text, min_digits))
             .otherwise("<JSON>")
         )
+
+    def one(key: Column, value: Column) -> Column:
+        tag = bound(F.schema_of_variant(value), lambda kind: bound(F.variant_get(value, "$", "string"), lambda text: shown(kind, text)))
         return F.array(F.concat(F.lit(marks.key_prefix), key, F.lit(marks.key_suffix)), F.lit(marks.sep), tag, F.lit(marks.eol))
 
-    return F.flatten(F.transform(F.array_sort(F.map_keys(members)), one))
+    def all_of(members: Column) -> Column:
+        return F.flatten(F.transform(F.array_sort(F.map_keys(members)), lambda key: bound(F.element_at(members, key), lambda value: one(key, value))))
+
+    return F.coalesce(bound(F.variant_get(variant, "$", "map<string,variant>"), all_of), none)
 
 
 def body_tokens(body: Column, marks: Marks, min_digits: int, max_len: int) -> Column:
-    s = strip(body)
-    looks = s.startswith("{") | s.startswith("[")
-    value = F.when(looks, F.try_parse_json(s))
-    kind = F.schema_of_variant(value)
-    raw = F.concat(F.array(F.lit("<RAW>")), _cut(s, max_len))
-    typed = (
-        F.when(kind.startswith("OBJECT"), F.concat(F.array(F.lit("<JSON>")), json_object_tokens(value, marks, min_digits)))
-        .when(kind.startswith("ARRAY"), F.array(F.lit("<JSON>"), F.lit("<LIST>")))
-        .when(looks, raw)
-        .when(s.contains("&") & s.contains("="), F.concat(F.array(F.lit("<FORM>")), query_tokens(s, min_digits)))
-        .otherwise(raw)
-    )
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(s != "", F.concat(F.array(F.lit("<BODY>")), typed)), none)
+
+    def typed(s: Column, value: Column, kind: Column) -> Column:
+        raw = F.concat(F.array(F.lit("<RAW>")), _cut(s, max_len))
+        return (
+            F.when(kind.startswith("OBJECT"), F.concat(F.array(F.lit("<JSON>")), json_object_tokens(value, marks, min_digits)))
+            .when(kind.startswith("ARRAY"), F.array(F.lit("<JSON>"), F.lit("<LIST>")))
+            .when(s.startswith("{") | s.startswith("["), raw)
+            .when(s.contains("&") & s.contains("="), F.concat(F.array(F.lit("<FORM>")), query_tokens(s, min_digits)))
+            .otherwise(raw)
+        )
+
+    def parsed(s: Column) -> Column:
+        value = F.when(s.startswith("{") | s.startswith("["), F.try_parse_json(s))
+        whole = bound(value, lambda v: bound(F.schema_of_variant(v), lambda kind: typed(s, v, kind)))
+        return F.when(s != "", F.concat(F.array(F.lit("<BODY>")), whole))
+
+    return F.coalesce(bound(strip(body), parsed), none)
 
 
 def from_parts(method: Column, url: Column, proto: Column, headers: Column, body: Column, marks: Marks = Marks(), min_digits: int = 6, max_len: int = 4096) -> Column:
