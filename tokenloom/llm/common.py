@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows handed at once to the vectorised functions; bounds a worker's memory, not the result.
+#: Rows and bytes handed at once to the vectorised functions; they bound a worker's memory, not the result.
 SLICE_ROWS = 512
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,53 @@ def use_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+#: Paths of the tables stored so far, by enclosing scratch().
+_STORED: list[list[str]] = [[]]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared checkpoint folder and read again, and the table's path."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}-{name}"
+    _STORED[-1].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a stored table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared checkpoint folder and with their lineage cut."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """The same rows as a stored table: their lineage is cut, and a lost executor loses none of them."""
+    return stored(df, "settled")[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, on leaving and after a failure too, the tables stored inside and those added to the list given."""
+    _STORED.append([])
+    try:
+        yield _STORED[-1]
+    finally:
+        for path in _STORED.pop():
+            dropped(spark, path)
+
+
+def outliving(path: str) -> str:
+    """path, handed on from the innermost scratch() to what encloses it."""
+    _STORED[-1].remove(path)
+    _STORED[-2].append(path)
+    return path
+
+
+def released(spark: SparkSession) -> None:
+    """Delete the tables stored outside any scratch(); call it when no result is needed any more."""
+    while _STORED[0]:
+        dropped(spark, _STORED[0].pop())
 
 
 def if_small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
@@ -67,15 +112,56 @@ def field_type(df: DataFrame, column: str) -> T.DataType:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """mapInArrow over slices of at most SLICE_ROWS rows."""
+    return map_arrow_with(df, lambda: fn, schema)
+
+
+def map_arrow_with(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """The same, with the function made anew in each task, so that what it remembers dies with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                yield fn(batch.slice(start, SLICE_ROWS))
+            # rows of a batch are of like size in the mean; a single longer one is a slice of its own at worst
+            step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                yield fn(batch.slice(start, step))
 
     return df.mapInArrow(run, schema)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.Table]:
+    """The rows of batches sorted by an integer key, in tables of some `least` rows that cut no run of equal keys."""
+    held: list[pa.Table] = []
+    rows, wanted = 0, least
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+        if rows >= wanted:
+            whole = pa.concat_tables(held).combine_chunks()
+            keys = whole.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield whole.slice(0, cut)
+            held, rows = [whole.slice(cut)], rows - cut
+            wanted = max(least, 2 * rows)
+    if rows:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def collapsed(items: DataFrame, *value: str) -> tuple[DataFrame, DataFrame]:
+    """Of settled items (id, *value), the least id of each value with it, and edges (a, b) from each other id to that one.
+
+    Counts are combined before the shuffle, and only values that repeat are joined back, so a value that a third of
+    all items bear is one row of it.
+    """
+    heads = settled(items.groupBy(*value).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    again = heads.where("n > 1").select(F.col("id").alias("b"), *(F.col(v).alias("r_" + v) for v in value))
+    same = [F.col(v) == F.col("r_" + v) for v in value]
+    edges = items.join(if_small(again), same).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return heads.select("id", *value), edges
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the n + 1 offsets; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -88,31 +174,34 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node of the component.
 
-    Alternating large-star and small-star steps, each one shuffle; rounds grow with the logarithm of
-    a component's diameter. Each round is checkpointed, so a lost executor costs one round at most.
+    Alternating large-star and small-star steps; rounds grow with the logarithm of a component's diameter. Each
+    step is stored, so a lost executor costs one step at most. A node's least neighbour is found by an
+    aggregation and joined back, so that the edges of a hub need not meet in one task.
     Self-loops and repeated edges are allowed; an edge with a null end is ignored.
     """
-    by_u = Window.partitionBy("u")
-    cur = settled(
+    spark = edges.sparkSession
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), F.col("u") == F.col("w")).drop("w")
+
+    cur, path = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
+        .distinct(),
+        "edges",
     )
     before = None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.withColumn("m", F.least(F.min("v").over(by_u), F.col("u")))
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        small = large.withColumn("m", F.min("v").over(by_u))
-        cur = settled(
-            small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
+        # large star: each node's greater neighbours go to its least one
+        large = with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large, between = stored(large.distinct(), "edges")
+        # small star: each node and its lesser neighbours go to the least of them
+        pair = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        last = path
+        cur, path = stored(with_least(large).select(pair.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        dropped(spark, last)
+        dropped(spark, between)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -134,20 +223,6 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int =
     sizes = sizes.select(F.col(total + "_s"), ((2.0 * most + 100) / F.col(total)).alias(bar))
     drawn = df.withColumn(draw, F.xxhash64(F.lit(seed), key) / F.lit(float(2**63)) * 0.5 + 0.5)
     drawn = drawn.join(if_small(sizes), F.col(stratum) == F.col(total + "_s")).where(F.col(draw) <= F.col(bar))
-    drawn = drawn.withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key)))
+    # rows that share a key are ordered by all they hold
+    drawn = drawn.withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key, *(c for c in df.columns if c not in (key, stratum)))))
     return drawn.where(F.col(place) <= most).select(*df.columns)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared checkpoint folder and read again, and the table's path."""
-    spark = df.sparkSession
-    use_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a stored table."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
