@@ -9,17 +9,21 @@ the non-negative unbiased risk
 
     prior * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - prior * E_P[loss(g, -)])
 
-with the sigmoid loss; where the second term is negative its gradient is reversed. Fitting uses at most POSITIVES
-trusted and UNLABELLED unlabelled documents, drawn by hash; the prior's counts and the scores cover all documents.
+with the sigmoid loss; where the second term is negative its gradient is reversed. E_U is taken over all documents with
+words: each step is one pass over the stored features in which every task sums its rows' losses and gradients, so only a
+few hundred numbers come to the driver. E_P is taken over at most POSITIVES trusted documents, drawn by hash.
+FIRST_STEPS and STEPS say how many passes the two fits make.
 
 Defined cases: null text is read as empty; a document without words scores 0 and is not kept; without trusted
-positives every document with words is kept with score 0.5; a null id is scored like any other but not learned from; repeated rows score alike;
-very long texts are read whole; an empty table gives an empty result; extra columns cannot clash, for only id
-and text are read.
+positives every document with words is kept with score 0.5; a document with labels both 1 and 0 is trusted; a null id is
+scored like any other but not trusted; of rows that share a trusted id the one of least features is learned from; repeated
+rows score alike, and ties in the score are kept or not together; very long texts are read whole; an empty table gives an
+empty result; extra columns cannot clash, for only id and text are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -29,12 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import bounded_sample, field_type, map_arrow, settled, text_bytes
+from tokenloom.llm.common import bounded_sample, field_type, if_small, map_arrow, settled, text_bytes
 
 POSITIVES = 4000
-UNLABELLED = 8000
 HIDDEN = 24
-STEPS = 600
+FIRST_STEPS, STEPS = 20, 30
 #: A tail must hold this share of the positives for its ratio to count in the prior.
 LEAST_TAIL = 0.2
 
@@ -96,61 +99,108 @@ def featured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 @dataclass
 class Net:
-    """tanh network with one hidden layer on standardised features; output g > 0 means positive."""
+    """tanh network with one hidden layer on standardised features; output g > 0 means positive. theta holds w1, b1, w2, b2."""
 
     mean: np.ndarray
     spread: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
+    theta: np.ndarray
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(np.clip((x - self.mean) / self.spread, -6, 6) @ self.w1 + self.b1)
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        n = len(self.mean) * HIDDEN
+        return self.theta[:n].reshape(-1, HIDDEN), self.theta[n : n + HIDDEN], self.theta[n + HIDDEN : -1], self.theta[-1]
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -6, 6)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.hidden(x) @ self.w2 + self.b2
+        w1, b1, w2, b2 = self.parts()
+        return np.tanh(self.scaled(x) @ w1 + b1) @ w2 + b2
+
+    def sums(self, x: np.ndarray, loss: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sum of the loss over the rows, and of its gradient by theta."""
+        w1, b1, w2, b2 = self.parts()
+        z = self.scaled(x)
+        h = np.tanh(z @ w1 + b1)
+        value, slope = loss(h @ w2 + b2)
+        dh = np.outer(slope, w2) * (1 - h * h)
+        return np.concatenate([[value.sum()], (z.T @ dh).ravel(), dh.sum(axis=0), h.T @ slope, [slope.sum()]])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 11) -> Net:
-    """prior None: plain logistic loss between the two samples. Else the non-negative risk."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    both = np.concatenate([positive, unlabelled])
-    net = Net(both.mean(axis=0), both.std(axis=0) + 1e-3, rng.normal(0, both.shape[1] ** -0.5, (both.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
-    moments: list[list] = [[0.0, 0.0] for _ in range(4)]
-    for step in range(1, STEPS + 1):
-        p, u = (s[rng.integers(0, len(s), 512)] for s in (positive, unlabelled))
-        x = np.concatenate([p, u])
-        z = np.clip((x - net.mean) / net.spread, -6, 6)
-        h = np.tanh(z @ net.w1 + net.b1)
-        g = h @ net.w2 + net.b2
-        gp, gu = g[:512], g[512:]
-        if prior is None:
-            dp, du = -sigmoid(-gp) / 512, sigmoid(gu) / 512
-        else:
-            # sigmoid loss: loss(g, +) = s(-g), loss(g, -) = s(g); both have slope s(g) s(-g)
-            slope_p, slope_u = sigmoid(gp) * sigmoid(-gp) / 512, sigmoid(gu) * sigmoid(-gu) / 512
-            negative = sigmoid(gu).mean() - prior * sigmoid(gp).mean()
-            if negative >= 0:
-                dp, du = -2 * prior * slope_p, slope_u
-            else:
-                dp, du = prior * slope_p, -slope_u
-        d = np.concatenate([dp, du])
-        dh = np.outer(d, net.w2) * (1 - h * h)
-        grads = [z.T @ dh + 1e-4 * net.w1, dh.sum(axis=0), h.T @ d + 1e-4 * net.w2, d.sum()]
-        rate = 0.01 * (1 - 0.9 * step / STEPS)
-        moved = []
-        for m, value, grad in zip(moments, (net.w1, net.b1, net.w2, net.b2), grads):
-            m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * grad * grad
-            moved.append(value - rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8))
-        net = Net(net.mean, net.spread, *moved)
+def sigmoid_loss(sign: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Loss s(-g) of calling a positive (sign 1), or s(g) of a negative (-1), and its slope by g."""
+    return lambda g: (sigmoid(-sign * g), -sign * sigmoid(g) * sigmoid(-g))
+
+
+def log_loss(sign: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    return lambda g: (np.logaddexp(0, -sign * g), -sign * sigmoid(-sign * g))
+
+
+Total = Callable[[Net, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]], np.ndarray]
+
+
+def risk(net: Net, positive: np.ndarray, unlabelled: Total, prior: float | None) -> tuple[float, np.ndarray, bool]:
+    """Risk, its descent gradient, and whether the second term was negative. prior None: plain log loss, either side counting alike."""
+    mean = lambda loss: net.sums(positive, loss) / len(positive)
+    if prior is None:
+        both = mean(log_loss(1)) + unlabelled(net, log_loss(-1))
+        return both[0], both[1:], False
+    as_positive, as_negative = prior * mean(sigmoid_loss(1)), prior * mean(sigmoid_loss(-1))
+    rest = unlabelled(net, sigmoid_loss(-1)) - as_negative
+    if rest[0] >= 0:
+        return as_positive[0] + rest[0], as_positive[1:] + rest[1:], False
+    return as_positive[0], -rest[1:], True
+
+
+def fit(start: Net, positive: np.ndarray, unlabelled: Total, prior: float | None, steps: int) -> Net:
+    """Full-batch descent by resilient steps: each weight has a step of its own, longer while the gradient keeps its sign."""
+    net, size, before = start, np.full(len(start.theta), 0.05), np.zeros(len(start.theta))
+    for _ in range(steps):
+        _, grad, _ = risk(net, positive, unlabelled, prior)
+        grad = grad + 1e-4 * net.theta
+        same = grad * before
+        size = np.clip(np.where(same > 0, 1.2 * size, np.where(same < 0, 0.5 * size, size)), 1e-6, 0.5)
+        grad = np.where(same < 0, 0, grad)
+        net = Net(net.mean, net.spread, net.theta - np.sign(grad) * size)
+        before = grad
     return net
 
 
+def fresh_net(mean: np.ndarray, spread: np.ndarray, seed: int = 11) -> Net:
+    rng, n = np.random.Generator(np.random.PCG64(seed)), len(mean)
+    theta = [rng.normal(0, n**-0.5, n * HIDDEN), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), [0.0]]
+    return Net(mean, spread, np.concatenate(theta))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The feature rows of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, FEATURES)
+
+
+def summed(feats: DataFrame, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """sums() of all rows' x; every task adds up its own, and the tasks' sums are added in Spark."""
+    schema = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            x = matrix(batch.column(0))
+            for start in range(0, len(x), 8192):
+                total = total + sums(x[start : start + 8192])
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
+
+    rows = feats.select("x").mapInArrow(run, schema).groupBy("at").agg(F.sum("value").alias("value")).collect()
+    return np.array([r.value for r in sorted(rows)])
+
+
+def over_all(feats: DataFrame, rows: float) -> Total:
+    return lambda net, loss: summed(feats, lambda x: net.sums(x, loss)) / rows
+
+
 def _score(feats: DataFrame, net: Net, key: str, column: str) -> DataFrame:
     sent = feats.sparkSession.sparkContext.broadcast(net)
     kept = [f for f in feats.schema if f.name != "x"]
@@ -161,47 +211,47 @@ def _score(feats: DataFrame, net: Net, key: str, column: str) -> DataFrame:
         there = column.is_valid().to_numpy(zero_copy_only=False)
         out = np.zeros(batch.num_rows)
         if there.any():
-            out[there] = sigmoid(sent.value(np.array(column.drop_null().to_pylist(), np.float64)))
+            out[there] = sigmoid(sent.value(matrix(column.drop_null())))
         return pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(out, mask=~there)], names=schema.fieldNames())
 
     return map_arrow(feats, run, schema)
 
 
-def prior_of(scores: DataFrame) -> float:
-    """Estimated share of positives, from rows (score, trusted) of the whole corpus: least ratio of the tails above any score."""
-    bins = scores.where("score IS NOT NULL").groupBy(F.floor(F.col("score") * 200).cast("int").alias("b")).agg(
-        F.count("*").alias("u"), F.sum(F.col("trusted").cast("bigint")).alias("p")
-    )
-    rows = sorted((r.b, r.u, r.p) for r in bins.collect())  # at most 201 rows
-    u, p = (np.cumsum([r[k] for r in rows][::-1]).astype(float) for k in (1, 2))
-    if not len(u) or not p[-1]:
+def prior_of(all_bins: np.ndarray, trusted_bins: np.ndarray) -> float:
+    """Estimated share of positives, from counts by score of the whole corpus and of trusted positives: least ratio of the tails above any score."""
+    u, p = (np.cumsum(bins[::-1]).astype(float) for bins in (all_bins, trusted_bins))
+    if not u[-1] or not p[-1]:
         return 1.0
     tail = (p / p[-1] >= LEAST_TAIL) & (p > 0)
     # the upper end of each ratio's error keeps a chance dip from deciding
     ratio = (u / u[-1]) / np.maximum(p / p[-1], 1e-9) * (1 + 1 / np.sqrt(np.maximum(p, 1)))
-    return float(np.clip(ratio[tail].min(), 0.05, 0.99))
+    return float(min(ratio[tail].min(), 1.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", positives: int = POSITIVES) -> DataFrame:
     """Rows (key, score, keep), one for each row of docs; keep: score >= 0.5."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("t_id")).distinct()
     feats = settled(featured(docs, key, text))
     usable = feats.where(F.col("x").isNotNull())
-    ids = usable.select(key).join(trusted, F.col(key) == F.col("t_id"), "left_semi").distinct().withColumn("s", F.lit(1))
-    chosen = settled(bounded_sample(ids, key, "s", positives).select(F.col(key).alias("c_id")))
-    fetch = lambda rows: np.array([r.x for r in rows.orderBy(key).select("x").collect()], np.float64)
-    picked = usable.join(F.broadcast(chosen), F.col(key) == F.col("c_id"), "left_semi").dropDuplicates([key])
-    pos = fetch(picked)
+    # the ids of few documents are labelled; their feature rows are the only ones that are joined
+    known = settled(usable.join(if_small(settled(trusted), 16), F.col(key) == F.col("t_id"), "left_semi").groupBy(key).agg(F.min("x").alias("x")))
+    chosen = bounded_sample(known.withColumn("s", F.lit(1)), key, "s", positives)
+    left_out = F.pmod(F.xxhash64(F.lit(9), F.col(key)), F.lit(2)) == 0
+    got = chosen.select("x", left_out.alias("left_out")).orderBy(key).collect()
+    pos = np.array([r.x for r in got], np.float64)
     if not len(pos):
         return feats.select(F.col(key), F.when(F.col("x").isNotNull(), 0.5).otherwise(0.0).alias("score"), F.col("x").isNotNull().alias("keep"))
-    unl = fetch(bounded_sample(usable.withColumn("s", F.lit(1)), key, "s", unlabelled, seed=23))
-    left_out = F.pmod(F.xxhash64(F.lit(9), F.col(key)), F.lit(2)) == 0
-    part = fetch(picked.where(~left_out))
-    if not 0 < len(part) < len(pos):
-        part, left_out = pos, F.lit(True)
-    first = _fit(part, unl, None)
-    marked = usable.join(trusted.withColumn("trusted", F.lit(True)), F.col(key) == F.col("t_id"), "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)) & left_out)
-    prior = prior_of(_score(marked.select(key, "x", "trusted"), first, key, "score"))
-    net = _fit(pos, unl, prior)
+    aside = np.array([r.left_out for r in got])
+    if aside.all() or not aside.any():
+        aside = np.zeros(len(pos), bool)
+    moments = summed(usable, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    n, mean, square = moments[0], moments[1 : FEATURES + 1] / moments[0], moments[FEATURES + 1 :] / moments[0]
+    everything = over_all(usable, n)
+    first = fit(fresh_net(mean, np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3), pos[~aside], everything, None, FIRST_STEPS)
+    # the tail ratio needs the positives' scores and the whole corpus's, in 200 bins each
+    bins = summed(usable, lambda x: np.bincount((sigmoid(first(x)) * 200).astype(np.int64), minlength=201).astype(float))
+    held = pos[aside] if aside.any() else pos
+    prior = prior_of(bins, np.bincount((sigmoid(first(held)) * 200).astype(np.int64), minlength=201).astype(float))
+    net = fit(first, pos, everything, prior, STEPS)
     scored = _score(feats, net, key, "score")
     return scored.select(F.col(key), F.coalesce("score", F.lit(0.0)).alias("score"), (F.coalesce("score", F.lit(0.0)) >= 0.5).alias("keep"))
