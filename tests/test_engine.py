@@ -192,7 +192,6 @@ def test_merged_vocabularies_equal_plain_merging(spark, prefix):
 
 @pytest.mark.parametrize("kind", ["bpe", "wordpiece", "unigram"])
 def test_baselines_are_written_and_encode(spark, tmp_path, kind):
-    pytest.importorskip("tokenizers")
     texts = spark.createDataFrame([(k, "walking talking walked talked 10.0.0.1 king") for k in range(20)], "id bigint, text string")
     build_baseline(kind, texts, tmp_path / "m", 80, Contract(), min_freq=2, hygiene_folder=tmp_path / "h", version="v1", emit_contract=True)
     assert tokenizer_config(tmp_path / "m")["tokenizer_version"] == "v1" and HygieneArtifact.load(tmp_path / "h").hygiene_version == "v1"
@@ -328,7 +327,6 @@ def test_running_and_windowed_counts(spark, tmp_path):
 
 
 def test_matrix_measures_every_pair(spark, tmp_path):
-    pytest.importorskip("tokenizers")
     rows = spark.createDataFrame([(k, f"GET /item/{k}  q" if k % 2 else f"POST /cart/{k}  r", k % 2) for k in range(40)], "id bigint, text string, label int")
     build = Build(trainer=Trainer(vocab_size=120, min_freq=2))
     got = runs.matrix({"waf": rows}, tmp_path, ("vocabulary", "bpe"), build, budget=100)

@@ -13,6 +13,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,48 +248,27 @@ def _word_encoder(word_ids):
     return lambda text: encode(words(text))
 
 
-def _lattice(word: str, logp: dict[str, float], longest: int) -> tuple[list[list[tuple[int, float]]], int]:
-    n = len(word)
-    return [[(s, logp[word[s:e]]) for s in range(max(0, e - longest), e) if word[s:e] in logp] for e in range(n + 1)], n
-
-
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
-def _expected(word: str, weight: int, logp: dict[str, float], longest: int, into: dict[str, float]) -> None:
-    arcs, n = _lattice(word, logp, longest)
-    forward = [0.0] + [-math.inf] * n
-    for e in range(1, n + 1):
-        for s, p in arcs[e]:
-            forward[e] = _log_add(forward[e], forward[s] + p)
-    if forward[n] == -math.inf:
-        return
-    backward = [-math.inf] * n + [0.0]
-    for e in range(n, 0, -1):
-        for s, p in arcs[e]:
-            backward[s] = _log_add(backward[s], p + backward[e])
-            into[word[s:e]] = into.get(word[s:e], 0.0) + weight * math.exp(forward[s] + p + backward[e] - forward[n])
-
-
 def unigram(counts: DataFrame, size: int, longest: int = 16, seeds: int = 100_000, rounds: int = 2, shrink: float = 0.75) -> dict[str, float]:
     """Log probabilities of `size` pieces, specials included: EM over segmentations, the least used pieces pruned.
 
-    Seeds are the `seeds` substrings of most frequency times length, and all characters. Words stay distributed; what
-    comes to the driver is one number per piece.
+    Seeds are the `seeds` substrings of most frequency times length, and all characters. Each word's lattice is laid out
+    once, as the numbers of the pieces that end at each place, and stored; words stay distributed, and what comes to the
+    driver is one number per piece and round.
     """
-    counts = counts.persist()
+    spark = counts.sparkSession
+    counts, words_path = settled(counts.select("word", "n"))
+    subs = spans(counts.withColumnRenamed("word", "piece"), 1, longest).groupBy("token").agg(F.sum("n").alias("n"))
+    subs, subs_path = settled(subs.where((F.length("token") == 1) | (F.col("n") > 1)))
+    chars = {r.token: r.n for r in subs.where(F.length("token") == 1).collect()}
+    multi = subs.where(F.length("token") > 1).orderBy(F.desc(F.col("n") * F.length("token")), "token").limit(seeds)
+    weight = {**{r.token: float(r.n) for r in multi.collect()}, **{c: float(n) for c, n in chars.items()}}
+    pieces = list(weight)
+    lattices, lattices_path = settled(_lattices(counts, pieces, longest))
     try:
-        subs = spans(counts.withColumnRenamed("word", "piece"), 1, longest).groupBy("token").agg(F.sum("n").alias("n"))
-        chars = {r.token: r.n for r in subs.where(F.length("token") == 1).collect()}
-        multi = subs.where((F.length("token") > 1) & (F.col("n") > 1)).orderBy(F.desc(F.col("n") * F.length("token")), "token").limit(seeds)
-        weight = {**{r.token: float(r.n) for r in multi.collect()}, **{c: float(n) for c, n in chars.items()}}
         goal = size - len(SPECIALS)
         while True:
             for _ in range(rounds):
-                weight = _m_step(_e_step(counts, weight, longest), chars)
+                weight = _m_step(_e_step(lattices, pieces, weight), chars)
             kept = [t for t in weight if t not in chars]
             room = goal - len(chars)
             if len(kept) <= room:
@@ -297,26 +277,85 @@ def unigram(counts: DataFrame, size: int, longest: int = 16, seeds: int = 100_00
             best = sorted(kept, key=lambda t: (-weight[t] * (len(t) - 1 or 1), t))[: max(keep, 0)]
             weight = {**{t: weight[t] for t in best}, **{c: weight.get(c, 1e-3) for c in chars}}
     finally:
-        counts.unpersist()
+        for path in (words_path, subs_path, lattices_path):
+            dropped(spark, path)
     total = sum(weight.values())
     ranked = sorted(weight, key=lambda t: (-weight[t], t))[: max(goal, len(chars))]
     return {**{s: 0.0 for s in SPECIALS}, **{t: math.log(weight[t] / total) for t in ranked}}
 
 
-def _e_step(counts: DataFrame, weight: dict[str, float], longest: int) -> dict[str, float]:
-    total = sum(weight.values())
-    logp = {t: math.log(w / total) for t, w in weight.items() if w > 0}
-    sent = counts.sparkSession.sparkContext.broadcast(logp)  # bounded by the number of seeds
+def _lattices(counts: DataFrame, pieces: list[str], longest: int) -> DataFrame:
+    """Rows (size, n, arcs): for each end of a word, the numbers of the pieces of 1, 2, ... characters before it; -1 for none."""
+    sent = counts.sparkSession.sparkContext.broadcast(pieces)  # bounded by the number of seeds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into: dict[str, float] = {}
+        number = {t: i for i, t in enumerate(sent.value)}
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _expected(w, n, sent.value, longest, into)
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], names=["token", "w"])
+            ws = batch.column(0).to_pylist()
+            arcs = []
+            for w in ws:
+                wide = min(longest, len(w))
+                arcs.append([number.get(w[e - k : e], -1) if k <= e else -1 for e in range(1, len(w) + 1) for k in range(1, wide + 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(len, ws)), pa.int32()), batch.column(1), pa.array(arcs, pa.list_(pa.int32()))], names=["size", "n", "arcs"])
+
+    return counts.where("word <> ''").mapInArrow(run, "size int, n bigint, arcs array<int>")
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials along the last axis; -inf where all are."""
+    top = x.max(axis=-1, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=-1)) + top[..., 0]
+
+
+def expected_counts(arcs: np.ndarray, n: np.ndarray, logp: np.ndarray, into: np.ndarray) -> None:
+    """Adds to `into` the expected uses of each piece over words of one length, n times each. arcs: words by ends by piece lengths."""
+    words, size, wide = arcs.shape
+    p = logp[arcs]  # the last entry of logp, which -1 takes, is -inf
+    forward = np.full((words, size + 1), -np.inf)
+    backward = np.full((words, size + 1), -np.inf)
+    forward[:, 0] = backward[:, size] = 0.0
+    for e in range(1, size + 1):
+        k = min(wide, e)
+        forward[:, e] = _log_sum(forward[:, e - k : e][:, ::-1] + p[:, e - 1, :k])
+    for s in range(size - 1, -1, -1):
+        k = min(wide, size - s)
+        ends = np.arange(s, s + k)
+        backward[:, s] = _log_sum(backward[:, s + 1 : s + k + 1] + p[:, ends, np.arange(k)])
+    for k in range(1, wide + 1):
+        ends = np.arange(k, size + 1)
+        at = forward[:, ends - k] + p[:, ends - 1, k - 1] + backward[:, ends] - forward[:, size][:, None]
+        use = np.where(np.isfinite(forward[:, size])[:, None], np.exp(at, where=np.isfinite(at), out=np.zeros_like(at)), 0.0) * n[:, None]
+        np.add.at(into, arcs[:, ends - 1, k - 1].ravel(), use.ravel())
+
+
+def _e_step(lattices: DataFrame, pieces: list[str], weight: dict[str, float]) -> dict[str, float]:
+    total = sum(weight.values())
+    logp = np.full(len(pieces) + 1, -np.inf)
+    for i, t in enumerate(pieces):
+        if weight.get(t, 0.0) > 0:
+            logp[i] = math.log(weight[t] / total)
+    sent = lattices.sparkSession.sparkContext.broadcast(logp)  # bounded by the number of seeds
 
-    sums = counts.select("word", "n").mapInArrow(run, "token string, w double").groupBy("token").agg(F.sum("w").alias("w"))
-    return {r.token: r.w for r in sums.collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = np.zeros(len(sent.value))
+        for batch in batches:
+            sizes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            flat, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                width = int(ends[rows[0]] - (ends[rows[0] - 1] if rows[0] else 0))
+                step = max(1, 500_000 // width)
+                for at in range(0, len(rows), step):
+                    own = rows[at : at + step]
+                    arcs = flat[(ends[own] - width)[:, None] + np.arange(width)].reshape(len(own), size, width // size)
+                    expected_counts(arcs, n[own].astype(float), sent.value, into)
+        used = np.flatnonzero(into[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(into[used])], names=["piece", "w"])
+
+    sums = lattices.mapInArrow(run, "piece int, w double").groupBy("piece").agg(F.sum("w").alias("w"))
+    return {pieces[r.piece]: r.w for r in sums.collect()}
 
 
 def _m_step(expected: dict[str, float], chars: dict[str, int]) -> dict[str, float]:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import json
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import drift
-from tokenloom.operators import metrics
+from tokenloom.operators import baselines, metrics
 from tokenloom.plans.artifact import Artifact, Runtime
 from tokenloom.plans.build import build_baseline, build_vocabulary
 from tokenloom.plans.config import Build
@@ -31,18 +31,13 @@ def verified(texts: DataFrame, artifact: Artifact, n: int | None = None, seed: i
 
 
 def baseline_encoded(folder: str | Path):
-    """Ids by a stored subword model, as a vectorised function; needs the tokenizers package on the workers."""
-    model = (Path(folder) / "tokenizer.json").read_text(encoding="utf-8")
-
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model)
-        for texts in batches:
-            yield pa.array([None if t is None else tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()], pa.list_(pa.int32()))
-
-    return encode
+    """A function text -> ids by a stored subword model."""
+    model = json.loads((Path(folder) / "tokenizer.json").read_text(encoding="utf-8"))["model"]
+    if model["type"] == "BPE":
+        return baselines.bpe_encoder(model["vocab"], [tuple(pair) for pair in model["merges"]])
+    if model["type"] == "WordPiece":
+        return baselines.wordpiece_encoder(model["vocab"])
+    return baselines.unigram_encoder(dict(model["vocab"]))
 
 
 def encoder(algorithm: str, texts: DataFrame, folder: Path, build: Build):
