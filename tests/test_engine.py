@@ -79,6 +79,8 @@ def test_artifact_round_trip_and_encoding(spark, tmp_path):
     row = df.select(runtime.encoded(F.col("x")).alias("i"), runtime.tokenized(F.col("x")).alias("t"), runtime.decoded(runtime.encoded(F.col("x"))).alias("d")).first()
     assert (row.i, row.t, row.d) == ([5, 6, 7], ["GET", "/", "index"], "GET/index")
     assert (runtime.vocab_size, runtime.token_id("GET"), runtime.token_id("none"), runtime.token(7), runtime.token(99)) == (8, 5, 1, "index", "[UNK]")
+    runtime.register(spark, "encode_it")
+    assert spark.sql("SELECT encode_it('GET/index') AS i").first().i == [5, 6, 7]
     art.save(tmp_path / "a")
     assert (art.save_vocabulary(tmp_path, "mine")).name.startswith("mine-")
     export_folder(tmp_path / "a", tmp_path / "out", 128, extra={"note": 1})

@@ -120,6 +120,10 @@ class Runtime:
     def batch(self, text: Column, length: int = 512) -> Column:
         return matcher.batch(self.encoded(text), length)
 
+    def register(self, spark: SparkSession, name: str = "encode_text") -> None:
+        """Makes the encoder callable from SQL, for texts that the contract has been applied to."""
+        spark.udf.register(name, matcher.encoded_arrow(self.artifact.vocab))
+
 
 def export_folder(source: str | Path, target: str | Path, max_length: int = 512, overwrite: bool = False, extra: Mapping | None = None) -> None:
     """A tokenizer folder of plain data: artifact, vocabulary, configuration and meta data."""
