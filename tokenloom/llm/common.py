@@ -115,11 +115,24 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return map_arrow_with(df, lambda: fn, schema)
 
 
+#: What a worker remembers of the stage it runs: the stage's name, and the function made for it.
+_LATEST: list = [None, None]
+
+
+def _kept(stage: str, make: Callable[[], Callable]) -> Callable:
+    """The function of a stage: made once in a worker, and let go when the worker turns to another stage."""
+    if _LATEST[0] != stage:
+        _LATEST[1] = None
+        _LATEST[:] = [stage, make()]
+    return _LATEST[1]
+
+
 def map_arrow_with(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """The same, with the function made anew in each task, so that what it remembers dies with the task."""
+    """The same, with a function that remembers things, made in the worker; they are let go with the stage."""
+    stage = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn = _kept(stage, make)
         for batch in batches:
             # rows of a batch are of like size in the mean; a single longer one is a slice of its own at worst
             step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))

@@ -3,13 +3,13 @@
 The features are lexicon densities (a fixed list of insults, plain and disguised, and a list learned from the labels),
 second-person proximity of the hits, capitals, punctuation and obfuscation rates. The learned list holds the words and
 word beginnings that occur in at least LEAST_DOCS toxic fitting documents and there LEAST_ODDS times as often as in the
-clean ones; it covers languages and slurs that the fixed list lacks. Trees of depth 3 are boosted on log loss over binned features; a held-out third
+clean ones, at most LEARNED_MOST; it covers languages and slurs that the fixed list lacks. Trees of depth 3 are boosted on log loss over binned features; a held-out third
 of the labelled documents calibrates the scores by pool-adjacent-violators, and a document is toxic if its
 calibrated probability is at least THRESHOLD. Fitting uses at most PER_CLASS labelled documents of either class;
 every document is then read whole and scored in one pass without a shuffle.
 
 Defined cases: null and empty text score like a text without words: its features are all 0; very long texts are read
-whole; repeated rows score alike; a label row without a document, or with a null id or label, is not learned from;
+whole; repeated rows score alike, and a score of just the threshold is toxic; a label row without a document, or with a null id or label, is not learned from;
 of contradictory labels of one document the toxic one counts; without labels of both classes the score is null and
 toxic false; an empty table gives an empty result; only id and text are read, so extra columns cannot clash.
 """
@@ -17,15 +17,18 @@ toxic false; an empty table gives an empty result; only id and text are read, so
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import bounded_sample, field_type, map_arrow, settled
+from tokenloom.llm.common import bounded_sample, field_type, map_arrow_with, settled, text_bytes
 
 PER_CLASS = 4000
 THRESHOLD = 0.5
@@ -52,66 +55,157 @@ FEATURES = 23
 LEAST_DOCS, LEAST_ODDS = 5, 20.0
 #: Lengths of the word beginnings that are tried for the learned list.
 STEMS = (5, 6, 7, 8)
-#: Tokens a worker remembers; bounds its memory, not the result.
-TOKENS_KEPT = 400_000
-_MASKS: dict[str, int] = {}
-_MASKS_FOR: list[frozenset[str]] = [frozenset()]
-
-
-def _mask(token: str, learned: frozenset[str]) -> int:
-    core = token.strip(_EDGES)
-    low = core.lower()
-    known = low in learned or any(low[:k] + "*" in learned for k in STEMS if k < len(low))
-    mask = (known and LEARNED) | (low in SECOND and YOU) | (len(core) > 1 and core.isupper() and CAPS) | ("!" in token and SHOUT) | ("?" in token and ASKS)
-    if low in LEXICON:
-        return mask | HIT
-    if len(low) == 1:
-        return mask | (low.isalpha() and SINGLE)
-    if not low.isalpha() and any(map(str.isalpha, low)):
-        mask |= MIXED
-        if _JOINERS.sub("", low.translate(_LEET)) in LEXICON or _JOINERS.sub("", low) in LEXICON or _JOINERS.sub("", token.lower().translate(_LEET)) in LEXICON:
-            mask |= HIDDEN
-    if _SQUEEZE.search(low):
-        mask |= STRETCHED
-        if _SQUEEZE.sub(r"\1", low) in LEXICON or _SQUEEZE.sub(r"\1\1", low) in LEXICON:
-            mask |= HIDDEN
-    return mask
-
-
-def _masks(tokens: list[str], learned: frozenset[str]) -> np.ndarray:
-    if len(_MASKS) > TOKENS_KEPT or _MASKS_FOR[0] is not learned:
-        _MASKS.clear()
-        _MASKS_FOR[0] = learned
-    for t in set(tokens).difference(_MASKS):
-        _MASKS[t] = _mask(t, learned)
-    return np.fromiter(map(_MASKS.__getitem__, tokens), np.int64, len(tokens))
-
-
-def _spelled(tokens: list[str], masks: np.ndarray) -> int:
+#: Words and word beginnings that the learned list holds at most, the most telling ones.
+LEARNED_MOST = 5000
+#: Letters of the tokens that a worker remembers; bounds its memory, not the result.
+LETTERS_KEPT = 6_000_000
+
+
+class Masks(dict):
+    """Mask of each token, worked out at first use."""
+
+    letters = 0
+
+    def __init__(self, learned: frozenset[str]) -> None:
+        self.learned = learned
+        #: Bits of the words that are known as they stand.
+        self.known = {w: (w in learned and LEARNED) | (w in SECOND and YOU) | (w in LEXICON and HIT) for w in {*learned, *SECOND, *LEXICON} if not w.endswith("*")}
+        #: Beginnings of the learned word beginnings, which are all at least so long.
+        self.heads = {w[: STEMS[0]] for w in learned if w.endswith("*")}
+        self.head_set, self.known_set = pa.array(sorted(self.heads), pa.string()), pa.array(list(self.known), pa.string())
+        self.known_bits = np.array([*self.known.values(), 0], np.int16)
+
+    def __missing__(self, token: str) -> int:
+        if self.letters > LETTERS_KEPT:
+            self.clear()
+            self.letters = 0
+        self.letters += len(token)
+        got = self[token] = self.mask(token)
+        return got
+
+    def mask(self, token: str) -> int:
+        core = token.strip(_EDGES)
+        low = core.lower()
+        mask = self.known.get(low, 0)
+        if low[: STEMS[0]] in self.heads and any(low[:k] + "*" in self.learned for k in STEMS if k < len(low)):
+            mask |= LEARNED
+        if core is not token and core != token:
+            mask |= ("!" in token and SHOUT) | ("?" in token and ASKS)
+        if low != core and len(core) > 1 and core.isupper():
+            mask |= CAPS
+        if mask & HIT:
+            return mask
+        if len(low) == 1:
+            return mask | (low.isalpha() and SINGLE)
+        if not low.isalpha() and any(map(str.isalpha, low)):
+            mask |= MIXED
+            if _JOINERS.sub("", low.translate(_LEET)) in LEXICON or _JOINERS.sub("", low) in LEXICON or _JOINERS.sub("", token.lower().translate(_LEET)) in LEXICON:
+                mask |= HIDDEN
+        if _SQUEEZE.search(low):
+            mask |= STRETCHED
+            if _SQUEEZE.sub(r"\1", low) in LEXICON or _SQUEEZE.sub(r"\1\1", low) in LEXICON:
+                mask |= HIDDEN
+        return mask
+
+
+def _spelled(tokens: pa.Array, masks: np.ndarray) -> int:
     """Insults spelled out in single letters."""
     at = np.flatnonzero(masks & SINGLE)
-    found = 0
-    if len(at) >= 3:
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-            if len(run) >= 3:
-                found += "".join(tokens[i].strip(_EDGES) for i in run).lower() in LEXICON
-    return found
+    if len(at) < 3:
+        return 0
+    bounds = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    sizes = np.diff(bounds, append=len(at))
+    runs = [at[b : b + n] for b, n in zip(bounds.tolist(), sizes.tolist()) if n >= 3]
+    return sum("".join(w.strip(_EDGES) for w in tokens.take(pa.array(run)).to_pylist()).lower() in LEXICON for run in runs)
+
+
+def token_masks(words: pa.Array, masks: Masks) -> np.ndarray:
+    """Masks of distinct tokens: column by column for plain ASCII words, and by Masks for the others."""
+    core = pc.utf8_trim(words, characters=_EDGES)
+    low = pc.ascii_lower(core)
+    true = lambda x: x.to_numpy(zero_copy_only=False)
+    size = true(pc.utf8_length(low))
+    plain = true(pc.string_is_ascii(words)) & true(pc.ascii_is_alpha(low)) & (size > 1) & ~_tripled(low)
+    plain &= ~true(pc.is_in(pc.utf8_slice_codeunits(low, 0, STEMS[0]), value_set=masks.head_set))
+    found = true(pc.fill_null(pc.index_in(low, value_set=masks.known_set), len(masks.known_bits) - 1))
+    out = masks.known_bits[found]
+    out |= true(pc.ascii_is_upper(core)).astype(np.int16) * CAPS
+    out |= true(pc.match_substring(words, "!")).astype(np.int16) * SHOUT
+    out |= true(pc.match_substring(words, "?")).astype(np.int16) * ASKS
+    rest = np.flatnonzero(~plain)
+    out[rest] = np.fromiter(map(masks.__getitem__, words.take(pa.array(rest)).to_pylist()), np.int16, len(rest))
+    return out
 
 
-def features(text: str | None, learned: frozenset[str] = frozenset()) -> np.ndarray:
-    out = np.zeros(FEATURES)
-    tokens = text.split() if text else []
-    n = len(tokens)
-    if not n:
+def _tripled(words: pa.Array) -> np.ndarray:
+    """Which words hold a byte three times in a row."""
+    body, at = text_bytes(words)
+    out = np.zeros(len(words), bool)
+    if len(body) > 2:
+        runs = np.flatnonzero((body[2:] == body[1:-1]) & (body[1:-1] == body[:-2]))
+        owner = np.searchsorted(at, runs, side="right") - 1
+        out[owner[at[owner + 1] >= runs + 3]] = True
+    return out
+
+
+#: Bits that are counted over all tokens of a text, and the column of each count's share.
+_TALLIED = ((YOU, 11), (CAPS, 12), (SHOUT, 13), (ASKS, 14), (MIXED, 15), (STRETCHED, 16), (SINGLE, 17))
+_PERCENT = [11, 16]
+#: Characters that are counted: 1 for exclamation marks, 2 for those that stand for letters.
+_MARKS = np.zeros(256, np.uint8)
+_MARKS[ord("!")], _MARKS[[ord(c) for c in "#$%&*@"]] = 1, 2
+
+
+def features(texts: pa.Array | list[str | None], masks: Masks) -> np.ndarray:
+    """One row of FEATURES numbers for each text. All texts are cut and counted at once; only those with a hit are looked at one by one."""
+    column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    out = np.zeros((len(column), FEATURES))
+    if not len(column):
         return out
-    m = _masks(tokens, learned)
+    split = pc.utf8_split_whitespace(column)
+    tokens = split.flatten()
+    solid = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(column)), split.value_lengths().to_numpy())[solid]
+    tokens = tokens.filter(pa.array(solid))
+    if not len(tokens):
+        return out
+    coded = tokens.dictionary_encode()
+    flat = token_masks(coded.dictionary, masks)[coded.indices.to_numpy()]
+    rows, starts = np.unique(owner, return_index=True)
+    ends = np.append(starts[1:], len(owner))
+    n = (ends - starts).astype(float)
+    for bit, at in _TALLIED:
+        out[rows, at] = np.add.reduceat((flat & bit) != 0, starts, dtype=np.int64) / n
+    out[:, _PERCENT] *= 100
+    body, at = text_bytes(column)
+    marks = _MARKS[body]
+    marked = np.flatnonzero(marks)
+    of = np.searchsorted(at, marked, side="right") - 1
+    each = np.bincount(of * 3 + marks[marked], minlength=3 * len(column)).reshape(-1, 3)[rows]
+    count = lambda what: pc.count_substring(column, what).to_numpy()[rows].astype(float)
+    chars = pc.utf8_length(column).to_numpy()[rows].astype(float)
+    out[rows, 18] = each[:, 1] / chars
+    out[rows, 19] = count("!!") + count("??")
+    out[rows, 20] = each[:, 2] / chars
+    out[rows, 21] = np.log1p(n)
+    out[rows, 22] = chars / n
+    found = np.bitwise_or.reduceat(flat, starts)
+    singles = np.add.reduceat((flat & SINGLE) != 0, starts, dtype=np.int64) >= 3
+    for k in np.flatnonzero((found & (HIT | HIDDEN | LEARNED) != 0) | singles).tolist():
+        out[rows[k], :11] = _hit_features(tokens.slice(starts[k], ends[k] - starts[k]), flat[starts[k] : ends[k]])
+    return out
+
+
+def _hit_features(tokens: pa.Array, m: np.ndarray) -> tuple[float, ...]:
+    """The features that depend on hits: 0 where there is none."""
+    n = len(tokens)
     spelled = _spelled(tokens, m)
     plain, hidden = np.flatnonzero(m & HIT), np.flatnonzero(m & HIDDEN)
     you = np.flatnonzero(m & YOU)
     taught = np.flatnonzero(m & LEARNED)
     hits = np.flatnonzero(m & (HIT | HIDDEN | LEARNED))
     count = len(hits) + spelled
-    words = lambda at: {tokens[i].strip(_EDGES).lower() for i in at}
+    words = lambda at: {w.strip(_EDGES).lower() for w in tokens.take(pa.array(at)).to_pylist()} if len(at) else ()
     near = 0.0
     if len(hits) and len(you):
         right = np.searchsorted(you, hits)
@@ -120,9 +214,7 @@ def features(text: str | None, learned: frozenset[str] = frozenset()) -> np.ndar
     dense = 0
     if len(hits):
         dense = int((np.searchsorted(hits, hits + 50) - np.arange(len(hits))).max())
-    chars = len(text)
-    tally = lambda bit: float(np.count_nonzero(m & bit)) / n
-    out[:] = (
+    return (
         100 * len(plain) / n,
         100 * (len(hidden) + spelled) / n,
         100 * count / n,
@@ -134,20 +226,7 @@ def features(text: str | None, learned: frozenset[str] = frozenset()) -> np.ndar
         dense,
         near,
         100 * near / n,
-        100 * len(you) / n,
-        tally(CAPS),
-        tally(SHOUT),
-        tally(ASKS),
-        tally(MIXED),
-        100 * tally(STRETCHED),
-        tally(SINGLE),
-        text.count("!") / chars,
-        text.count("!!") + text.count("??"),
-        sum(map(text.count, "#$%&*@")) / chars,
-        np.log1p(n),
-        chars / n,
     )
-    return out
 
 
 @dataclass
@@ -246,12 +325,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     learned = lexicon(rows.where("NOT held"))
     schema = T.StructType([*(f for f in rows.schema if f.name != "t"), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [features(t, learned).tolist() for t in batch.column("t").to_pylist()]
-        kept = [batch.column(c) for c in ("id", "y", "held")]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "held", "x"])
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        masks = Masks(learned)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = features(batch.column("t"), masks)
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "held")), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "y", "held", "x"])
 
-    got = map_arrow(rows, run, schema).orderBy("id", "x").collect()
+        return run
+
+    got = map_arrow_with(rows, make, schema).orderBy("id", "x").collect()
     if not got:
         return None
     model = fit(np.array([r.x for r in got]), np.array([r.y for r in got]), np.array([r.held for r in got]))
@@ -260,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model
 
 
-def lexicon(rows: DataFrame) -> frozenset[str]:
+def lexicon(rows: DataFrame, most: int = LEARNED_MOST) -> frozenset[str]:
     """Telling words, and word beginnings marked by a star, of rows (id, y, t)."""
     words = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))
     stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.left(w, F.lit(k)), F.lit("*"))) for k in STEMS]
@@ -271,7 +354,8 @@ def lexicon(rows: DataFrame) -> frozenset[str]:
     toxic, clean = sizes["toxic"], sizes["all"] - sizes["toxic"]
     seen = terms.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = ((F.col("a") + 0.5) / (toxic + 1)) / ((F.col("b") + 0.5) / (clean + 1))
-    return frozenset(r.term for r in seen.where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).collect())
+    best = seen.where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy(odds.desc(), "term").limit(most)
+    return frozenset(r.term for r in best.collect())
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -279,14 +363,19 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(key, field_type(docs, key)), T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, got = batch.num_rows, sent.value
-        if got is None:
-            p, flag = pa.nulls(n, pa.float64()), np.zeros(n, bool)
-        else:
-            x = np.array([features(t, got.learned) for t in batch.column(1).to_pylist()]).reshape(n, FEATURES)
-            p = got.probability(x)
-            flag = p >= threshold
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(flag)], names=schema.fieldNames())
-
-    return map_arrow(docs.select(F.col(key).alias(key), F.col(text).alias("t")), run, schema)
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        got = sent.value
+        masks = Masks(got.learned if got else frozenset())
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            if got is None:
+                p, flag = pa.nulls(n, pa.float64()), np.zeros(n, bool)
+            else:
+                p = got.probability(features(batch.column(1), masks))
+                flag = p >= threshold
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(flag)], names=schema.fieldNames())
+
+        return run
+
+    return map_arrow_with(docs.select(F.col(key).alias(key), F.col(text).alias("t")), make, schema)
