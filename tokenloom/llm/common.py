@@ -142,8 +142,11 @@ def map_arrow_with(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.Table]:
-    """The rows of batches sorted by an integer key, in tables of some `least` rows that cut no run of equal keys."""
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000, most: int | None = None, cut_keys: set[int] | None = None) -> Iterator[pa.Table]:
+    """The rows of batches sorted by an integer key, in tables of some `least` rows that cut no run of equal keys.
+
+    With `most`, a run is cut when so many of its rows are held; its key is added to cut_keys before its first piece comes.
+    """
     held: list[pa.Table] = []
     rows, wanted = 0, least
     for batch in batches:
@@ -157,11 +160,33 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000)
             if cut:
                 yield whole.slice(0, cut)
             held, rows = [whole.slice(cut)], rows - cut
+            if most is not None and rows >= most:
+                cut_keys.add(int(keys[-1]))
+                yield held[0]
+                held, rows = [], 0
             wanted = max(least, 2 * rows)
     if rows:
         yield pa.concat_tables(held).combine_chunks()
 
 
+def tasked(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Rows (id, group, ...) with a number `task`: every two rows of a group are in some task together, and no task has over 2 * most rows or so.
+
+    A group of up to `most` rows is a task. A larger one is cut into random parts, every two parts are a task, and a row is
+    in all tasks of its part. Groups that large are few: rows / most of them.
+    """
+    full, number, parts, own, other = fresh(rows, "g_full", "g_number", "g_parts", "g_own", "g_other")
+    sizes = settled(rows.groupBy(F.col(group).alias(full)).agg(F.count("*").alias(number)).where(F.col(number) > most))
+    if sizes.isEmpty():
+        return rows.withColumn("task", F.col(group).cast("bigint"))
+    named = rows.join(if_small(sizes), F.col(group) == F.col(full), "left")
+    named = named.withColumn(parts, F.ceil(F.coalesce(F.col(number), F.lit(1)) / most).cast("int"))
+    named = named.withColumn(own, F.pmod(F.xxhash64("id"), F.col(parts)).cast("int"))
+    named = named.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    task = F.xxhash64(group, F.least(other, own), F.greatest(other, own))
+    return named.select(*rows.columns, task.alias("task"))
+
+
 def collapsed(items: DataFrame, *value: str) -> tuple[DataFrame, DataFrame]:
     """Of settled items (id, *value), the least id of each value with it, and edges (a, b) from each other id to that one.
 

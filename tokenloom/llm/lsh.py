@@ -9,7 +9,8 @@ RECALL; at cosine 0.98 that is 0.999. So work grows as n ^ 1.2 and recall does n
 
 Equal vectors are one item in the search, however many ids bear them. Buckets are formed of ids alone; single ids and
 repeated sets drop out before any vector moves. In a bucket the exact components are found by breadth-first search over
-what is not reached yet, so a crowded bucket yields a spanning tree and no partner is cut. Groups are connected
+what is not reached yet, so a crowded bucket yields a spanning tree and no partner is cut; a bucket of more than BUCKET_ROWS
+vectors is cut into random parts, and every two parts meet in a task of their own. Groups are connected
 components; the least id of each stays.
 
 Defined cases: a vector that is null, empty, all zero, or holds a null, NaN or infinity is in no group; vectors of
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import collapsed, components, field_type, if_small, map_arrow_with, settled, whole_runs
+from tokenloom.llm.common import collapsed, components, field_type, if_small, map_arrow_with, settled, tasked, whole_runs
 
 THRESHOLD = 0.95
 WIDTH = 1.26
@@ -40,6 +41,10 @@ AGREE, CHANCE = 0.80, 0.3336
 SEED = 20240607
 
 
+#: Ids of a bucket that are held to tell whether another table has the same set, and vectors of a bucket that one task takes.
+SET_ROWS, BUCKET_ROWS = 1_000_000, 100_000
+
+
 def shape(n: int) -> tuple[int, int]:
     """Draws and tables for n vectors."""
     draws = max(8, math.ceil(math.log(50 * max(n, 2)) / -math.log(CHANCE)))
@@ -126,13 +131,14 @@ def bucketed(vectors: DataFrame, draws: int, tables: int) -> DataFrame:
     return map_arrow_with(vectors, make, schema)
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, id) of the buckets that hold two ids or more; equal sets of ids are one bucket."""
+def shared(rows: DataFrame, set_rows: int = SET_ROWS) -> DataFrame:
+    """Rows (bucket, id) of the buckets that hold two ids or more; equal sets of ids are one bucket, but for buckets of over set_rows ids."""
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", rows.schema["id"].dataType)])
     rows = rows.select("key", "id", F.xxhash64("id").alias("mark")).repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "key"):
+        cut_keys: set[int] = set()
+        for table in whole_runs(batches, "key", most=set_rows, cut_keys=cut_keys):
             key, mark, ids = table.column("key").to_numpy(), table.column("mark").to_numpy(), table.column("id").combine_chunks()
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
@@ -141,13 +147,18 @@ def shared(rows: DataFrame) -> DataFrame:
             sizes = np.diff(bounds, append=len(at))
             with np.errstate(over="ignore"):
                 sets = np.add.reduceat(mark[at] * np.int64(-7046029254386353131), bounds) ^ np.add.reduceat(mark[at] >> 7, bounds)
-            own = np.repeat(sizes > 1, sizes)
+            # the pieces of a bucket that is too large to be held go by its key
+            cut = np.isin(key[at[bounds]], np.fromiter(cut_keys, np.int64, len(cut_keys)))
+            sets = np.where(cut, key[at[bounds]], sets)
+            own = np.repeat((sizes > 1) | cut, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sets, sizes)[own]), ids.take(pa.array(at[own]))], names=["bucket", "id"])
 
     return rows.mapInArrow(run, schema).distinct()
 
 
-def groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def groups(
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, set_rows: int = SET_ROWS, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Rows (id, group_id) of all ids that have a near copy; group_id is the least id of the group, which stays."""
     kind = field_type(vectors, vector)
     wide = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
@@ -158,13 +169,13 @@ def groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     # ids that only repeat another's vector are left out of the buckets
     gone = settled(items.select("id").distinct().join(heads.select("id"), "id", "left_anti"))
     lone = flat.join(if_small(gone), "id", "left_anti")
-    members = settled(shared(bucketed(lone, draws, tables)))
-    filled = members.join(flat, "id").select("bucket", "id", "v").repartition("bucket").sortWithinPartitions("bucket")
+    members = settled(shared(bucketed(lone, draws, tables), set_rows))
+    filled = tasked(members, "bucket", bucket_rows).join(flat, "id").select("task", "id", "v").repartition("task").sortWithinPartitions("task")
     schema = T.StructType([T.StructField("a", members.schema["id"].dataType), T.StructField("b", members.schema["id"].dataType)])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "bucket", 10_000):
-            bucket, ids = table.column("bucket").to_numpy(), table.column("id").combine_chunks()
+        for table in whole_runs(batches, "task", 10_000):
+            bucket, ids = table.column("task").to_numpy(), table.column("id").combine_chunks()
             for rows, x in by_length(table.column("v")):
                 a, b = edges(bucket[rows], unit(x), threshold)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[a])), ids.take(pa.array(rows[b]))], names=["a", "b"])
@@ -194,9 +205,27 @@ def edges(bucket: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarr
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def oracle(threshold: float = THRESHOLD) -> str:
+#: For test tables without near copies: of every twentieth vector one copy at a cosine of some 0.997, and one at some 0.75.
+NEAR_IDS, FAR_IDS = 10**12, 2 * 10**12
+
+
+def with_copies(vectors: DataFrame) -> DataFrame:
+    """All vectors (vec_id, embedding), and the two copies of every twentieth."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    some = rows.where("vec_id % 20 = 0")
+    near = F.transform("embedding", lambda x, i: x * (F.lit(1.0) + F.lit(0.1) * ((i * 7 + F.col("vec_id")) % 3 - 1)))
+    far = F.transform("embedding", lambda x, i: F.when(i % 8 == 0, -x).otherwise(x))
+    rows = rows.unionByName(some.select((F.col("vec_id") + NEAR_IDS).alias("vec_id"), near.alias("embedding")))
+    return rows.unionByName(some.select((F.col("vec_id") + FAR_IDS).alias("vec_id"), far.alias("embedding")))
+
+
+def oracle(threshold: float = THRESHOLD, copies: bool = False) -> str:
+    rows = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
+    if copies:
+        rows += f""" UNION ALL SELECT vec_id + {NEAR_IDS}, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * (1 + 0.1::DOUBLE * (((i - 1) * 7 + vec_id) % 3 - 1))) FROM embeddings WHERE vec_id % 20 = 0
+        UNION ALL SELECT vec_id + {FAR_IDS}, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN (i - 1) % 8 = 0 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 20 = 0"""
     return f"""
-    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    WITH RECURSIVE v AS ({rows}),
     p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
     r(id, root) AS (SELECT a, a FROM p UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a)
     SELECT id AS vec_id, min(root) AS group_id FROM r GROUP BY id"""

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tokenloom.llm.common import collapsed, components, fresh, map_arrow_with, settled, whole_runs
+from tokenloom.llm.common import collapsed, components, fresh, map_arrow_with, settled, tasked, whole_runs
 
 RADIUS = 14
 #: Widths of the parts of each block, highest bits first.
@@ -49,7 +49,7 @@ CROWD = 64
 CELL_ROWS = 1_000_000
 #: Rows whose entries are listed at once.
 LISTED = 50_000
-#: Letters of the words that a task remembers; bounds its memory, not the result.
+#: Letters of the words that a worker remembers; bounds its memory, not the result.
 LETTERS_KEPT = 4_000_000
 
 _WORD = re.compile(r"\w+")
@@ -246,17 +246,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 def _grouped(prints: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     rows, copies = collapsed(prints.where("id IS NOT NULL AND hi IS NOT NULL"), "hi", "lo")
     spread = rows.select(F.explode(F.array(*_cells())).alias("cell"), "id", "hi", "lo")
-    # at most 15 * 2 ** 9 cells, whatever the data
-    sizes = settled(spread.groupBy(F.col("cell").alias("full")).count().where(F.col("count") > cell_rows))
-    if sizes.isEmpty():
-        spread = spread.withColumn("task", F.col("cell").cast("bigint"))
-    else:
-        parts = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / cell_rows).cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        task = F.array(F.least("other", "own"), F.greatest("other", "own"), "cell")
-        spread = spread.join(F.broadcast(sizes), F.col("cell") == F.col("full"), "left").withColumn("parts", parts).withColumn("own", own)
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("task", F.xxhash64(task))
-    spread = spread.select("task", "cell", "id", "hi", "lo").repartition("task").sortWithinPartitions("task")
+    spread = tasked(spread, "cell", cell_rows).repartition("task").sortWithinPartitions("task")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
