@@ -273,6 +273,17 @@ def test_metric_files(tmp_path):
     assert (tmp_path / "x" / "m.csv").read_text() == "n,s\n1,b\n"
 
 
+def test_files_of_queries_are_released(spark, sf_dir):
+    import os
+
+    from tokenloom.sources import shared
+
+    kept = QUERIES["scan_text_nonnull"](spark, sf_dir)
+    assert kept.count() > 0
+    shared.released(spark)
+    assert not os.listdir(shared.checkpoint_folder(spark).removeprefix("file:") + "/files")
+
+
 def test_datasets_are_registered_and_split(spark, tmp_path):
     scan.register("waf", "some/where")
     try:

@@ -23,9 +23,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths given out and not deleted yet.
+_GIVEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in that folder that nothing has been written to."""
-    return f"{checkpoint_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
+    path = f"{checkpoint_folder(spark)}/files/{uuid.uuid4().hex}-{name}"
+    _GIVEN.append(path)
+    return path
 
 
 def settled(df: DataFrame) -> tuple[DataFrame, str]:
@@ -39,3 +45,11 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Delete what lies at a path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _GIVEN:
+        _GIVEN.remove(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Delete all that was written to paths given out; call it when no result made of them is needed any more."""
+    for path in list(_GIVEN):
+        dropped(spark, path)
