@@ -5,14 +5,14 @@ are never removed. Each line's sites are gathered in a HyperLogLog sketch per li
 merges before and after the shuffle. The estimate decides far from the threshold; a line whose estimate lies within
 `band` of it gets an exact count of distinct sites. A line on at least `min_sites` sites is boilerplate.
 
-A document loses its boilerplate lines, in every copy. With `mirror_share`, one that holds at least that share of its
-characters in such lines stays whole, whether it is a copy or not, so no text is ever emptied. With `mirror_share=None`
-only a proven mirror stays whole, for near-dedup to judge: a text that stands unchanged on at least `min_sites` sites, so
-that the copies alone make boilerplate of all its lines. Every other document loses its lines whatever their share, and
-one that has no other line is left with empty text.
-
-Defined cases: null text stays null; empty text stays empty; a null site counts for nothing; a line
-repeated within a document or a repeated row counts its site once, and all its occurrences go; a null id is
+A document loses its boilerplate lines in every copy, whatever share of it they are; one that has no other line is left
+with empty text. With `spare_mirrors` a proven mirror stays whole, for near-dedup to judge: a text that stands unchanged
+on at least `min_sites` sites, so that the copies alone make boilerplate of all its lines.
+
+Texts are read twice: once for the hashes of their lines, which are stored and serve all counts, and once to be stripped.
+
+Defined cases: null text stays null; empty text stays empty; a null site counts for nothing; a line on just
+min_sites sites goes; very long texts and lines are read whole; a line repeated within a document or a repeated row counts its site once, and all its occurrences go; a null id is
 allowed (rows are told apart by their text); an empty table gives an empty result; other columns,
 whatever their names, pass through unchanged. n_chars, if present, is set to the new length.
 """
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import fresh, if_small, settled
 
 MIN_SITES = 8
-MIRROR_SHARE = 0.5
 LG_K = 10
 #: Three times the relative standard error 1.04 / sqrt(2 ** LG_K), rounded up.
 BAND = 0.1
@@ -42,25 +41,29 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(line_key(line))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
-    """Hashes (line) of the lines on at least min_sites sites."""
-    pairs = docs.select(F.col(site).cast("string").alias("site"), F.explode(F.split(F.col(text), "\n")).alias("raw")).select(
-        "site", line_hash(F.col("raw")).alias("line"), (line_key(F.col("raw")) != "").alias("solid")
-    )
-    pairs = pairs.where("solid AND site IS NOT NULL").select("line", "site")
+def hashed_lines(docs: DataFrame, site: str = "source", text: str = "text") -> DataFrame:
+    """Rows (site, k, lines), one for each text: hash of the text, and hashes of its lines that are not blank, each once."""
+    solid = F.filter(F.split(F.col(text), "\n"), lambda x: line_key(x) != "")
+    lines = F.array_distinct(F.transform(solid, line_hash))
+    return docs.where(F.col(text).isNotNull()).select(F.col(site).cast("string").alias("site"), F.xxhash64(text).alias("k"), lines.alias("lines"))
+
+
+def spread_lines(hashed: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
+    """Hashes (line) of the lines on at least min_sites sites, of rows from hashed_lines()."""
+    pairs = hashed.where("site IS NOT NULL").select("site", F.explode("lines").alias("line"))
     spread = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     low, high = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
-    spread = spread.where(F.col("sites") >= low)
+    spread = settled(spread.where(F.col("sites") >= low))
     sure = spread.where(F.col("sites") > high).select("line")
     near = spread.where(F.col("sites") <= high).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
+    exact = pairs.join(if_small(near, 16), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def mirrored_texts(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes (mirror) of the texts that stand whole on at least min_sites sites."""
-    at = docs.where(F.col(site).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("mirror"), F.col(site).cast("string").alias("site"))
-    return at.groupBy("mirror").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("mirror")
+def mirrored_texts(hashed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Hashes (k) of the texts that stand whole on at least min_sites sites."""
+    at = hashed.where("site IS NOT NULL").groupBy("k").agg(F.count_distinct("site").alias("sites"))
+    return at.where(F.col("sites") >= min_sites).select("k")
 
 
 def strip_lines(
@@ -68,35 +71,31 @@ def strip_lines(
     site: str = "source",
     text: str = "text",
     min_sites: int = MIN_SITES,
-    mirror_share: float | None = MIRROR_SHARE,
+    spare_mirrors: bool = False,
     band: float = BAND,
     lg_k: int = LG_K,
     removed: str | None = None,
 ) -> DataFrame:
     """docs without their boilerplate lines; `removed`, if given, names a column for how many went.
 
-    Decisions travel as hashes: only (text hash, line hash) pairs and then the documents themselves are
-    shuffled. Equal texts share one key, so a hot text costs one row of decisions.
+    Decisions travel as hashes: only (line hash, site) pairs, (text hash, line hash) pairs and then the documents
+    themselves are shuffled. Equal texts share one key, so a hot text costs one row of decisions.
     """
-    bad = settled(spread_lines(docs, site, text, min_sites, band, lg_k))
+    hashed = settled(hashed_lines(docs, site, text))
+    bad = settled(spread_lines(hashed, min_sites, band, lg_k))
     k, hits = fresh(docs, "k_text", "k_hits")
-    pieces = docs.select(F.xxhash64(text).alias(k), F.explode(F.split(F.col(text), "\n")).alias("raw")).select(k, line_hash(F.col("raw")).alias("line"))
-    found = pieces.join(if_small(bad, 16), "line", "left_semi")
-    found = found.groupBy(k).agg(F.collect_set("line").alias(hits))
-    if mirror_share is None:
-        found = found.join(mirrored_texts(docs, site, text, min_sites).withColumnRenamed("mirror", k), k, "left_anti")
-    joined = docs.withColumn(k, F.xxhash64(text)).join(found, k, "left")
+    found = hashed.select("k", F.explode("lines").alias("line")).join(if_small(bad, 16), "line", "left_semi")
+    found = found.groupBy("k").agg(F.collect_set("line").alias(hits))
+    if spare_mirrors:
+        found = found.join(mirrored_texts(hashed, min_sites), "k", "left_anti")
+    joined = docs.withColumn(k, F.xxhash64(text)).join(found.withColumnRenamed("k", k), k, "left")
 
     lines = F.split(F.col(text), "\n")
     is_bad = lambda x: F.array_contains(F.col(hits), line_hash(x))
-    chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
     gone, out_lines = fresh(joined, "k_gone", "k_lines")
     joined = joined.withColumn(out_lines, F.when(F.col(hits).isNotNull(), lines)).withColumn(gone, F.filter(F.col(out_lines), is_bad))
-    strips = F.col(hits).isNotNull()
-    if mirror_share is not None:
-        strips = strips & (chars(F.col(gone)) < F.lit(float(mirror_share)) * chars(F.col(out_lines)))
     flag, shorter = fresh(joined, "k_flag", "k_short")
-    joined = joined.withColumn(flag, F.coalesce(strips, F.lit(False)))
+    joined = joined.withColumn(flag, F.col(hits).isNotNull())
     joined = joined.withColumn(shorter, F.when(F.col(flag), F.array_join(F.filter(F.col(out_lines), lambda x: ~is_bad(x)), "\n")))
     out = []
     for c in docs.columns:
@@ -111,29 +110,15 @@ def strip_lines(
     return joined.select(*out)
 
 
-def oracle(min_sites: int = MIN_SITES, mirror_share: float = MIRROR_SHARE) -> str:
-    key = r"lower(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))"
-    return f"""
-    WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-    k AS (SELECT *, {key} AS key FROM l),
-    bad AS (SELECT key FROM k WHERE key <> '' AND source IS NOT NULL GROUP BY key HAVING count(DISTINCT source) >= {min_sites}),
-    f AS (SELECT k.*, bad.key IS NOT NULL AS is_bad FROM k LEFT JOIN bad ON k.key = bad.key),
-    d AS (SELECT doc_id, count(*) FILTER (is_bad) AS n_bad, coalesce(sum(length(line)) FILTER (is_bad), 0) AS c_bad, sum(length(line)) AS c_all,
-                 string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_bad) AS rest FROM f GROUP BY doc_id)
-    SELECT documents.doc_id, CASE WHEN n_bad > 0 AND c_bad < {mirror_share} * c_all THEN rest ELSE text END AS text,
-           CASE WHEN n_bad > 0 AND c_bad < {mirror_share} * c_all THEN n_bad ELSE 0 END::INTEGER AS removed_lines
-    FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
-
-
-def oracle_proven(min_sites: int = MIN_SITES) -> str:
-    """SQL of strip_lines with mirror_share=None."""
+def oracle(min_sites: int = MIN_SITES, spare_mirrors: bool = False) -> str:
     key = r"lower(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))"
+    mirror = f"(SELECT text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) >= {min_sites})"
+    spared = f" AND k.text NOT IN {mirror}" if spare_mirrors else ""
     return f"""
     WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
     k AS (SELECT *, {key} AS key FROM l),
     bad AS (SELECT key FROM k WHERE key <> '' AND source IS NOT NULL GROUP BY key HAVING count(DISTINCT source) >= {min_sites}),
-    mirror AS (SELECT text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) >= {min_sites}),
-    f AS (SELECT k.*, bad.key IS NOT NULL AND k.text NOT IN (SELECT text FROM mirror) AS is_bad FROM k LEFT JOIN bad ON k.key = bad.key),
+    f AS (SELECT k.*, bad.key IS NOT NULL{spared} AS is_bad FROM k LEFT JOIN bad ON k.key = bad.key),
     d AS (SELECT doc_id, count(*) FILTER (is_bad) AS n_bad, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_bad) AS rest FROM f GROUP BY doc_id)
     SELECT documents.doc_id, CASE WHEN n_bad > 0 THEN coalesce(rest, '') ELSE text END AS text, coalesce(n_bad, 0)::INTEGER AS removed_lines
     FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""

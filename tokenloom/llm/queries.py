@@ -40,6 +40,11 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.groups(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op7_embeddings_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors and made-up copies of some, as test tables may hold no near copies of their own."""
+    return lsh.groups(lsh.with_copies(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.strip_lines(table(spark, sf_dir, "documents"), removed="removed_lines").select("doc_id", "text", "removed_lines")
 
@@ -47,7 +52,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup_proven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As the pipeline does it: only proven mirrors keep boilerplate lines."""
     docs = table(spark, sf_dir, "documents")
-    return linededup.strip_lines(docs, mirror_share=None, removed="removed_lines").select("doc_id", "text", "removed_lines")
+    return linededup.strip_lines(docs, spare_mirrors=True, removed="removed_lines").select("doc_id", "text", "removed_lines")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash,
         op6_language,
         op7_embeddings,
+        op7_embeddings_copies,
         op8_line_dedup,
         op8_line_dedup_proven,
         op9_bpe,
@@ -79,7 +85,8 @@ ORACLES: dict[str, str] = {
     "op2_fingerprints": multiset.oracle(),
     "op4_sharding": shardtree.oracle(),
     "op7_embeddings": lsh.oracle(),
+    "op7_embeddings_copies": lsh.oracle(copies=True),
     "op8_line_dedup": linededup.oracle(),
-    "op8_line_dedup_proven": linededup.oracle_proven(),
+    "op8_line_dedup_proven": linededup.oracle(spare_mirrors=True),
     "op10_mixing": pareto.oracle(),
 }
