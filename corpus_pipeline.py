@@ -1,7 +1,12 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, mixing and BPE encoding, each stage on what the one before kept.
 
-Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of docs. Null,
-empty and repeated rows are treated as each operator's docstring says.
+Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of docs. A stage's
+tables are deleted when its result is stored, or when it fails.
+
+Defined cases, as in each operator's docstring: a null or letterless text has no language and goes in the first stage; a
+text made of boilerplate alone goes on empty and is never drawn by the mixing stage; repeated rows of one id are one
+document from near-dedup on, the row of the least text stays; very long texts are read whole; language ties are
+ambiguous and go; drawing ties fall on one side; an empty table gives an empty result; clashing columns pass through.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm import bpe, langid, linededup, pareto, simhash
-from tokenloom.llm.common import dropped, stored, table
+from tokenloom.llm.common import outliving, scratch, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes cross-site boilerplate lines out of all texts but proven mirrors; keeps every document, if with empty text."""
-    return linededup.strip_lines(docs, mirror_share=None)
+    return linededup.strip_lines(docs, spare_mirrors=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +57,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    """The last stage's rows, not yet computed: the table they are made from stays until common.released()."""
+    docs, kept = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, path = stored(stage(spark, docs, sf_dir), name)
-        if before is not None:
-            dropped(spark, before)
-        before = path
+        with scratch(spark) as made:
+            if kept is not None:
+                made.append(kept)
+            docs, path = stored(stage(spark, docs, sf_dir), name)
+            kept = outliving(path)
     return STAGES[-1][1](spark, docs, sf_dir)
