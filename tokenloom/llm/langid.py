@@ -6,8 +6,9 @@ sign apart: its weights are log ratios of smoothed trigram shares, each language
 is the mean weight over the text, scaled so that held-out texts have a typical margin of 1. Decoding is loss-weighted:
 a language's distance is the sum over bits of exp(-3 sign output), weighted by the bit's held-out accuracy. The
 nearest codeword wins. The margin is (second - best) / (second + best); a document is ambiguous if it lies below the
-bar, which is the AMBIGUOUS_SHARE quantile of held-out margins (their lowest thousandths are mixtures and scraps), but
-at most MOST_BAR: a text whose second language is over twice as far as its first is never ambiguous.
+bar. The bar is set by planted mixtures: held-out texts of two languages are cut and joined at 60 to 40, and MIXTURES_BELOW
+of their margins lie below it; but it never rejects more than PURE_BELOW of the held-out texts themselves, should the
+classifiers not tell the languages apart well enough.
 
 The classifiers are fitted on at most PER_LANGUAGE labelled documents of each language; every document is then read
 whole and decoded in one pass without a shuffle.
@@ -33,8 +34,9 @@ from tokenloom.llm.common import bounded_sample, field_type, map_arrow
 #: Labelled documents of each language used for fitting; a third of them is held out.
 PER_LANGUAGE = 600
 DIM = 8192
-AMBIGUOUS_SHARE = 0.002
-MOST_BAR = 1 / 3
+MIXTURES_BELOW, PURE_BELOW = 0.95, 0.02
+#: Share of the larger part of a planted mixture, and how many are planted.
+LARGER, PLANTED = 0.6, 1500
 #: At up to this many languages all two-way splits are used as bits, beyond it random ones.
 EXHAUSTIVE = 5
 
@@ -130,7 +132,28 @@ def fit(texts: list[str], labels: list[str], held: list[bool]) -> Model | None:
     right = (np.sign(out) == code[truth]).mean(axis=0)
     model = Model(languages, code, weights / scale, right / right.sum(), 0.0)
     _, margin = model.decode(out / scale)
-    return Model(languages, code, model.weights, model.trust, min(MOST_BAR, float(np.quantile(margin, AMBIGUOUS_SHARE))))
+    mixed = mixtures([texts[i] for i in tests], y[tests])
+    if not mixed:
+        return model
+    blend, solid = model.outputs(mixed)
+    _, between = model.decode(blend[solid])
+    bar = min(np.quantile(between, MIXTURES_BELOW) if len(between) else 0.0, np.quantile(margin, PURE_BELOW))
+    return Model(languages, code, model.weights, model.trust, float(bar))
+
+
+def mixtures(texts: list[str], y: np.ndarray, seed: int = 7) -> list[str]:
+    """PLANTED texts that begin in one language and go on in another, LARGER of their characters in the first."""
+    by = [np.flatnonzero(y == k) for k in range(int(y.max()) + 1)] if len(y) else []
+    by = [rows for rows in by if len(rows)]
+    if len(by) < 2:
+        return []
+    rng, out = np.random.Generator(np.random.PCG64(seed)), []
+    for _ in range(PLANTED):
+        i, j = rng.choice(len(by), 2, replace=False)
+        a, b = texts[rng.choice(by[i])], texts[rng.choice(by[j])]
+        n = min(len(a) / LARGER, len(b) / (1 - LARGER))
+        out.append(a[: int(n * LARGER)] + " " + b[: int(n * (1 - LARGER))])
+    return out
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
