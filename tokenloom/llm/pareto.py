@@ -9,7 +9,9 @@ from seed and id, and the n smallest are taken.
 No source is ranked by one task: the rank of the n-th smallest is found by counting 65536 monotone buckets of
 the ranking value per source, and only the bucket that holds the cut is ordered.
 
-Defined cases: a null source is a stratum of its own; null or empty text has size 0 and is never drawn; repeated
+Texts are read twice: for their sizes, and to give them out.
+
+Defined cases: very long texts have the size of their whole length; a null source is a stratum of its own; null or empty text has size 0 and is never drawn; repeated
 rows of one id share one U and so fall on the same side of the cut, as do any ties (rank semantics: a sample can
 then exceed n by the rows tied with the last one); null ids share one U; a source whose documents all have size 0
 gives nothing; a source named in `weights` but absent takes no part in the total; a weight of 0 drops its source;
@@ -55,13 +57,15 @@ def draw(
     small sources and holds back hot ones. Besides the per-source tables nothing is shuffled: documents are
     judged where they lie.
     """
-    src, x, e, n, q, b = fresh(docs, "m_source", "m_size", "m_expected", "m_n", "m_order", "m_bucket")
+    src, x, e, n, q, b, u = fresh(docs, "m_source", "m_size", "m_expected", "m_n", "m_order", "m_bucket", "m_u")
     cut_b, before, cut_q, rate, peer = fresh(docs, "m_cut_b", "m_before", "m_cut_q", "m_rate", "m_join")
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "#"), F.coalesce(F.col(key).cast("string"), F.lit("")) ).cast("binary")), 1, 13), 16, 10)
-    u = (digits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+    drawn = (digits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
-    sized = docs.select("*", F.col(source).alias(src), _size(F.col(text)).alias(x))
-    stats = settled(sized.groupBy(src).agg(F.count("*").alias("n_docs"), F.sum(x).alias("sum_x"))).where("sum_x > 0")
+    sized = docs.select("*", F.col(source).alias(src), _size(F.col(text)).alias(x), drawn.alias(u))
+    # all counts are taken from these three small columns; the texts are read once more at the end
+    small = settled(sized.select(src, x, u))
+    stats = settled(small.groupBy(src).agg(F.count("*").alias("n_docs"), F.sum(x).alias("sum_x"))).where("sum_x > 0")
     if weights is None:
         w = F.sqrt(F.col("n_docs").cast("double"))
     else:
@@ -73,16 +77,16 @@ def draw(
     goal = F.floor(F.col("all_docs") * F.lit(float(total_share)) * F.col("w") / F.col("all_w") + 0.5).cast("bigint")
     plan = settled(stats.crossJoin(F.broadcast(whole)).select(F.col(src), (goal.cast("double") / F.col("sum_x").cast("double")).alias(rate), goal.alias(n)).where(F.col(n) > 0))
 
-    def judged(plan: DataFrame) -> DataFrame:
+    def judged(rows: DataFrame, plan: DataFrame) -> DataFrame:
         """Documents with expected copies e, the value q that orders their remainder, and its bucket."""
         named = if_small(plan.withColumnRenamed(src, peer))
-        at = sized.join(named, sized[src].eqNullSafe(named[peer])).drop(peer).where(F.col(x) > 0)
+        at = rows.join(named, rows[src].eqNullSafe(named[peer])).drop(peer).where(F.col(x) > 0)
         at = at.withColumn(e, F.col(rate) * F.col(x).cast("double"))
         p = F.col(e) - F.floor(e).cast("double")
-        at = at.withColumn(q, F.when(p > 0, _order(u, p)))
+        at = at.withColumn(q, F.when(p > 0, _order(F.col(u), p)))
         return at.withColumn(b, F.floor(F.col(q) / (F.lit(1.0) + F.col(q)) * F.lit(float(BUCKETS))).cast("int"))
 
-    narrow = judged(plan).select(src, n, e, q, b)
+    narrow = judged(small, plan).select(src, n, e, q, b)
     counts = settled(narrow.groupBy(src, n, b).agg(F.count("*").alias("c"), F.sum(F.floor(e)).alias("sure")))
     left = counts.withColumn("rest", F.col(n) - F.sum("sure").over(Window.partitionBy(src))).where(F.col(b).isNotNull() & (F.col("rest") > 0))
     upto = F.sum("c").over(Window.partitionBy(src).orderBy(b))
@@ -95,7 +99,7 @@ def draw(
     ranked = close.withColumn("place", F.row_number().over(Window.partitionBy(src).orderBy(q)))
     last = ranked.where(F.col("place") <= F.col(before)).groupBy("c_source").agg(F.max(q).alias(cut_q))
     with_cut = plan.join(last, F.col(src).eqNullSafe(F.col("c_source")), "left").drop("c_source")
-    final = judged(settled(with_cut))
+    final = judged(sized, settled(with_cut))
     taken = F.floor(e).cast("int") + F.when(F.col(q) <= F.col(cut_q), 1).otherwise(0)
     return final.select(*[F.col(c) for c in docs.columns], taken.alias(copies)).where(F.col(copies) > 0)
 
