@@ -7,7 +7,8 @@ subtrees whose weight changed, and inside an untouched subtree nothing moves.
 
 Defined cases: a null key gets null region, rack and shard; equal keys get equal places, so repeated rows stay
 together; draws that tie go to the path that sorts first; an empty table gives an empty result; children of
-weight 0 get nothing, and a tree with no positive weight is refused. Only the key column is read, so extra
+weight 0 get nothing, and a tree with no positive weight or with more than three levels is refused; a rack or region may
+be a leaf, then the levels below it are null. Only the key column is read, so extra
 columns, also ones named region, rack or shard, cannot clash.
 """
 
@@ -57,17 +58,19 @@ def assign(df: DataFrame, key: str = "doc_id", tree: dict = TREE) -> DataFrame:
     out = df.select(F.col(key).alias("id"), F.col(key).cast("string").alias("k"))
     k = F.col("k")
     out = out.withColumn("l0", F.when(k.isNotNull(), _choice(k, tree, "")))
-    parents: dict[str, dict] = dict(tree)
+    parents: dict[str, dict | float] = dict(tree)
     for depth in (1, 2):
-        pick = None
+        pick = F.lit(None).cast("string")
         for path, node in sorted(parents.items()):
-            if weight(node) <= 0:
+            if weight(node) <= 0 or not isinstance(node, dict):
                 continue
             chosen = _choice(k, node, path + "/")
             at = F.col(f"l{depth - 1}") == F.lit(path)
-            pick = F.when(at, chosen) if pick is None else pick.when(at, chosen)
+            pick = F.when(at, chosen).otherwise(pick)
         out = out.withColumn(f"l{depth}", pick)
-        parents = {f"{path}/{name}": child for path, node in parents.items() for name, child in node.items()}
+        parents = {f"{path}/{name}": child for path, node in parents.items() if isinstance(node, dict) for name, child in node.items()}
+    if any(isinstance(node, dict) for node in parents.values()):
+        raise ValueError(f"a tree has the levels {', '.join(LEVELS)} only")
     last = lambda c: F.substring_index(c, "/", -1)
     return out.select(F.col("id").alias(key), F.col("l0").alias("region"), last("l1").alias("rack"), last("l2").alias("shard"))
 
@@ -97,6 +100,6 @@ def oracle(table: str = "documents", key: str = "doc_id", tree: dict = TREE) ->
         + level(1, "l0", "k.path || '/'")
         + ", "
         + level(2, "l1", "k.path || '/'")
-        + f" SELECT keys.id AS {key}, split_part(l2.path, '/', 1) AS region, split_part(l2.path, '/', 2) AS rack, split_part(l2.path, '/', 3) AS shard "
-        "FROM keys LEFT JOIN l2 ON keys.rn = l2.rn"
+        + f" SELECT keys.id AS {key}, l0.path AS region, split_part(l1.path, '/', 2) AS rack, split_part(l2.path, '/', 3) AS shard "
+        "FROM keys LEFT JOIN l0 ON keys.rn = l0.rn LEFT JOIN l1 ON keys.rn = l1.rn LEFT JOIN l2 ON keys.rn = l2.rn"
     )
