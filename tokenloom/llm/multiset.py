@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tokenloom.llm.common import field_type, map_arrow
+from tokenloom.llm.common import field_type, fresh, if_small, map_arrow, settled
 
 LANES = 32
 #: Trimmed from both ends of a paragraph.
@@ -73,9 +72,18 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def equal_sets(prints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds same_as: the least key whose paragraphs are the same multiset; null without a fingerprint."""
-    least = F.min(key).over(Window.partitionBy("fingerprint"))
-    return prints.withColumn("same_as", F.when(F.col("fingerprint").isNotNull(), least))
+    """Adds same_as: the least key whose paragraphs are the same multiset; null without a fingerprint, or if all such keys are null.
+
+    Keys are combined before the shuffle, and only fingerprints that repeat are joined back.
+    """
+    rows = settled(prints)
+    (peer,) = fresh(rows, "same_print")
+    there = rows.where("fingerprint IS NOT NULL")
+    least = there.groupBy(F.col("fingerprint").alias(peer)).agg(F.min(key).alias("same_as"), F.count("*").alias("n"))
+    again = settled(least.where("n > 1").drop("n"))
+    joined = rows.join(if_small(again, 512), F.col("fingerprint") == F.col(peer), "left")
+    alone = F.when(F.col("fingerprint").isNotNull() & F.col(peer).isNull(), F.col(key))
+    return joined.select(*rows.columns, F.coalesce("same_as", alone).alias("same_as"))
 
 
 def lanes(fingerprint: Column) -> Column:
