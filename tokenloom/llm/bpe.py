@@ -8,7 +8,7 @@ and only pairs never seen before are judged by exact merging.
 
 Defined cases: null text gives null ids, a null count and a null `exact`; empty text gives no ids; texts are
 encoded whole, however long; strings of special tokens are ordinary text; repeated rows get equal ids; decoding an
-id outside the vocabulary is an error, a null list gives null, and bytes that are not UTF-8 become U+FFFD; an empty
+id outside the vocabulary is an error, a vocabulary that lacks a byte is refused, pairs of equal rank merge from the left, a null list gives null, and bytes that are not UTF-8 become U+FFFD; an empty
 table gives an empty result. Only id and text are read, so extra columns cannot clash.
 """
 
@@ -18,6 +18,7 @@ import base64
 import heapq
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import field_type, map_arrow, text_bytes
+from tokenloom.llm.common import field_type, map_arrow_with, text_bytes
 
 #: Vocabulary file in rank format; every line holds a token in base 64 and its rank.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,8 +47,9 @@ def _class(kind: str) -> str:
 _LATIN = re.compile(_SHAPE.format(L=_class("L"), N=_class("N"), W=_WS))
 _ANY = regex.compile(_SHAPE.format(L=r"\p{L}", N=r"\p{N}", W=_WS))
 
-#: Distinct words and pairs that a worker remembers before it starts anew; bounds its memory, not the result.
+#: Distinct words, their letters, and pairs that a worker remembers before it starts anew; bounds its memory, not the result.
 WORDS_KEPT = 600_000
+LETTERS_KEPT = 8_000_000
 PAIRS_KEPT = 500_000
 
 
@@ -55,12 +57,19 @@ class Encoder:
     def __init__(self, ranks_file: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.tokens: dict[int, bytes] = {i: t for t, i in self.ranks.items()}
+        lacking = [b for b in range(256) if bytes([b]) not in self.ranks]
+        if lacking:
+            raise ValueError(f"the vocabulary has no token for {len(lacking)} of the 256 bytes, such as {lacking[0]}")
+        size = max(self.tokens) + 1
+        self.width = np.fromiter((len(self.tokens.get(i, b"")) for i in range(size)), np.int64, size)
+        self.offset = np.cumsum(self.width) - self.width
+        self.body = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
         self.longest: dict[bytes, int] = {}
         for token in self.ranks:
             head = token[:3]
             self.longest[head] = max(self.longest.get(head, 1), len(token))
         self.words: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.letters = 0
         self.flat = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
@@ -140,7 +149,8 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not remembered yet."""
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > WORDS_KEPT or self.letters > LETTERS_KEPT:
+            self.letters = 0
             self.words, self.flat, self.starts, self.sizes = {}, np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         if len(self.pairs) > PAIRS_KEPT:
             self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
@@ -165,6 +175,7 @@ class Encoder:
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         first = len(self.words)
         self.words.update(zip(new, range(first, first + len(new))))
+        self.letters += sum(map(len, new))
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
@@ -181,21 +192,23 @@ class Encoder:
         upto = np.concatenate([[0], ends])[np.cumsum([len(ws) for ws in split])] if split else np.empty(0, np.int64)
         return ids, np.diff(upto, prepend=0)
 
+    def decodes_to(self, ids: np.ndarray, counts: np.ndarray, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text, counts of them, are the bytes body[at[i]:at[i + 1]]."""
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if not len(ids) or ends[-1] != len(body) or not np.array_equal(upto, at):
+            # some text decodes to another length: text by text
+            each = np.concatenate([[0], np.cumsum(counts)])
+            return np.array([self.decode(ids[a:b].tolist()) == body[c:d].tobytes() for a, b, c, d in zip(each, each[1:], at, at[1:])], bool)
+        made = self.body[np.repeat(self.offset[ids] - (ends - width), width) + np.arange(int(ends[-1]))]
+        wrong = np.concatenate([[0], np.cumsum(made != body)])
+        return wrong[at[1:]] == wrong[at[:-1]]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder(ranks_file: bytes) -> Encoder:
-    key = hash(ranks_file)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks_file)
-    return _ENCODERS[key]
-
-
 def _shared(df: DataFrame, ranks: str):
     with open(ranks, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -216,23 +229,27 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str
         ]
     )
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc, column = encoder(sent.value), batch.column(1)
-        body, at = text_bytes(column)
-        texts = ["" if t is None else t for t in column.to_pylist()]
-        latin = [not np.any(body[a:b] >= _LOW_BYTE) for a, b in zip(at[:-1], at[1:])]
-        ids, counts = enc.encode(texts, latin)
-        ends = np.cumsum(counts)
-        exact = [enc.decode(ids[e - c : e].tolist()) == body[a:b].tobytes() for e, c, a, b in zip(ends, counts, at[:-1], at[1:])]
-        absent = column.is_null().to_numpy(zero_copy_only=False)
-        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), pa.int32(), mask=np.append(absent, False))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), lists, pa.array(counts.astype(np.int32), mask=absent), pa.array(exact, pa.bool_(), mask=absent)],
-            names=schema.fieldNames(),
-        )
-
-    return map_arrow(docs.select(F.col(key).alias(key), F.col(text).alias("t")), run, schema)
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        enc = Encoder(sent.value)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column(1)
+            body, at = text_bytes(column)
+            texts = ["" if t is None else t for t in column.to_pylist()]
+            high = np.concatenate([[0], np.cumsum(body >= _LOW_BYTE)])
+            ids, counts = enc.encode(texts, (high[at[1:]] == high[at[:-1]]).tolist())
+            exact = enc.decodes_to(ids, counts, body, at)
+            absent = column.is_null().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.int32(), mask=np.append(absent, False))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, pa.array(counts.astype(np.int32), mask=absent), pa.array(exact, pa.bool_(), mask=absent)],
+                names=schema.fieldNames(),
+            )
+
+        return run
+
+    return map_arrow_with(docs.select(F.col(key).alias(key), F.col(text).alias("t")), make, schema)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
@@ -240,9 +257,13 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: str
     sent = _shared(encoded, ranks)
     schema = T.StructType([T.StructField(key, field_type(encoded, key)), T.StructField("text", T.StringType())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(sent.value)
-        texts = [None if x is None else enc.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.fieldNames())
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        enc = Encoder(sent.value)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [None if x is None else enc.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.fieldNames())
+
+        return run
 
-    return map_arrow(encoded.select(F.col(key).alias(key), F.col(ids).alias("x")), run, schema)
+    return map_arrow_with(encoded.select(F.col(key).alias(key), F.col(ids).alias("x")), make, schema)
