@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,33 @@ def test_messy_and_empty_tables(name, spark, messy, empty):
         assert got.columns == messy.columns
 
 
+def test_messy_rows_have_the_stated_values(spark, messy):
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in (5, 6, 7, 8, 9)], LABELS)
+    scores = [(r.doc_id, r.score, r.toxic) for r in toxicity.score(messy, toxicity.train(messy, labels)).collect()]
+    blank = {s for k, s, _ in scores if k in (1, 2, 3)}
+    assert len(blank) == 1 and len({s for k, s, _ in scores if k in (5, 6)}) == 1 and len({s for k, s, _ in scores if k == 7}) == 1
+    assert {(r.score, r.toxic) for r in toxicity.score(messy, None).collect()} == {(None, False)}
+    places = [(r.doc_id, (r.region, r.rack, r.shard)) for r in shardtree.assign(messy).collect()]
+    assert [p for k, p in places if k is None] == [(None, None, None)] * 2 and len({p for k, p in places if k == 7}) == 1
+    assert all(None not in p for k, p in places if k is not None)
+    lines = linededup.strip_lines(messy, min_sites=2, removed="gone").select("doc_id", "text", "gone").collect()
+    assert [(r.text, r.gone) for r in lines if r.doc_id in (1, 2, 3)].count((None, 0)) == 1 and ("", 0) in [(r.text, r.gone) for r in lines if r.doc_id == 2]
+    assert [r.text for r in lines if r.doc_id == 3] == [" \n\t "] and {r.gone for r in lines} == {0}
+    prints = {(r.doc_id, r.same_as) for r in multiset.equal_sets(multiset.fingerprint(messy)).collect()}
+    assert {(1, None), (2, 2), (3, 2), (5, 5), (6, 5), (7, 7), (None, None)} <= prints
+    told = {(r.doc_id, r.language, r.keep) for r in langid.identify(messy, langid.train(messy)).collect() if r.doc_id in (1, 2, 3, 4)}
+    assert told == {(k, None, False) for k in (1, 2, 3, 4)}
+    drawn = pareto.draw(messy, copies="taken").select("doc_id", "source", "taken").collect()
+    # the source that only blank texts bear, null, has documents without size, one of signs and none else
+    assert not {1, 2} & {r.doc_id for r in drawn} and all(r.taken > 0 for r in drawn)
+
+
+def test_a_source_without_size_gives_nothing(spark):
+    rows = [(1, "", "en", "void"), (2, None, "en", "void"), (3, "abc", "en", None), (4, "abcd", "en", None), (5, "abc", "en", "full")]
+    got = pareto.draw(table_of(spark, rows), copies="taken").groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {None: 2, "full": 1}
+
+
 # 1
 
 
@@ -94,10 +122,60 @@ def test_quality_learns_from_positives_alone(spark, sf_dir):
     assert kept[1] >= 0.95 and kept[0] <= 0.2
 
 
-def test_quality_prior_is_the_least_tail_ratio(spark):
+def test_quality_prior_is_the_least_tail_ratio():
     rng = np.random.default_rng(2)
-    rows = [(float(s), True) for s in rng.uniform(0.6, 1, 400)] + [(float(s), False) for s in rng.uniform(0.6, 1, 800)] + [(float(s), False) for s in rng.uniform(0, 0.5, 2800)]
-    assert abs(quality_pu.prior_of(spark.createDataFrame(rows, "score double, trusted boolean")) - 0.3) < 0.05
+    bins = lambda *parts: np.bincount((np.concatenate(parts) * 200).astype(int), minlength=201)
+    trusted = rng.uniform(0.6, 1, 400)
+    got = quality_pu.prior_of(bins(trusted, rng.uniform(0.6, 1, 800), rng.uniform(0, 0.5, 2800)), bins(trusted))
+    assert abs(got - 0.3) < 0.05
+    rare = quality_pu.prior_of(bins(rng.uniform(0.6, 1, 400), rng.uniform(0, 0.5, 99600)), bins(trusted))
+    assert abs(rare - 0.004) < 0.001
+
+
+@pytest.mark.parametrize("prior", [None, 0.1, 0.95])
+def test_quality_gradient_is_that_of_the_risk(prior):
+    """Against finite differences, with the second term of either sign; where it is negative the gradient is its own reversed."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(1, 1, (40, quality_pu.FEATURES)), rng.normal(0, 1, (200, quality_pu.FEATURES))
+    total = lambda net, loss: net.sums(unlabelled, loss) / len(unlabelled)
+    net = quality_pu.fit(quality_pu.fresh_net(unlabelled.mean(axis=0), unlabelled.std(axis=0)), positive, total, None, 6)
+    value, grad, negative = quality_pu.risk(net, positive, total, prior)
+    s = lambda z: 1 / (1 + np.exp(-z))
+
+    def plain(theta):
+        """The risk, written out; and the second term alone."""
+        n = quality_pu.Net(net.mean, net.spread, theta)
+        gp, gu = n(positive), n(unlabelled)
+        if prior is None:
+            return np.log1p(np.exp(-gp)).mean() + np.log1p(np.exp(gu)).mean(), 0.0
+        rest = s(gu).mean() - prior * s(gp).mean()
+        return prior * s(-gp).mean() + max(0.0, rest), rest
+
+    assert abs(value - plain(net.theta)[0]) < 1e-9 and negative == (plain(net.theta)[1] < 0)
+    for k in rng.choice(len(net.theta), 25, replace=False):
+        step = np.zeros(len(net.theta))
+        step[k] = 1e-5
+        up, down = plain(net.theta + step), plain(net.theta - step)
+        want = -(up[1] - down[1]) / 2e-5 if negative else (up[0] - down[0]) / 2e-5
+        assert abs(grad[k] - want) < 1e-6
+
+
+def test_quality_gradient_covers_both_signs():
+    """The two priors above lie on either side of the sign."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(1, 1, (40, quality_pu.FEATURES)), rng.normal(0, 1, (200, quality_pu.FEATURES))
+    total = lambda net, loss: net.sums(unlabelled, loss) / len(unlabelled)
+    net = quality_pu.fit(quality_pu.fresh_net(unlabelled.mean(axis=0), unlabelled.std(axis=0)), positive, total, None, 6)
+    assert [quality_pu.risk(net, positive, total, p)[2] for p in (0.1, 0.95)] == [False, True]
+
+
+def test_quality_sums_over_tasks_equal_sums_over_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (500, quality_pu.FEATURES)).astype(np.float32)
+    feats = spark.createDataFrame([(r.tolist(),) for r in x], "x array<float>").repartition(5)
+    net = quality_pu.fresh_net(np.zeros(quality_pu.FEATURES), np.ones(quality_pu.FEATURES))
+    got = quality_pu.over_all(feats, 500.0)(net, quality_pu.sigmoid_loss(-1))
+    assert np.allclose(got, net.sums(x.astype(float), quality_pu.sigmoid_loss(-1)) / 500)
 
 
 def test_quality_without_positives_keeps_what_has_words(spark, messy):
@@ -153,11 +231,55 @@ def test_isotonic_levels_are_the_best_increasing_fit():
     assert np.allclose(got, [max(min(mean(a, b) for b in range(k, 12)) for a in range(k + 1)) for k in range(12)])
 
 
+def test_toxicity_tree_takes_the_best_split():
+    """Every split of the first node, tried one by one."""
+    rng = np.random.default_rng(14)
+    x = rng.integers(0, 6, (80, 4))
+    grad, hess = rng.normal(0, 1, 80), rng.uniform(0.1, 0.25, 80)
+    split, bar, leaf = toxicity._tree(x, grad, hess)
+    part = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + 1)
+    gains = {}
+    for f in range(4):
+        for b in range(5):
+            left = x[:, f] <= b
+            if hess[left].sum() >= 2 and hess[~left].sum() >= 2:
+                gains[f, b] = part(left) + part(~left) - part(np.ones(80, bool))
+    assert (split[0], bar[0]) == max(gains, key=gains.get)
+    node = np.zeros(80, int)
+    for _ in range(toxicity.DEPTH):
+        node = 2 * node + 1 + (x[np.arange(80), split[node]] > bar[node])
+    for k in range(2**toxicity.DEPTH):
+        rows = node - (2**toxicity.DEPTH - 1) == k
+        assert abs(leaf[k] + toxicity.RATE * grad[rows].sum() / (hess[rows].sum() + 1)) < 1e-9
+
+
+def test_toxicity_boosting_lowers_the_loss():
+    rng = np.random.default_rng(15)
+    x = rng.normal(0, 1, (600, toxicity.FEATURES))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(600) < 0.05)).astype(int)
+    model = toxicity.fit(x, y, np.zeros(600, bool))
+    def loss(trees):
+        part = toxicity.Model(model.base, model.splits[:trees], model.bars[:trees], model.leaves[:trees], np.empty(0), np.empty(0))
+        return np.logaddexp(0, np.where(y == 1, -1, 1) * part.raw(x)).mean()
+
+    losses = [loss(k) for k in (0, 1, 5, 20, 60)]
+    assert all(a > b for a, b in zip(losses, losses[1:])) and losses[-1] < 0.5 * losses[0]
+
+
+def test_toxicity_features_of_a_batch_equal_those_of_each_text():
+    texts = [None, "", "you are an idiot", prose(4, 80), "WHY you stupid i d i o t!! ??", "a b c d " * 9, prose(5, 30) + " @#$ sc4m"]
+    whole = toxicity.features(texts, toxicity.Masks(frozenset(["river"])))
+    for t, row in zip(texts, whole):
+        assert np.array_equal(toxicity.features([t], toxicity.Masks(frozenset(["river"])))[0], row)
+    assert whole[2, 11] == 25.0 and whole[4, 19] == 2 and whole[3, 5] > 0 and whole[5, 17] == 1.0
+
+
 def test_toxicity_features_see_disguises():
-    plain, clean = toxicity.features("you are an idiot"), toxicity.features("you are a friend")
+    one = lambda text: toxicity.features([text], toxicity.Masks(frozenset()))[0]
+    plain, clean = one("you are an idiot"), one("you are a friend")
     for text in ("you are an 1d10t", "you are an i.d.i.o.t", "you are an idiooooot", "you are an i d i o t"):
-        assert toxicity.features(text)[1] > 0, text
-    assert plain[0] > 0 and clean[2] == 0 and not toxicity.features(None).any() and not toxicity.features("").any()
+        assert one(text)[1] > 0, text
+    assert plain[0] > 0 and clean[2] == 0 and not one(None).any() and not one("").any()
 
 
 # 4
@@ -194,6 +316,11 @@ def test_sharding_equals_a_descent_and_moves_little(spark):
     # w4 grew, and west with it: nothing leaves west, what comes from elsewhere goes to west, and what moves inside west goes to w4
     assert {a[0] == "west" for a, _ in moved} == {True, False} and all(b[0] == "west" for _, b in moved)
     assert all(b[1] == "w4" for a, b in moved if a[0] == "west")
+    uneven = {"a": 3, "b": {"r": 2, "q": {"s": 1, "t": 1}}}
+    for k, got in places(uneven).items():
+        assert got == (*descend(k, uneven), None, None)[:3]
+    with pytest.raises(ValueError, match="levels"):
+        shardtree.assign(keys, tree={"a": {"b": {"c": {"d": 1}}}})
     with pytest.raises(ValueError, match="positive"):
         shardtree.assign(keys, tree={"a": {"b": {"c": 0}}})
 
@@ -221,11 +348,23 @@ def planted_prints(seed):
     return x[:, 0].copy(), x[:, 1].copy()
 
 
+def cells_of(hi, lo):
+    """The cells of every row, worked out on the bits written down one by one."""
+    out = []
+    for h, m in zip(hi.view(np.uint64).tolist(), lo.view(np.uint64).tolist()):
+        bits, at = f"{h:064b}{m:064b}", 0
+        for k, n in enumerate(n for parts in simhash.WIDTHS for n in parts):
+            out.append((k << simhash.PART_BITS) | int(bits[at : at + n], 2))
+            at += n
+        assert at == 128
+    return np.array(out)
+
+
 def test_simhash_search_finds_every_pair_once():
     hi, lo = planted_prints(5)
     n = len(hi)
-    slot, own = np.repeat(np.arange(len(simhash.SLOTS)), n), np.tile(np.arange(n), len(simhash.SLOTS))
-    a, b = simhash.near_pairs(simhash._entries(slot, hi[own], lo[own]), own, hi[own], lo[own], simhash.RADIUS, crowd=10**6)
+    cells, own = cells_of(hi, lo), np.repeat(np.arange(n), 15)
+    a, b = simhash.near_pairs(cells, own, hi[own], lo[own], simhash.RADIUS, crowd=10**6)
     pairs = [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
     assert len(pairs) == len(set(pairs)) and set(pairs) == near(hi, lo, simhash.RADIUS)
 
@@ -245,21 +384,41 @@ def roots(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_simhash_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("cell_rows", [simhash.CELL_ROWS, 7])
+def test_simhash_groups_equal_brute_force(spark, cell_rows):
+    """With a small bound on a cell's rows, cells are cut and their parts meet two by two."""
     hi, lo = planted_prints(6)
     prints = spark.createDataFrame([(int(i), int(h), int(m)) for i, (h, m) in enumerate(zip(hi, lo))], "id bigint, hi bigint, lo bigint")
-    got = {r.id: r.group_id for r in simhash._grouped(prints, simhash.RADIUS).collect()}
+    got = {r.id: r.group_id for r in simhash._grouped(prints, simhash.RADIUS, cell_rows).collect()}
     assert got == roots(near(hi, lo, simhash.RADIUS))
 
 
 def test_simhash_crowds_give_the_same_groups():
     rng = np.random.default_rng(8)
     hi, lo = np.zeros(300, np.int64), rng.integers(0, 2**40, 300)
-    ids, key = np.arange(300), np.zeros(300, np.int64)
-    a, b = simhash.near_pairs(key, ids, hi, lo, simhash.RADIUS)
+    ids = np.arange(300)
+    own = np.repeat(ids, 15)
+    a, b = simhash.near_pairs(cells_of(hi, lo), own, hi[own], lo[own], simhash.RADIUS)
     assert roots(zip(a.tolist(), b.tolist())) == roots(near(hi, lo, simhash.RADIUS))
 
 
+def test_simhash_fingerprint_is_the_sign_of_the_votes():
+    import math
+
+    import xxhash
+
+    for text in ("one two two three", "x", prose(3, 700), "naïve 漢字 été été"):
+        votes = [0] * 128
+        for word, count in Counter(simhash.words(text)).items():
+            digest, weight = int.from_bytes(xxhash.xxh3_128_digest(word.encode()), "big"), round(8 * (1 + math.log2(count)))
+            for k in range(128):
+                votes[k] += weight if (digest >> (127 - k)) & 1 else -weight
+        want = int("".join("1" if v > 0 else "0" for v in votes), 2)
+        hi, lo = simhash.fingerprint(text)
+        assert ((hi % 2**64) << 64) | (lo % 2**64) == want
+    assert simhash.fingerprint(None) is simhash.fingerprint("") is simhash.fingerprint("!?") is None
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     text = prose(1, 300)
     edited = text.split()
@@ -286,6 +445,38 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert np.mean([r.language == r.lang for r in rows]) >= 0.98 and np.mean([r.keep for r in rows]) >= 0.98
 
 
+def test_language_flags_planted_mixtures_and_keeps_pure_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").dropDuplicates(["text"])
+    teach = F.xxhash64("doc_id") % 2 == 0
+    model = langid.train(docs.where(teach))
+    by = defaultdict(list)
+    for r in docs.where(~teach & (F.length("text") > 300)).select("text", "lang").collect():
+        by[r.lang].append(r.text)
+    rng, mixed = random.Random(12), {0.5: [], 0.6: []}
+    for share, out in mixed.items():
+        for _ in range(1000):
+            a, b = (rng.choice(by[k]) for k in rng.sample(sorted(by), 2))
+            n = min(len(a) / share, len(b) / (1 - share))
+            out.append(a[: int(n * share)] + " " + b[: int(n * (1 - share))])
+    kept = lambda texts: langid._judge(model, pa.array(texts))[2].mean()
+    assert kept([t for ts in by.values() for t in ts]) >= 0.99
+    assert kept(mixed[0.5]) <= 0.1 and kept(mixed[0.6]) <= 0.1
+
+
+def test_language_decoding_equals_loops():
+    rng = np.random.default_rng(5)
+    code = langid.codewords(4)
+    model = langid.Model(list("abcd"), code, np.zeros((langid.DIM, code.shape[1])), rng.uniform(0.5, 1, code.shape[1]), 0.1)
+    out = rng.normal(0, 1, (60, code.shape[1]))
+    out[0] = 0  # all languages are equally far
+    best, margin = model.decode(out)
+    for row, k, m in zip(out, best, margin):
+        far = [sum(t * np.exp(-3 * c * o) for t, c, o in zip(model.trust, word, row)) for word in code]
+        first, second = sorted(far)[:2]
+        assert k == far.index(min(far)) and abs(m - (second - first) / (second + first)) < 1e-9
+    assert best[0] == 0 and margin[0] == 0
+
+
 def test_language_codewords_differ():
     for n in (2, 3, 5, 9):
         code = langid.codewords(n)
@@ -317,6 +508,41 @@ def test_embeddings_recall_and_precision_against_brute_force(spark):
     assert all(i in want and want[i] == want[g] for i, g in got.items())
 
 
+def test_embeddings_shape_keeps_the_recall_at_any_size():
+    for n in (10, 50_000, 10**9):
+        draws, tables = lsh.shape(n)
+        assert 1 - (1 - lsh.AGREE**draws) ** tables >= lsh.RECALL
+        assert n * lsh.CHANCE**draws <= 1 / 50 or draws == 8
+
+
+@pytest.mark.parametrize(("set_rows", "bucket_rows"), [(2, 100_000), (100, 3), (2, 3)])
+def test_embeddings_of_crowded_buckets(spark, set_rows, bucket_rows):
+    """Buckets that are cut, as ids and as vectors, give the same groups."""
+    rng = np.random.default_rng(16)
+    base = rng.standard_normal((4, 16))
+    x = np.concatenate([base[k % 4] + rng.standard_normal((1, 16)) * 0.02 for k in range(60)])
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.id: r.group_id for r in lsh.groups(df, set_rows=set_rows, bucket_rows=bucket_rows).collect()}
+    assert got == {k: k % 4 for k in range(60)}
+
+
+def test_runs_are_kept_whole_or_cut_and_named():
+    keys = [1] * 3 + [2] * 40 + [3] * 2 + [4] * 30
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 4], pa.int64())], names=["key"]) for k in range(0, len(keys), 4)]
+    whole = [t.column("key").to_pylist() for t in common.whole_runs(iter(batches), "key", 5)]
+    assert [k for t in whole for k in t] == keys and all(len({k for k in keys if k in t} & set(u)) == 0 for i, t in enumerate(whole) for u in whole[i + 1 :])
+    cut = set()
+    pieces = [t.column("key").to_pylist() for t in common.whole_runs(iter(batches), "key", 5, 10, cut)]
+    assert [k for t in pieces for k in t] == keys and cut == {2, 4} and max(map(len, pieces)) <= 25
+    assert list(common.whole_runs(iter([]), "key")) == []
+
+
+def test_embeddings_with_names_for_ids(spark):
+    rows = [("b", [1.0, 2.0]), ("a", [1.0, 2.01]), ("c", [1.0, 2.0]), ("z", [-1.0, 2.0]), (None, [1.0, 2.0])]
+    assert {r.id: r.group_id for r in lsh.groups(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
 def test_embeddings_that_cannot_be_scaled_are_in_no_group(spark):
     one, nan = [1.0, 2.0], float("nan")
     rows = [(1, one), (2, one), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, [1.0, 2.0, 0.0]), (None, one), (9, [10.0, 20.0]), (1, one)]
@@ -328,7 +554,7 @@ def test_embeddings_that_cannot_be_scaled_are_in_no_group(spark):
 # 8
 
 
-def stripped(rows, min_sites, mirror):
+def stripped(rows, min_sites):
     key = lambda line: line.strip(linededup.BLANKS).lower()
     sites = defaultdict(set)
     for _, text, _, site in rows:
@@ -339,7 +565,7 @@ def stripped(rows, min_sites, mirror):
     for i, text, _, _ in rows:
         lines = (text or "").split("\n")
         bad = [x for x in lines if len(sites[key(x)]) >= min_sites]
-        if text is not None and bad and sum(map(len, bad)) < mirror * sum(map(len, lines)):
+        if text is not None and bad:
             text = "\n".join(x for x in lines if len(sites[key(x)]) < min_sites)
         out.append((i, text))
     return out
@@ -351,7 +577,7 @@ def test_line_dedup_equals_brute_force(spark, lg_k):
     rng = random.Random(10)
     rows = [(k, None if k % 31 == 0 else "\n".join(rng.choice([f"Line {rng.randint(0, 60)}", "  SHARED footer", "", f"own words of page number {k} and nothing else in here"]) for _ in range(rng.randint(0, 7))), "en", rng.choice([None, *"abcdefghij"])) for k in range(300)]
     got = linededup.strip_lines(table_of(spark, rows), min_sites=6, lg_k=lg_k, band=0.1 if lg_k > 4 else 0.9)
-    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(stripped(rows, 6, linededup.MIRROR_SHARE))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(stripped(rows, 6))
     assert got.where("n_chars <> length(text)").count() == 0
 
 
@@ -359,7 +585,7 @@ def test_line_dedup_spares_proven_mirrors_only(spark):
     """Short pages made of boilerplate lose it; a page that stands whole on enough sites keeps its lines."""
     rows = [(k, f"Shared footer\nown {k}", "en", f"s{k}") for k in range(6)] + [(10 + k, "A mirrored page\nof two lines", "en", f"s{k}") for k in range(6)]
     rows += [(20, "SHARED footer", "en", "s1"), (21, "Shared footer \nx", "en", "s2"), (22, "A mirrored page\nof two lines\nand more", "en", None), (23, None, "en", "s1")]
-    got = {r.doc_id: (r.text, r.n_chars, r.gone) for r in linededup.strip_lines(table_of(spark, rows), min_sites=6, mirror_share=None, removed="gone").collect()}
+    got = {r.doc_id: (r.text, r.n_chars, r.gone) for r in linededup.strip_lines(table_of(spark, rows), min_sites=6, spare_mirrors=True, removed="gone").collect()}
     for k in range(6):
         assert got[k] == (f"own {k}", 5, 1) and got[10 + k] == ("A mirrored page\nof two lines", 28, 0)
     assert [got[k] for k in range(20, 24)] == [("", 0, 1), ("x", 1, 1), ("and more", 8, 2), (None, None, 0)]
@@ -409,12 +635,21 @@ def test_bpe_on_odd_words(exact_encoder):
     assert enc.merged_exactly > 0
 
 
+def test_bpe_refuses_a_vocabulary_that_lacks_a_byte():
+    import base64
+
+    lines = [base64.b64encode(bytes([b])) + b" %d" % b for b in range(255)]
+    with pytest.raises(ValueError, match="no token for 1 of the 256 bytes"):
+        bpe.Encoder(b"\n".join(lines))
+
+
 def test_bpe_decodes_what_it_encodes(spark, messy):
     ids = bpe.encode(messy)
     back = bpe.decode(ids)
     key = lambda rows: sorted(rows, key=repr)
     assert key((r.doc_id, r.text) for r in back.collect()) == key((r.doc_id, r.text) for r in messy.select("doc_id", "text").collect())
     assert ids.where("n_tokens IS NULL AND ids IS NULL AND exact IS NULL").count() == 2
+    assert bpe.decode(ids.where("false")).count() == 0
 
 
 # 10
