@@ -179,7 +179,10 @@ def decoded(ids: Column, vocab: Mapping[str, int]) -> Column:
     names = {int(number): token for token, number in vocab.items()}
     top = max(names, default=-1)
     if top < 4 * len(names) and min(names, default=0) >= 0:
-        places = F.lit([names.get(i, "") for i in range(top + 1)]) if names else F.array(F.lit(""))
+        # one literal, which is folded into an array when the query is planned; its separator is in no token
+        used = {ch for token in names.values() for ch in token}
+        mark = next(ch for ch in map(chr, range(0xE000, 0xF8FF)) if ch not in used)
+        places = F.split(F.lit(mark.join(names.get(i, "") for i in range(top + 1))), mark)
         token = lambda i: F.when(i >= 0, F.get(places, i))
     else:
         lookup = F.map_from_arrays(F.lit(list(names)), F.lit(list(names.values())))
