@@ -133,3 +133,11 @@ def test_vocabularies_have_the_default_size(spark, sf_dir, monkeypatch):
     for name in ("bpe_merges", "wordpiece_vocab", "unigram_vocab"):
         contract.queries()[name](spark, sf_dir)
     assert sizes == [8192] * 3
+
+
+def test_issues_of_a_large_vocabulary_bring_nothing_to_the_driver(spark, sf_dir, duck, same_rows, monkeypatch):
+    with monkeypatch.context() as patched:
+        for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+            patched.setattr(type(spark.range(1)), name, lambda *_: pytest.fail("rows came to the driver"))
+        found = contract.queries()["artifact_issues"](spark, sf_dir)
+    same_rows(found, duck.sql(ORACLES["artifact_issues"]))

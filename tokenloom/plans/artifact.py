@@ -86,7 +86,12 @@ class Artifact:
         return numbered(spark, self.tokens).where("token <> ''")
 
     def issues(self, spark: SparkSession, **limits: float) -> DataFrame:
-        return validate.issues(self.frame(spark), self.contract.typed_symbols(), **limits)
+        return issues_of(self.frame(spark), self.contract, **limits)
+
+
+def issues_of(vocab: DataFrame, contract: Contract, **limits: float) -> DataFrame:
+    """The issues of a vocabulary under a contract; it is a table with a token column, of any size."""
+    return validate.issues(vocab.where("token <> ''"), contract.typed_symbols(), **limits)
 
 
 class Runtime:

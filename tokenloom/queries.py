@@ -12,7 +12,7 @@ from tokenloom.functions import drift, httpstruct, hygiene, noise, records
 from tokenloom.functions.text import float_repr, lower_ascii
 from tokenloom.operators import baselines, induce, matcher, metrics, mining, validate
 from tokenloom.plans import runs
-from tokenloom.plans.artifact import Artifact, HygieneArtifact, Runtime
+from tokenloom.plans.artifact import Artifact, HygieneArtifact, Runtime, issues_of
 from tokenloom.plans.config import Contract, Trainer
 from tokenloom.sources import scan, shared, sink
 from tokenloom.streaming import jobs
@@ -890,9 +890,8 @@ def entropy_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM v JOIN s ON token <> symbol AND length(token) >= 2 AND (contains(token, '<') OR contains(token, '>')) AND contains(symbol, token) GROUP BY symbol"
 )
 def artifact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All guardrails over an artifact's vocabulary."""
-    tokens = sorted(r.token for r in _suspect_vocab(spark, sf_dir).collect())  # a vocabulary, which is the driver's to hold
-    return Artifact({}, {t: i for i, t in enumerate(tokens)}, Contract(), list(mining.SPECIALS)).issues(spark)
+    """All guardrails over an artifact's vocabulary, which grows with the documents and so stays a table."""
+    return issues_of(_suspect_vocab(spark, sf_dir), Contract())
 
 
 # --- baselines ---
