@@ -141,3 +141,20 @@ def test_issues_of_a_large_vocabulary_bring_nothing_to_the_driver(spark, sf_dir,
             patched.setattr(type(spark.range(1)), name, lambda *_: pytest.fail("rows came to the driver"))
         found = contract.queries()["artifact_issues"](spark, sf_dir)
     same_rows(found, duck.sql(ORACLES["artifact_issues"]))
+
+
+@pytest.mark.parametrize("most_parts, size", [(200_000, 260), (40, 40)])
+def test_a_round_makes_many_merges(spark, monkeypatch, most_parts, size):
+    rng = random.Random(5)
+    syllables = ["".join(rng.choice("aeioklmnrst#") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    words = {"".join(rng.choices(syllables, range(60, 0, -1), k=rng.randint(1, 5))) for _ in range(1500)}
+    counts = spark.createDataFrame([(w, rng.randint(1, 30)) for w in sorted(words)], "word string, n bigint").cache()
+    want = baselines.bpe(counts, size, 2), baselines.wordpiece(counts, size, 2)
+    rounds, stored = [], baselines.settled
+    monkeypatch.setattr(baselines, "MOST_WORDS", 5)
+    monkeypatch.setattr(baselines, "MOST_PARTS", most_parts, raising=False)
+    monkeypatch.setattr(baselines, "settled", lambda df: rounds.append(df) or stored(df))
+    assert baselines.bpe(counts, size, 2) == want[0]
+    assert len(rounds) < len(want[0][1]) // (10 if most_parts > 40 else 1)
+    if most_parts > 40:
+        assert baselines.wordpiece(counts, size, 2) == want[1]

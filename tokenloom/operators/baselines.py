@@ -1,9 +1,9 @@
 """Subword baselines: BPE, WordPiece and Unigram vocabularies over word counts.
 
 Counting words is the part that grows with the data, and it is a distributed aggregation. Up to MOST_WORDS distinct words
-merge on the driver. More of them stay distributed: each round counts pairs in Spark, takes as many merges as are sure to
-follow one another, and stores the merged words; the result is the same, at a job a round. The Unigram E-step is distributed
-over the words.
+merge on the driver. More of them stay distributed: each round counts pairs in Spark, brings the parts of words that the
+most frequent pairs hold together to the driver, makes hundreds of merges over them, and stores the merged words; the result
+is the same. The Unigram E-step is distributed over the words.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from tokenloom.operators.mining import SPECIALS, spans
 from tokenloom.sources.shared import dropped, settled
 
-MOST_WORDS = 1_000_000
+MOST_WORDS = 400_000
+#: Distributed merging: parts of words that come to the driver in a round, words of a first task, pairs that a task holds before it gives them out.
+MOST_PARTS, TASK_WORDS, HELD_PAIRS = 200_000, 50_000, 1_000_000
 
 
 def words(c: Column) -> Column:
@@ -41,11 +43,13 @@ def pair_counts(counts: DataFrame) -> DataFrame:
 
 
 def _merged(counts: DataFrame, size: int, min_freq: int, prefix: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    rows = counts.limit(MOST_WORDS + 1).collect()
-    if len(rows) > MOST_WORDS:
-        del rows
-        return _merge_rounds(counts, size, min_freq, prefix)
-    return _merge_loop(sorted((r.word, r.n) for r in rows), size, min_freq, prefix)
+    counts, path = settled(counts.select("word", "n"))
+    try:
+        if counts.count() > MOST_WORDS:
+            return _merge_rounds(counts, size, min_freq, prefix)
+        return _merge_loop(sorted((r.word, r.n) for r in counts.collect()), size, min_freq, prefix)
+    finally:
+        dropped(counts.sparkSession, path)
 
 
 def _merge_loop(counted: list[tuple[str, int]], size: int, min_freq: int, prefix: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
@@ -60,9 +64,18 @@ def _merge_loop(counted: list[tuple[str, int]], size: int, min_freq: int, prefix
             seq.append(vocab.setdefault(piece, len(vocab)))
         seqs.append(seq)
     names = {i: t for t, i in vocab.items()}
+    done = _merge_seqs(seqs, [n for _, n in counted], names, vocab, size, max(1, min_freq), prefix)
+    return vocab, [(names[left], names[right]) for left, right, _ in done]
+
+
+def _merge_seqs(seqs: list[list[int]], weights: list[int], names: dict[int, str], vocab: dict[str, int], size: int, least: int, prefix: str, sure: bool = False) -> list[tuple[int, int, int]]:
+    """Merges (left, right, new) of the most frequent pairs of at least `least`; sequences, names and vocab grow along.
+
+    With sure, a merge into a token that was there before is the last.
+    """
     total: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, (seq, (_, n)) in enumerate(zip(seqs, counted)):
+    for k, (seq, n) in enumerate(zip(seqs, weights)):
         for pair in zip(seq, seq[1:]):
             total[pair] += n
             where[pair].add(k)
@@ -75,16 +88,19 @@ def _merge_loop(counted: list[tuple[str, int]], size: int, min_freq: int, prefix
             if total[pair] > 0:
                 heapq.heappush(heap, (-total[pair], pair))
             continue
-        if -n < max(1, min_freq):
+        if -n < least:
             break
         left, right = names[pair[0]], names[pair[1]]
         token = left + right[len(prefix) :] if prefix and right.startswith(prefix) else left + right
+        known = token in vocab
         new = vocab.setdefault(token, len(vocab))
         names[new] = token
-        merges.append((left, right))
+        merges.append((*pair, new))
+        if sure and known:
+            break
         grown: set[tuple[int, int]] = set()
         for k in where.pop(pair, ()):
-            seq, weight = seqs[k], counted[k][1]
+            seq, weight = seqs[k], weights[k]
             i = 0
             while i < len(seq) - 1:
                 if (seq[i], seq[i + 1]) != pair:
@@ -103,42 +119,22 @@ def _merge_loop(counted: list[tuple[str, int]], size: int, min_freq: int, prefix
         total[pair] = 0
         for other in grown:
             heapq.heappush(heap, (-total[other], other))
-    return vocab, merges
+    return merges
 
 
-def _sure_merges(ranked: list[tuple[int, int, int]], names: dict[int, str], vocab: dict[str, int], size: int, prefix: str) -> list[tuple[int, int, int]]:
-    """The merges (left, right, new) that come first whatever the others do to the counts; adds their tokens to vocab.
+def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahead: int = 1000) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """_merge_loop over words that stay distributed.
 
-    ranked: (n, left, right), most frequent first, ties by lower ids. Pairs without a common symbol leave each other's counts
-    alone, and a pair that a merge makes is at most as frequent as one that shares a symbol with it. So the run before the
-    first pair that shares a symbol is sure, but for pairs as frequent as that one. A token that was there already may
-    add to other pairs, and a doubled one may pair with itself again, so these end the run.
+    A round takes the `ahead` most frequent pairs, or fewer, and all as frequent as the last of them, the bar. Words are cut
+    wherever another pair stands, and their parts of two symbols or more are counted. These parts come to the driver, at
+    most MOST_PARTS of them, and all merges of at least the bar are made there. They are those that whole words would give:
+    a token that a round makes is made of the same symbols everywhere, so a pair of tokens stands over one pair of the
+    round's first symbols, and its count is whole if that one is not cut, and under the bar if it is. Only a token that was
+    there already may be made of others elsewhere, so it ends the round.
     """
-    stop, touched = len(ranked), set()
-    for k, (_, left, right) in enumerate(ranked):
-        if touched & {left, right}:
-            stop = k
-            break
-        touched |= {left, right}
-    bar = ranked[stop][0] if stop < len(ranked) else ranked[-1][0]
-    out = []
-    for k, (n, left, right) in enumerate(ranked[:stop]):
-        if k and n <= bar or len(vocab) >= size:
-            break
-        a, b = names[left], names[right]
-        token = a + b[len(prefix) :] if prefix and b.startswith(prefix) else a + b
-        known = token in vocab
-        new = vocab.setdefault(token, len(vocab))
-        names[new] = token
-        out.append((left, right, new))
-        if known or left == right:
-            break
-    return out
-
-
-def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahead: int = 500) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """_merge_loop over words that stay distributed."""
+    spark = counts.sparkSession
     vocab = {t: i for i, t in enumerate(SPECIALS)}
+    counts, spread_path = settled(counts.repartition(min(10_000, -(-counts.count() // TASK_WORDS)), "word"))
     at = counts.select("word", F.posexplode(F.regexp_extract_all("word", F.lit(r"(?s)."), F.lit(0))).alias("k", "ch"))
     first = at.groupBy("ch", (F.col("k") > 0).alias("inner")).agg(F.min(F.struct("word", "k")).alias("at")).collect()  # two rows a character
     for ch in sorted({r.ch for r in first}):
@@ -150,34 +146,140 @@ def _merge_rounds(counts: DataFrame, size: int, min_freq: int, prefix: str, ahea
     def split(words: pa.Array) -> pa.Array:
         return pa.array([[start[prefix + ch if k else ch] for k, ch in enumerate(w)] for w in words.to_pylist()], pa.list_(pa.int32()))
 
-    names, merges = {i: t for t, i in vocab.items()}, []
-    seqs, path = settled(counts.select(F.arrow_udf(split, "array<int>")("word").alias("seq"), "n").where(F.size("seq") > 1))
-    while len(vocab) < size:
-        pairs = seqs.select("n", F.explode(F.arrays_zip(F.slice("seq", F.lit(1), F.size("seq") - 1).alias("a"), F.slice("seq", F.lit(2), F.size("seq") - 1).alias("b"))).alias("p"))
-        total = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, min_freq))
-        ranked = [(r.n, r.a, r.b) for r in total.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()]
-        if not ranked:
-            break
-        sure = _sure_merges(ranked, names, vocab, size, prefix)
-        merges += [(names[a], names[b]) for a, b, _ in sure]
-        last = path
-        seqs, path = settled(seqs.select(F.arrow_udf(_merger({(a, b): new for a, b, new in sure}), "array<int>")("seq").alias("seq"), "n").where(F.size("seq") > 1))
-        dropped(counts.sparkSession, last)
-    dropped(counts.sparkSession, path)
+    names, merges, least = {i: t for t, i in vocab.items()}, [], max(1, min_freq)
+    seqs, path = settled(counts.where(F.length("word") > 1).select(F.arrow_udf(split, "array<int>")("word").alias("seq"), "n"))
+    dropped(spark, spread_path)
+    try:
+        while len(vocab) < size:
+            pairs = seqs.mapInArrow(_pair_sums, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            ranked = [(r.a, r.b, r.n) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()]
+            if not ranked:
+                break
+            done = _round_merges(seqs, ranked, least if len(ranked) < ahead else ranked[-1][2] + 1, names, vocab, size, prefix)
+            merges += [(names[a], names[b]) for a, b, _ in done]
+            if len(vocab) < size:
+                last = path
+                seqs, path = settled(seqs.mapInArrow(_merger(done), "seq array<int>, n bigint"))
+                dropped(spark, last)
+    finally:
+        dropped(spark, path)
     return vocab, merges
 
 
-def _merger(news: dict[tuple[int, int], int]):
-    def merge(seqs: pa.Array) -> pa.Array:
-        out = []
-        for seq in seqs.to_pylist():
-            done, i = [], 0
-            while i < len(seq):
-                new = news.get((seq[i], seq[i + 1])) if i + 1 < len(seq) else None
-                done.append(seq[i] if new is None else new)
-                i += 1 if new is None else 2
-            out.append(done)
-        return pa.array(out, pa.list_(pa.int32()))
+def _round_merges(seqs: DataFrame, ranked: list[tuple[int, int, int]], bar: int, names: dict[int, str], vocab: dict[str, int], size: int, prefix: str) -> list[tuple[int, int, int]]:
+    """The merges of a round: ranked holds all pairs of at least the bar, which is raised until the parts are few enough."""
+    take = len(ranked)
+    while True:
+        if take < len(ranked):
+            bar = max(bar, ranked[take][2] + 1)
+        whole = [(a, b) for a, b, n in ranked[:take] if n >= bar]
+        # where ties leave no pair over the bar, the first of them merges alone
+        parts = seqs.mapInArrow(_cutter(whole or [ranked[0][:2]]), "part array<int>, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+        found = parts.limit(MOST_PARTS + 1).toArrow()
+        if len(found) <= MOST_PARTS or not whole:
+            break
+        take = len(whole) // 2
+    cut, weights = found["part"].to_pylist(), found["n"].to_pylist()
+    if not whole:
+        bar, size = ranked[0][2], min(size, len(vocab) + 1)
+    return _merge_seqs(cut, weights, names, vocab, size, bar, prefix, sure=True)
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of sequences, none empty: all symbols, the row of each, its pair with the next one as a number, -1 at a row's end, and the rows' n."""
+    seqs = batch.column(0)
+    flat = seqs.flatten().to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(seqs)), seqs.value_lengths().to_numpy())
+    code = np.full(len(flat), -1, np.int64)
+    code[:-1] = np.where(rows[:-1] == rows[1:], flat[:-1] << 32 | flat[1:], -1)
+    return flat, rows, code, batch.column(1).to_numpy()
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of n by pair, over many batches at a time."""
+
+    def out(codes: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
+        c, n = _summed(np.concatenate(codes), np.concatenate(sums))
+        return pa.RecordBatch.from_arrays([pa.array((c >> 32).astype(np.int32)), pa.array((c & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+
+    codes, sums, held = [], [], 0
+    for batch in batches:
+        _, rows, code, n = _codes(batch)
+        inside = code >= 0
+        c, s = _summed(code[inside], n[rows[inside]])
+        codes.append(c)
+        sums.append(s)
+        held += len(c)
+        if held > HELD_PAIRS:
+            yield out(codes, sums)
+            codes, sums, held = [], [], 0
+    if codes:
+        yield out(codes, sums)
+
+
+def _among(code: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each code in the sorted ones, -1 if absent."""
+    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    return np.where(known[at] == code, at, -1)
+
+
+def _cutter(pairs: list[tuple[int, int]]):
+    """Rows (part, n): the runs of a sequence whose neighbours are all among the pairs."""
+    known = np.sort(np.array([a << 32 | b for a, b in pairs], np.int64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, rows, code, n = _codes(batch)
+            joined = _among(code, known) >= 0
+            behind = np.append(False, joined[:-1])
+            kept = joined | behind
+            first = np.flatnonzero(kept & ~behind)
+            ends = np.append(0, np.cumsum(kept))
+            offsets = np.append(ends[first], ends[-1]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[kept].astype(np.int32))), pa.array(n[rows[first]])], names=["part", "n"])
+
+    return cut
+
+
+def _merger(merges: list[tuple[int, int, int]]):
+    """Rows (seq, n) after the merges, one after another; sequences of one symbol are left out.
+
+    Each pass makes the first merge that a sequence has, everywhere in it, from left to right.
+    """
+    codes = np.array([a << 32 | b for a, b, _ in merges], np.int64)
+    order = np.argsort(codes)
+    known, rank, news = codes[order], order, np.array([new for *_, new in merges], np.int64)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            while len(batch):
+                flat, rows, code, n = _codes(batch)
+                at = _among(code, known)
+                ranks = np.where(at >= 0, rank[at], len(merges))
+                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+                least = np.minimum.reduceat(ranks, first)
+                hit = (ranks < len(merges)) & (ranks == least[rows])
+                if not hit.any():
+                    break
+                # of overlapping ones, as in aaa, every other one from the left
+                run = np.arange(len(hit)) - np.maximum.accumulate(np.where(hit, -1, np.arange(len(hit)))) - 1
+                hit &= run % 2 == 0
+                flat[hit] = news[ranks[hit]]
+                kept = ~np.append(False, hit[:-1])
+                flat, rows = flat[kept], rows[kept]
+                sizes = np.bincount(rows, minlength=len(n))
+                long = sizes > 1
+                offsets = np.append(0, np.cumsum(sizes[long])).astype(np.int32)
+                batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[long[rows]].astype(np.int32))), pa.array(n[long])], names=["seq", "n"])
+            if len(batch):
+                yield batch
 
     return merge
 
