@@ -48,6 +48,19 @@ def test_both_encoders_equal_a_loop_whatever_the_vocabulary(spark):
         assert [r.ids for r in got] == [*want, None]
 
 
+def test_ids_are_given_out_slice_by_slice():
+    texts = pa.array(["ab" * 300_000, None, "", *["a b é"] * 1200, "b" * 3_000_000, "é"])
+    given = list(matcher.encoded_arrow({"[UNK]": 1, "a": 2, "ab": 3, "é": 4}).func(iter([texts, texts.slice(0, 0)])))
+    assert [x for part in given for x in part.to_pylist()] == WordEncoder({"[UNK]": 1, "a": 2, "ab": 3, "é": 4})(texts).to_pylist()
+    assert max(map(len, given)) <= 512 and all(len(part) == 1 or len(part.flatten()) <= 1 << 20 for part in given)
+
+
+def test_single_characters_and_few_longer_tokens():
+    vocab = {"[PAD]": 0, "[UNK]": 1, "a": 2, "\U0001f600": 3}
+    for texts in (["a\U0001f600b", "", None, "é"], ["a[PAD]b", "[PA", "D]"], ["[PA", "D]", "a"], []):
+        assert WordEncoder(vocab)(pa.array(texts, pa.string())).to_pylist() == [None if t is None else greedy(t, vocab) for t in texts]
+
+
 def test_decoding_by_place_and_by_map(spark):
     df = spark.createDataFrame([([2, 3, 99, -1],), ([],), (None,)], "ids array<int>")
     for vocab in ({"a": 0, "b": 2, "c": 3}, {"b": 2, "c": 3, "far": 10**6}):

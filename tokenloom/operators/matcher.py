@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,15 +94,22 @@ def _lowest(vocab: Mapping[str, int]) -> dict[str, int]:
 class WordEncoder:
     """Greedy encoding word by word, each distinct word once.
 
-    A text is cut at the characters that no longer token holds, where greedy matches can't run across; a cut character is a
-    piece of its own. Words and their ids are remembered up to `kept` characters.
+    A text is cut behind the characters that no longer token holds, where greedy matches can't run across. Words and their
+    ids are remembered up to `kept` characters. Texts without any longer token, where few are to be looked for, go
+    character by character.
     """
 
-    def __init__(self, vocab: Mapping[str, int], unk: str = "[UNK]", kept: int = 8_000_000) -> None:
+    def __init__(self, vocab: Mapping[str, int], unk: str = "[UNK]", kept: int = 2_000_000) -> None:
         self.ids, self.unknown, self.kept = _lowest(vocab), int(vocab.get(unk, 1)), kept
         inside = {ch for token in self.ids if len(token) > 1 for ch in token}
         cuts = [ch for ch in " \t\n\r,;.:!?()<>[]{}\"'=&/#%|-_" if ch not in inside]
-        self.pieces = re.compile(f"[^{re.escape(''.join(cuts))}]+|[{re.escape(''.join(cuts))}]").findall if cuts else lambda text: [text] if text else []
+        at = re.escape("".join(cuts))
+        self.pieces = re.compile(f"[^{at}]+[{at}]?|[{at}]").findall if cuts else lambda text: [text] if text else []
+        self.longer = [token for token in self.ids if len(token) > 1]
+        self.single = np.full(0x110000 if len(self.longer) <= 4 else 0, self.unknown, np.int32)
+        for token, number in self.ids.items():
+            if len(token) == 1 and len(self.single):
+                self.single[ord(token)] = number
         sizes: dict[str, set[int]] = {}
         for token in self.ids:
             sizes.setdefault(token[:2] if len(token) > 1 else token, set()).add(len(token))
@@ -148,6 +156,14 @@ class WordEncoder:
             self.letters += len(word)
 
     def __call__(self, texts: pa.Array) -> pa.Array:
+        absent = texts.is_null().to_numpy(zero_copy_only=False)
+        if len(self.single):
+            given = [t or "" for t in texts.to_pylist()]
+            joined = "".join(given)
+            if not any(token in joined for token in self.longer):
+                upto = np.cumsum([0, *map(len, given)]).astype(np.int32)
+                ids = self.single[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+                return pa.ListArray.from_arrays(pa.array(upto, pa.int32(), mask=np.append(absent, False)), pa.array(ids, pa.int32()))
         split = [[] if t is None else self.pieces(t) for t in texts.to_pylist()]
         flat = [w for ws in split for w in ws]
         self.learn(flat)
@@ -156,10 +172,21 @@ class WordEncoder:
         ends = np.cumsum(counts)
         ids = self.flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)]
-        absent = texts.is_null().to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32), pa.int32(), mask=np.append(absent, False)), pa.array(ids, pa.int32()))
 
 
+def slices(texts: pa.Array, rows: int = 512, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Start and length of slices of some `size` bytes and at most `rows` texts; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = int(np.searchsorted(ends, before + size, side="right"))
+        stop = min(max(stop, start + 1), start + rows, len(texts))
+        yield start, stop - start
+        start = stop
+
+
 def encoded_arrow(vocab: Mapping[str, int], unk: str = "[UNK]"):
     """The same as a vectorised function; its price a word does not depend on the size of the vocabulary."""
     known = dict(vocab)
@@ -168,8 +195,11 @@ def encoded_arrow(vocab: Mapping[str, int], unk: str = "[UNK]"):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = WordEncoder(known, unk)
         for texts in batches:
-            parts = [encoder(texts.slice(start, 512)) for start in range(0, len(texts), 512)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            # given out slice by slice: a batch's ids together take several times its texts
+            for start, size in slices(texts):
+                yield encoder(texts.slice(start, size))
+            if not len(texts):
+                yield pa.array([], pa.list_(pa.int32()))
 
     return encode
 
