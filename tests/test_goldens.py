@@ -42,6 +42,16 @@ def test_noise(spark, text, want):
     assert one(spark, text, noise.classify) == want
 
 
+def test_noise_among_many_words_is_weighed_by_its_length(spark):
+    blob, word = "0123456789abcdef" * 2, "word "
+    texts = {f"{blob}\u00a0abcde": "<HASH>", f"{blob} abcdef": None, f"{blob}, {blob}": None, f"{blob}=== x": None, f"{word * 9}{blob * 9}Q== {blob}": "<B64>", f"\x85{blob}\t{blob[:16]}\n": "<HASH>"}
+    df = spark.createDataFrame(list(texts.items()), "x string, want string")
+    shown = noise.classify(F.col("x"))
+    assert [r.kind for r in df.select(shown.alias("kind")).collect()] == list(texts.values())
+    # each piece of a text was looked at before, whatever its shape
+    assert "split(" not in str(shown)
+
+
 def test_greedy_takes_the_longest(spark):
     vocab = {"[PAD]": 0, "[UNK]": 1, "GET": 5, "/": 6, "index": 7, "in": 8}
     assert one(spark, "GET/index", lambda x: matcher.encoded(x, vocab)) == [5, 6, 7]

@@ -33,14 +33,20 @@ def classify(c: Column) -> Column:
 
     Among mixed pieces the kind with most characters names the record, ties in the order given.
     """
-    s = strip(c)
-    pieces = F.split(s, rf"[{BLANK}]+")
-    zero = F.struct(*(F.lit(0).alias(n) for n in ("all", "hash", "hex", "b64")))
+    return _stripped_kind(strip(c))
+
+
+#: A whole piece that any kind can be of; pieces of other shapes count by their length only.
+_BLOB = rf"(?=[0-9A-Za-z+/_\-]{{16}})(?<![^{BLANK}])[0-9A-Za-z+/_\-]{{16,}}+={{0,2}}+(?![^{BLANK}])"
+
+
+def _stripped_kind(s: Column) -> Column:
+    zero = F.struct(F.length(F.regexp_replace(s, f"[{BLANK}]+", "")).alias("all"), *(F.lit(0).alias(n) for n in ("hash", "hex", "b64")))
 
     def add(acc: Column, piece: Column) -> Column:
         n, kind = F.length(piece), _kind(piece)
         part = lambda name, symbol: (acc[name] + F.when(kind == symbol, n).otherwise(0)).alias(name)
-        return F.struct((acc["all"] + n).alias("all"), part("hash", "<HASH>"), part("hex", "<HEX>"), part("b64", "<B64>"))
+        return F.struct(acc["all"].alias("all"), part("hash", "<HASH>"), part("hex", "<HEX>"), part("b64", "<B64>"))
 
     def name(acc: Column) -> Column:
         noise = acc["hash"] + acc["hex"] + acc["b64"]
@@ -48,7 +54,7 @@ def classify(c: Column) -> Column:
         largest = F.greatest(acc["hash"], acc["hex"], acc["b64"])
         return F.when(enough, F.when(acc["hash"] == largest, "<HASH>").when(acc["hex"] == largest, "<HEX>").otherwise("<B64>"))
 
-    mixed = F.when(s.rlike("[0-9A-Za-z+/_-]{16}") & (F.size(pieces) > 1), F.aggregate(pieces, zero, add, name))
+    mixed = F.when(s.rlike(_BLOB), F.aggregate(F.regexp_extract_all(s, F.lit(_BLOB), F.lit(0)), zero, add, name))
     return F.when(s != "", F.coalesce(_kind(s), mixed))
 
 
