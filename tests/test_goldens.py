@@ -95,3 +95,14 @@ def test_structure_of_a_raw_request(spark):
     got = one(spark, "POST /a?x=%41 HTTP/1.1\nCookie: sid=1\n\n{\"b\": 1, \"a\": \"w\"}", httpstruct.structured)
     assert got.startswith("<METHOD> POST <URL> / a <QK> x <QVAL> <URLENC> <PROT> HTTP/1.1 <EOL>")
     assert got.index("<K:a>") < got.index("<K:b>")
+
+
+def test_a_request_is_cut_and_read_once(spark):
+    """What several parts of a request need is worked out once for a text: its sections are read at one place of the plan, not at one for each part."""
+    plan = spark.createDataFrame([("",)], "x string").select(httpstruct.structured(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_headers_by_their_first_colon(spark):
+    got = one(spark, "GET / HTTP/1.1\n : a\n:b\n\u2003X-Y :\u00a0c:d\u3000\nnone", httpstruct.structured)
+    assert got == "<METHOD> GET <URL> / <PROT> HTTP/1.1 <EOL> <HDR> <EMPTY> <SEP> a <EOL> <HDR> x-y <SEP> c:d <EOL>"

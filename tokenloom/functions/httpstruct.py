@@ -7,7 +7,6 @@ expression; no row leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions.noise import is_base64, unprintable
-from tokenloom.functions.text import BLANK, fields, lines, lower_ascii, strip
+from tokenloom.functions.text import BLANK, bound, fields, lines, lower_ascii, strip
 
 TAGS = [f"<{name}>" for name in "METHOD URL PROT HDR BODY JSON FORM RAW TRUNC BYTES URLENC STR NUM QK QVAL COOKIE_K COOKIE_V AUTH_BEARER AUTH_BASIC LIST".split()]
 _X = "[0-9A-Fa-f]"
@@ -38,9 +37,9 @@ def _whole(pattern: str) -> str:
     return rf"^(?:{pattern})\z"
 
 
-def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
-    """fn of c with c worked out once; inside lambdas Catalyst shares no common parts."""
-    return F.get(F.transform(F.array(c), fn), F.lit(0))
+def _end_to_end(*arrays: Column) -> Column:
+    """Arrays one after another; concat takes several times as long where it is not compiled."""
+    return F.flatten(F.array(*arrays))
 
 
 def number_tag(digits: Column, min_digits: int) -> Column:
@@ -70,7 +69,10 @@ def value_placeholder(c: Column, min_digits: int = 6) -> Column:
 
 def _stripped_placeholder(s: Column, min_digits: int) -> Column:
     return (
-        F.when(s == "", "<EMPTY>")
+        # most values are short words or numbers, which none of the other patterns takes
+        F.when(s.rlike(r"^[A-Za-z_.\-]{1,15}\z"), "<STR>")
+        .when(s.rlike(r"^[0-9]{1,9}\z"), number_tag(s, min_digits))
+        .when(s == "", "<EMPTY>")
         .when(unprintable(s), "<BYTES>")
         .when(s.rlike(_PCT), "<URLENC>")
         .when(s.rlike(_whole(_UUID)), "<UUID>")
@@ -129,7 +131,7 @@ def query_tokens(c: Column, min_digits: int = 6) -> Column:
     return F.flatten(
         F.transform(
             pairs(c, "&"),
-            lambda p: F.concat(F.array(F.lit("<QK>")), key_tokens(p["k"]), F.array(F.lit("<QVAL>"), value_placeholder(p["v"], min_digits))),
+            lambda p: _end_to_end(F.array(F.lit("<QK>")), key_tokens(p["k"]), F.array(F.lit("<QVAL>"), value_placeholder(p["v"], min_digits))),
         )
     )
 
@@ -138,60 +140,60 @@ def cookie_tokens(c: Column, min_digits: int = 6) -> Column:
     return F.flatten(
         F.transform(
             pairs(c, ";"),
-            lambda p: F.concat(F.array(F.lit("<COOKIE_K>")), cookie_key_tokens(p["k"]), F.array(F.lit("<COOKIE_V>"), value_placeholder(p["v"], min_digits))),
+            lambda p: _end_to_end(F.array(F.lit("<COOKIE_K>")), cookie_key_tokens(p["k"]), F.array(F.lit("<COOKIE_V>"), value_placeholder(p["v"], min_digits))),
         )
     )
 
 
-def _url_part(c: Column, group: int) -> Column:
+def _bare_url(c: Column) -> Column:
+    return F.when(c.rlike(r"[\x00-\x20]"), F.regexp_replace(F.regexp_replace(c, r"^[\x00-\x20]+", ""), r"[\t\n\r]", "")).otherwise(c)
+
+
+def _url_part(bare: Column, group: int) -> Column:
     """Path (1) or query (2) by the generic syntax of RFC 3986, whatever the scheme."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^[\x00-\x20]+", ""), r"[\t\n\r]", "")
     return F.regexp_extract(bare, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)(?:\?([^#]*))?", group)
 
 
 def url_tokens(c: Column, min_digits: int = 6) -> Column:
-    path = lambda url: bound(_url_part(url, 1), lambda p: F.when(p == "", url).otherwise(p))
-    return bound(strip(c), lambda url: bound(path(url), lambda p: _path_tokens(url, p, min_digits)))
+    filled = lambda path, url: F.when(path == "", url).otherwise(path)
 
+    def shown(url: Column, bare: Column) -> Column:
+        return bound(_url_part(bare, 1), lambda path: bound(filled(path, url), lambda p: _path_tokens(url, bare, p, min_digits)))
 
-def _path_tokens(url: Column, path: Column, min_digits: int) -> Column:
-    rooted = path.startswith("/")
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
-    last = F.size(segments) - 1
-    steps = F.flatten(
-        F.transform(
-            segments,
-            lambda seg, i: F.when(seg == "", F.array().cast("array<string>")).otherwise(
-                F.concat(raw_value_tokens(seg, min_digits, 64), F.when(i < last, F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")))
-            ),
-        )
-    )
+    return bound(strip(c), lambda url: bound(_bare_url(url), lambda bare: shown(url, bare)))
+
+
+def _path_tokens(url: Column, bare: Column, path: Column, min_digits: int) -> Column:
     none = F.array().cast("array<string>")
-    full = F.concat(F.when(rooted, F.array(F.lit("/"))).otherwise(none), steps, query_tokens(_url_part(url, 2), min_digits))
-    return F.concat(F.array(F.lit("<URL>")), F.when(url == "", F.array(F.lit("<EMPTY>"))).otherwise(full))
 
+    def steps(segments: Column) -> Column:
+        last = F.size(segments) - 1
+        step = lambda seg, i: F.when(seg == "", none).otherwise(_end_to_end(raw_value_tokens(seg, min_digits, 64), F.when(i < last, F.array(F.lit("/"))).otherwise(none)))
+        return F.flatten(F.transform(segments, step))
 
-_HEADER = rf"(?s)^[{BLANK}]*([^:]+):[{BLANK}]*(.*)\z"
+    rooted = F.when(path.startswith("/"), F.array(F.lit("/"))).otherwise(none)
+    full = _end_to_end(rooted, bound(F.split(F.regexp_replace(path, "^/", ""), "/"), steps), query_tokens(_url_part(bare, 2), min_digits))
+    return _end_to_end(F.array(F.lit("<URL>")), F.when(url == "", F.array(F.lit("<EMPTY>"))).otherwise(full))
 
 
 def header_tokens(headers: Column, marks: Marks, min_digits: int) -> Column:
     def one(line: Column) -> Column:
-        name = lower_ascii(strip(F.regexp_extract(line, _HEADER, 1)))
-        return bound(name, lambda n: bound(strip(F.regexp_extract(line, _HEADER, 2)), lambda v: named(n, v)))
+        name = lower_ascii(strip(F.substring_index(line, ":", 1)))
+        return bound(name, lambda n: bound(strip(F.substr(line, F.instr(line, ":") + 1)), lambda v: named(n, v)))
 
     def named(name: Column, value: Column) -> Column:
-        kind = lower_ascii(value)
         typed = (
             F.when(name == "cookie", cookie_tokens(value, min_digits))
-            .when((name == "authorization") & kind.startswith("bearer "), F.array(F.lit("<AUTH_BEARER>"), value_placeholder(F.substr(value, F.lit(8)), min_digits)))
-            .when((name == "authorization") & kind.startswith("basic "), F.array(F.lit("<AUTH_BASIC>"), value_placeholder(F.substr(value, F.lit(7)), min_digits)))
+            .when((name == "authorization") & value.rlike("^[Bb][Ee][Aa][Rr][Ee][Rr] "), F.array(F.lit("<AUTH_BEARER>"), value_placeholder(F.substr(value, F.lit(8)), min_digits)))
+            .when((name == "authorization") & value.rlike("^[Bb][Aa][Ss][Ii][Cc] "), F.array(F.lit("<AUTH_BASIC>"), value_placeholder(F.substr(value, F.lit(7)), min_digits)))
             .when(name == "authorization", F.array(value_placeholder(value, min_digits)))
             .otherwise(raw_value_tokens(value, min_digits, 256))
         )
         head = F.array(F.lit("<HDR>"), F.when(name == "", "<EMPTY>").otherwise(name), F.lit(marks.sep))
-        return F.concat(head, typed, F.array(F.lit(marks.eol)))
+        return _end_to_end(head, typed, F.array(F.lit(marks.eol)))
 
-    return F.flatten(F.transform(F.filter(headers, lambda h: h.rlike(_HEADER)), one))
+    # a name of one character or more stands before the first colon
+    return F.flatten(F.transform(F.filter(headers, lambda h: F.instr(h, ":") > 1), one))
 
 
 def json_object_tokens(variant: Column, marks: Marks, min_digits: int) -> Column:
@@ -223,19 +225,19 @@ def body_tokens(body: Column, marks: Marks, min_digits: int, max_len: int) -> Co
     none = F.array().cast("array<string>")
 
     def typed(s: Column, value: Column, kind: Column) -> Column:
-        raw = F.concat(F.array(F.lit("<RAW>")), _cut(s, max_len))
+        raw = _end_to_end(F.array(F.lit("<RAW>")), _cut(s, max_len))
         return (
-            F.when(kind.startswith("OBJECT"), F.concat(F.array(F.lit("<JSON>")), json_object_tokens(value, marks, min_digits)))
+            F.when(kind.startswith("OBJECT"), _end_to_end(F.array(F.lit("<JSON>")), json_object_tokens(value, marks, min_digits)))
             .when(kind.startswith("ARRAY"), F.array(F.lit("<JSON>"), F.lit("<LIST>")))
             .when(s.startswith("{") | s.startswith("["), raw)
-            .when(s.contains("&") & s.contains("="), F.concat(F.array(F.lit("<FORM>")), query_tokens(s, min_digits)))
+            .when(s.contains("&") & s.contains("="), _end_to_end(F.array(F.lit("<FORM>")), query_tokens(s, min_digits)))
             .otherwise(raw)
         )
 
     def parsed(s: Column) -> Column:
         value = F.when(s.startswith("{") | s.startswith("["), F.try_parse_json(s))
         whole = bound(value, lambda v: bound(F.schema_of_variant(v), lambda kind: typed(s, v, kind)))
-        return F.when(s != "", F.concat(F.array(F.lit("<BODY>")), whole))
+        return F.when(s != "", _end_to_end(F.array(F.lit("<BODY>")), whole))
 
     return F.coalesce(bound(strip(body), parsed), none)
 
@@ -243,16 +245,22 @@ def body_tokens(body: Column, marks: Marks, min_digits: int, max_len: int) -> Co
 def from_parts(method: Column, url: Column, proto: Column, headers: Column, body: Column, marks: Marks = Marks(), min_digits: int = 6, max_len: int = 4096) -> Column:
     """Token string of a request given by its parts; headers is an array of lines. Nulls count as absent."""
     text = lambda c: F.coalesce(strip(c), F.lit(""))
-    method, url, proto = text(method), text(url), text(proto)
     filled = lambda c: F.when(c == "", "<EMPTY>").otherwise(c)
     none = F.array().cast("array<string>")
-    line = F.concat(F.array(F.lit("<METHOD>"), filled(method)), url_tokens(url, min_digits), F.array(F.lit("<PROT>"), filled(proto), F.lit(marks.eol)))
-    request = F.when((method != "") | (url != "") | (proto != ""), line).otherwise(none)
-    tokens = F.concat(request, F.coalesce(header_tokens(headers, marks, min_digits), none), body_tokens(body, marks, min_digits, max_len))
-    return F.array_join(F.filter(tokens, lambda t: t != ""), " ")
+
+    def request(r: Column) -> Column:
+        method, url, proto = r["method"], r["url"], r["proto"]
+        line = _end_to_end(F.array(F.lit("<METHOD>"), filled(method)), url_tokens(url, min_digits), F.array(F.lit("<PROT>"), filled(proto), F.lit(marks.eol)))
+        return F.when((method != "") | (url != "") | (proto != ""), line).otherwise(none)
+
+    first = bound(F.struct(text(method).alias("method"), text(url).alias("url"), text(proto).alias("proto")), request)
+    tokens = _end_to_end(first, F.coalesce(header_tokens(headers, marks, min_digits), none), body_tokens(body, marks, min_digits, max_len))
+    return F.array_join(F.array_remove(tokens, ""), " ")
 
 
 _PARTS = ("method", "url", "proto")
+#: A text without any of these has no tagged section.
+_TAGGED = "<(?:METHOD|URL|PROT|HDR|BODY)>"
 
 
 def _sections(ls: Column) -> Column:
@@ -285,28 +293,42 @@ def structured(c: Column, marks: Marks = Marks(), min_digits: int = 6, max_len:
     A text that is a single tag stays as it is. Longer texts than max_len are cut and end in <TRUNC>. Text that is
     neither loses its prose, as a raw request without a blank line has no body.
     """
-    bare = strip(c)
-    text = F.regexp_replace(c, "\r\n?", "\n")
-    long = F.length(text) > max_len
-    text = F.substring(text, 1, max_len)
-    # each list is bound once by a one-element transform, so that it is computed once per row
-    def tagged_or_raw(t: Column) -> Column:
-        s = _sections(lines(t))
-        cut = F.instr(t, "\n\n")
-        head = F.when(cut > 0, F.substr(t, F.lit(1), cut - 1)).otherwise(t)
-        body = F.when(cut > 0, F.substr(t, cut + 2)).otherwise("")
-        solid = F.filter(lines(head), lambda x: strip(x) != "")
-        first = fields(F.coalesce(F.get(solid, F.lit(0)), F.lit("")))
-        word = lambda k: F.when(F.size(first) >= 2, F.coalesce(F.get(first, F.lit(k)), F.lit(""))).otherwise("")
-        rest = F.when(F.size(solid) > 1, F.slice(solid, F.lit(2), F.size(solid))).otherwise(F.array().cast("array<string>"))
-        raw = F.struct(word(0).alias("method"), word(1).alias("url"), word(2).alias("proto"), rest.alias("headers"), strip(body).alias("body"))
-        tagged = F.struct(s["method"].alias("method"), s["url"].alias("url"), s["proto"].alias("proto"), s["headers"].alias("headers"), strip(F.array_join(s["body"], "\n")).alias("body"))
-        return F.when(s["seen"], tagged).otherwise(raw)
-
-    parts = F.transform(F.array(text), tagged_or_raw)
-    out = F.get(F.transform(parts, lambda p: from_parts(p["method"], p["url"], p["proto"], p["headers"], p["body"], marks, min_digits, max_len)), F.lit(0))
-    out = F.when(long, F.trim(F.concat(out, F.lit(" <TRUNC>")))).otherwise(out)
-    return F.when(c.isNull(), "").when(bare.rlike(r"^<[^>]+>\z"), bare).otherwise(out)
+    parted = lambda text: bound(_parts(text), lambda p: from_parts(*(p[k] for k in (*_PARTS, "headers", "body")), marks, min_digits, max_len))
+
+    def shown(text: Column) -> Column:
+        cut = lambda out: F.when(F.length(text) > max_len, F.trim(F.concat(out, F.lit(" <TRUNC>")))).otherwise(out)
+        return bound(bound(F.substring(text, 1, max_len), parted), cut)
+
+    def whole(c: Column) -> Column:
+        out = bound(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), shown)
+        return F.when(c.isNull(), "").otherwise(bound(strip(c), lambda bare: F.when(bare.rlike(r"^<[^>]+>\z"), bare).otherwise(out)))
+
+    return bound(c, whole)
+
+
+def _parts(text: Column) -> Column:
+    """Struct of method, url, proto, headers and body. What is used more than once is bound, so that a row's lines are cut and read once."""
+    none = F.array().cast("array<string>")
+    word = lambda first, k: F.when(F.size(first) >= 2, F.coalesce(F.get(first, F.lit(k)), F.lit(""))).otherwise("")
+
+    def raw(cut: Column) -> Column:
+        head = F.when(cut > 0, F.substr(text, F.lit(1), cut - 1)).otherwise(text)
+        body = strip(F.when(cut > 0, F.substr(text, cut + 2)).otherwise(""))
+
+        def request(solid: Column) -> Column:
+            rest = F.when(F.size(solid) > 1, F.slice(solid, F.lit(2), F.size(solid))).otherwise(none)
+            named = lambda first: F.struct(*(word(first, k).alias(p) for k, p in enumerate(_PARTS)), rest.alias("headers"), body.alias("body"))
+            return bound(fields(F.coalesce(F.get(solid, F.lit(0)), F.lit(""))), named)
+
+        return bound(F.filter(lines(head), lambda x: x.rlike(f"[^{BLANK}]")), request)
+
+    raw_parts = bound(F.instr(text, "\n\n"), raw)
+
+    def tagged(s: Column) -> Column:
+        body = strip(F.array_join(s["body"], "\n"))
+        return F.when(s["seen"], F.struct(*(s[p].alias(p) for p in _PARTS), s["headers"].alias("headers"), body.alias("body")))
+
+    return F.coalesce(F.when(text.rlike(_TAGGED), bound(_sections(lines(text)), tagged)), raw_parts)
 
 
 def is_request(df: DataFrame) -> bool:

@@ -7,18 +7,30 @@ character is a letter, a number or an underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"\p{Z}\t-\r\x1c-\x1f\x85"
+#: The same one by one, for functions that take characters in place of a class.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Word edges: nothing of a word before, nothing of a word behind.
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of c with c worked out once; inside lambdas Catalyst shares no common parts.
+
+    element_at keeps the type that it gives; get works it out for every row, down through all that is bound within.
+    """
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def strip(c: Column) -> Column:
     """Without blanks at either end."""
-    return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -28,14 +40,15 @@ def lower_ascii(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines of a text, at every kind of line break; a break at the end opens no further line."""
-    parts = F.split(c, "\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]")
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # the usual break by itself, as a pattern of more is compiled for every text
+    odd = c.rlike(r"[\x0b-\r\x1c-\x1e\x85\u2028\u2029]")
+    return bound(F.when(odd, F.split(c, "\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]")).otherwise(F.split(c, "\n")), whole)
 
 
 def fields(c: Column) -> Column:
     """Blank-separated pieces, none empty."""
-    return F.filter(F.split(c, rf"[{BLANK}]+"), lambda x: x != "")
+    return F.regexp_extract_all(c, F.lit(f"[^{BLANK}]+"), F.lit(0))
 
 
 def first_filled(*cs: Column) -> Column:
