@@ -106,3 +106,11 @@ def test_a_request_is_cut_and_read_once(spark):
 def test_headers_by_their_first_colon(spark):
     got = one(spark, "GET / HTTP/1.1\n : a\n:b\n\u2003X-Y :\u00a0c:d\u3000\nnone", httpstruct.structured)
     assert got == "<METHOD> GET <URL> / <PROT> HTTP/1.1 <EOL> <HDR> <EMPTY> <SEP> a <EOL> <HDR> x-y <SEP> c:d <EOL>"
+
+
+def test_characters_of_odd_texts(spark):
+    """Nulls and empty texts have none, one beyond 16 bits is one; no text is laid out as an array of its characters."""
+    df = spark.createDataFrame([(None,), ("",), ("aba\n\t",), ("\U0001f600é\x00",)], "text string").repartition(2)
+    found = mining.characters(df, also="~a")
+    assert [r.ch for r in found.collect()] == sorted({*"ab\n\té\x00~", "\U0001f600"})
+    assert "regexp_extract_all" not in found._jdf.queryExecution().analyzed().toString()

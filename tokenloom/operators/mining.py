@@ -7,7 +7,9 @@ enumerated once per distinct segment and weighted by its count. Both aggregation
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +77,16 @@ def tags(df: DataFrame, text: str = "text", min_freq: int = 1, most: int = MOST_
 
 def characters(df: DataFrame, text: str = "text", also: str = "") -> DataFrame:
     """Distinct characters of all texts and of `also`, sorted."""
-    per_row = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[\s\S]"), F.lit(0)))
-    found = df.select(F.explode(per_row).alias("ch"))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a set takes in a text at once; as rows in the JVM every character of it would be a string of its own
+        chars: set[str] = set()
+        for batch in batches:
+            for given in batch.column(0):
+                chars.update(given.as_py() or "")
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(chars), pa.string())], names=["ch"])
+
+    found = df.select(F.col(text).cast("string").alias("text")).mapInArrow(seen, "ch string")
     if also:
         extra = F.explode(F.array(*(F.lit(c) for c in sorted(set(also)))))
         found = found.unionByName(df.sparkSession.range(1).select(extra.alias("ch")))
