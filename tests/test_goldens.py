@@ -114,3 +114,10 @@ def test_characters_of_odd_texts(spark):
     found = mining.characters(df, also="~a")
     assert [r.ch for r in found.collect()] == sorted({*"ab\n\té\x00~", "\U0001f600"})
     assert "regexp_extract_all" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_authorities_and_triplets_in_one_pass(spark):
+    """A port follows a whole name, from its beginning; a lone percent sign parts nothing."""
+    rules = lambda c: hygiene.percent_normalized(hygiene.replaced(c, (hygiene.AUTHORITY_PORT, "$1<PORT>")))
+    assert one(spark, "a.b:80/ 1:2:80 x:1234567/ :80/ %%2fz %zz%", rules) == "a.b:<PORT>/ 1:2:<PORT> x:1234567/ :80/ %%2F z %zz%"
+    assert "++:" in hygiene.AUTHORITY_PORT  # a name without a port is tried once, not once for each of its letters

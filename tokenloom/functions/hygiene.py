@@ -45,7 +45,9 @@ BASE64 = (
 PORT = rf":(?<!{_N}:)[0-9]{{1,5}}(?!{_N})"
 VERSION = rf"{_NUM_START}(?<!{_N}){_N}+\.(?:{_N}+\.){{0,2}}{_N}+(?!{_N})"
 #: The four odd letters are those that fold to ASCII letters when case is ignored.
-AUTHORITY_PORT = rf"((?:[.\-A-Za-z0-9\u017f\u212a\u0130\u0131])+:)[0-9]{{1,5}}(?=[/{BLANK}])"
+#: A match begins where a run of them does, and the run goes up to the colon, so nothing is tried again from within it.
+_NAME = r"[.\-A-Za-z0-9\u017f\u212a\u0130\u0131]"
+AUTHORITY_PORT = rf"((?<!{_NAME}){_NAME}++:)[0-9]{{1,5}}(?=[/{BLANK}])"
 HOST_PORT = rf"(?dm)^([Hh][Oo][Ss\u017f][Tt]:[{BLANK}]*[^:{BLANK}]+:)[0-9]{{1,5}}[{BLANK}]*$"
 
 Rule = tuple[str, str]
@@ -74,7 +76,7 @@ def bucketed(c: Column, min_digits: int = 6) -> Column:
 
 def percent_normalized(c: Column) -> Column:
     """%hh in capitals, and a space between it and a letter or digit that follows."""
-    pieces = F.regexp_extract_all(c, F.lit(rf"%{_X}{{2}}|(?:(?!%{_X}{{2}})[\s\S])+"), F.lit(0))
+    pieces = F.regexp_extract_all(c, F.lit(rf"%{_X}{{2}}|[^%]+|%"), F.lit(0))
     raised = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^%{_X}{{2}}\z"), F.upper(p)).otherwise(p)), "")
     spaced = F.regexp_replace(raised, "(%[0-9A-F]{2})(?=[0-9A-Za-z])", "$1 ")
     return F.when(c.contains("%"), spaced).otherwise(c)
