@@ -158,3 +158,28 @@ def test_a_round_makes_many_merges(spark, monkeypatch, most_parts, size):
     assert len(rounds) < len(want[0][1]) // (10 if most_parts > 40 else 1)
     if most_parts > 40:
         assert baselines.wordpiece(counts, size, 2) == want[1]
+
+
+@pytest.mark.parametrize("least", [1e-280, 1e-3, 2.0])
+def test_uses_in_lattices_equal_written_out_segmentations(spark, monkeypatch, least):
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(1, 9))) for _ in range(80)}
+    counted = [(w, rng.randint(1, 9)) for w in sorted(words)]
+    pieces = [*"abé\U0001f600", "ab", "ba", "aba", "béa", "bb", "aaé\U0001f600", "gone"]
+    weight = {t: rng.random() + 0.01 for t in pieces} | {"bb": 0.0}
+    monkeypatch.setattr(baselines, "LATTICE_LETTERS", 90)
+    monkeypatch.setattr(baselines, "LEAST_ODDS", least)
+    total, want = sum(weight.values()), Counter()
+    for w, n in counted:
+        odds = [(math.prod(weight[p] / total for p in cut), cut) for cut in segmentations(w) if all(weight.get(p) for p in cut)]
+        for p, cut in odds:
+            for piece in cut:
+                want[piece] += n * p / sum(p for p, _ in odds)
+    lattices = baselines._lattices(spark.createDataFrame(counted, "word string, n bigint"), pieces)
+    rows = lattices.collect()
+    assert len(rows) > 3
+    into = baselines.np.zeros(len(pieces))
+    for row in rows:
+        baselines.lattice_uses(*(baselines.np.frombuffer(x, kind) for x, kind in zip(row, baselines._LATTICE.values())), baselines.np.array([weight[t] / total for t in pieces]), into)
+    got = dict(zip(pieces, into))
+    assert all(abs(got[t] - want[t]) < 1e-9 * (1 + want[t]) for t in pieces)

@@ -24,6 +24,8 @@ from tokenloom.sources.shared import dropped, settled
 MOST_WORDS = 400_000
 #: Distributed merging: parts of words that come to the driver in a round, words of a first task, pairs that a task holds before it gives them out.
 MOST_PARTS, TASK_WORDS, HELD_PAIRS = 200_000, 50_000, 1_000_000
+#: Unigram: letters whose lattices are laid out together.
+LATTICE_LETTERS = 100_000
 
 
 def words(c: Column) -> Column:
@@ -353,19 +355,20 @@ def _word_encoder(word_ids):
 def unigram(counts: DataFrame, size: int, longest: int = 16, seeds: int = 100_000, rounds: int = 2, shrink: float = 0.75) -> dict[str, float]:
     """Log probabilities of `size` pieces, specials included: EM over segmentations, the least used pieces pruned.
 
-    Seeds are the `seeds` substrings of most frequency times length, and all characters. Each word's lattice is laid out
-    once, as the numbers of the pieces that end at each place, and stored; words stay distributed, and what comes to the
-    driver is one number per piece and round.
+    Seeds are the `seeds` substrings of most frequency times length, and all characters. The lattices of many words are laid
+    out together once and stored; words stay distributed, and what comes to the driver is one number per piece and round.
     """
     spark = counts.sparkSession
-    counts, words_path = settled(counts.select("word", "n"))
+    counted, counted_path = settled(counts.select("word", "n"))
+    counts, words_path = settled(counted.repartition(min(10_000, -(-counted.count() // TASK_WORDS) or 1), "word"))
+    dropped(spark, counted_path)
     subs = spans(counts.withColumnRenamed("word", "piece"), 1, longest).groupBy("token").agg(F.sum("n").alias("n"))
     subs, subs_path = settled(subs.where((F.length("token") == 1) | (F.col("n") > 1)))
     chars = {r.token: r.n for r in subs.where(F.length("token") == 1).collect()}
     multi = subs.where(F.length("token") > 1).orderBy(F.desc(F.col("n") * F.length("token")), "token").limit(seeds)
     weight = {**{r.token: float(r.n) for r in multi.collect()}, **{c: float(n) for c, n in chars.items()}}
     pieces = list(weight)
-    lattices, lattices_path = settled(_lattices(counts, pieces, longest))
+    lattices, lattices_path = settled(_lattices(counts, pieces))
     try:
         goal = size - len(SPECIALS)
         while True:
@@ -386,21 +389,101 @@ def unigram(counts: DataFrame, size: int, longest: int = 16, seeds: int = 100_00
     return {**{s: 0.0 for s in SPECIALS}, **{t: math.log(weight[t] / total) for t in ranked}}
 
 
-def _lattices(counts: DataFrame, pieces: list[str], longest: int) -> DataFrame:
-    """Rows (size, n, arcs): for each end of a word, the numbers of the pieces of 1, 2, ... characters before it; -1 for none."""
-    sent = counts.sparkSession.sparkContext.broadcast(pieces)  # bounded by the number of seeds
+def _trie(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A trie in arrays: its steps as numbers of node and character in order, of which the one at place i leads to node i + 1, and the piece of each node, -1 for none."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
+    first, at = np.cumsum(lengths) - lengths, np.zeros(len(pieces), np.int64)
+    keys, nodes = [np.zeros(0, np.int64)], 1
+    for k in range(int(lengths.max(initial=0))):
+        own = np.flatnonzero(lengths > k)
+        found, which = np.unique(at[own] << 21 | chars[first[own] + k], return_inverse=True)
+        at[own] = nodes + which
+        keys.append(found)
+        nodes += len(found)
+    # nodes are numbered length by length and in order of their keys, so that all keys are in order
+    names = np.full(nodes, -1, np.int32)
+    names[at] = np.arange(len(pieces))
+    return np.concatenate(keys), names
+
+
+def _lattices(counts: DataFrame, pieces: list[str]) -> DataFrame:
+    """Rows of many words, the longest first: sizes and n of the words and their lattices, in bytes.
+
+    A node is a place in a word; nodes are numbered place by place, and word by word within a place. Pieces are grouped by
+    the place where they end and their length: `groups` has both, and how many words have such a piece, `piece` their
+    numbers, and `words` which words; -1 stands for all words that reach the place, of which those without a piece have the
+    number after the last piece.
+    """
+    sent = counts.sparkSession.sparkContext.broadcast(_trie(pieces))  # bounded by the number of seeds
+
+    def laid_out(ws: list[tuple[str, int]]) -> pa.RecordBatch:
+        (keys, names), none = sent.value, len(pieces)
+        ws.sort(key=lambda w: -len(w[0]))
+        sizes = np.fromiter((len(w) for w, _ in ws), np.int32, len(ws))
+        chars = np.frombuffer("".join(w for w, _ in ws).encode("utf-32-le"), np.uint32).astype(np.int64)
+        base = _places(sizes)
+        word = np.repeat(np.arange(len(ws)), sizes)
+        ends = np.cumsum(sizes.astype(np.int64))[word]
+        start, at, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        k = 0
+        while len(start):
+            code = at << 21 | chars[start + k]
+            place = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+            known = keys[place] == code
+            start, at, k = start[known], place[known] + 1, k + 1
+            named = names[at] >= 0
+            own = start[named]
+            before = sizes[word[own]] - (ends[own] - own)
+            found.append(((before + k) << 20 | k, word[own], names[at[named]]))
+            more = start + k < ends[start]
+            start, at = start[more], at[more]
+        ends_at, which, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((which, ends_at))
+        ends_at, which, piece = ends_at[order], which[order], piece[order]
+        first = np.flatnonzero(np.append(True, ends_at[1:] != ends_at[:-1]))
+        groups, some, all_pieces = [], [np.zeros(0, np.int64)], []
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(piece)]):
+            place, k = divmod(int(ends_at[a]), 1 << 20)
+            reach = int(base[place + 1] - base[place])
+            if 3 * (z - a) < reach:
+                groups.append((place, k, z - a))
+                some.append(which[a:z])
+                all_pieces.append(piece[a:z])
+            else:
+                groups.append((place, k, -1))
+                dense = np.full(reach, none, np.int32)
+                dense[which[a:z]] = piece[a:z]
+                all_pieces.append(dense)
+        parts = (sizes, np.array([n for _, n in ws]), np.array(groups), np.concatenate(some), np.concatenate(all_pieces))
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(parts, _LATTICE.values())], names=list(_LATTICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(sent.value)}
+        # long words are laid out among themselves, for each place takes a step
+        held: dict[bool, list[tuple[str, int]]] = {False: [], True: []}
+        letters = {False: 0, True: 0}
         for batch in batches:
-            ws = batch.column(0).to_pylist()
-            arcs = []
-            for w in ws:
-                wide = min(longest, len(w))
-                arcs.append([number.get(w[e - k : e], -1) if k <= e else -1 for e in range(1, len(w) + 1) for k in range(1, wide + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(len, ws)), pa.int32()), batch.column(1), pa.array(arcs, pa.list_(pa.int32()))], names=["size", "n", "arcs"])
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                long = len(w) > 32
+                held[long].append((w, n))
+                letters[long] += len(w)
+                if letters[long] >= LATTICE_LETTERS:
+                    yield laid_out(held[long])
+                    held[long], letters[long] = [], 0
+        for ws in held.values():
+            if ws:
+                yield laid_out(ws)
+
+    return counts.where("word <> ''").mapInArrow(run, ", ".join(f"{c} binary" for c in _LATTICE))
+
+
+_LATTICE = {"sizes": np.int32, "n": np.int64, "groups": np.int32, "words": np.int32, "piece": np.int32}
 
-    return counts.where("word <> ''").mapInArrow(run, "size int, n bigint, arcs array<int>")
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """The first node of each place from 0 to the longest word's end, and the number of nodes; sizes fall."""
+    longest = int(sizes[0])
+    return np.append(0, np.cumsum(np.searchsorted(-sizes, -np.arange(longest + 1), side="right")))
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -432,32 +515,90 @@ def expected_counts(arcs: np.ndarray, n: np.ndarray, logp: np.ndarray, into: np.
         np.add.at(into, arcs[:, ends - 1, k - 1].ravel(), use.ravel())
 
 
+#: A word with a piece of less odds than this is counted by logarithms, lest any product fall under what a float holds.
+LEAST_ODDS = 1e-280
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    for row in zip(*batch.columns):
+        yield [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, _LATTICE.values())]
+
+
+def lattice_uses(sizes: np.ndarray, n: np.ndarray, groups: np.ndarray, words: np.ndarray, piece: np.ndarray, prob: np.ndarray, into: np.ndarray) -> None:
+    """Adds to `into` the expected uses of each piece over the words of a lattice, n times each."""
+    base, p = _places(sizes).tolist(), np.append(prob, 0.0)[piece]
+    last = np.array(base)[sizes] + np.arange(len(sizes))
+    forward, backward = np.zeros(base[-1]), np.zeros(base[-1])
+    forward[: len(sizes)] = 1.0
+    through, uses = np.empty(len(p)), np.empty(len(p))
+    steps, a, b = [], 0, 0
+    for place, k, count in groups.reshape(-1, 3).tolist():
+        start, end = base[place - k], base[place]
+        if count < 0:
+            z = a + base[place + 1] - end
+            start, end = slice(start, start + z - a), slice(end, end + z - a)
+        else:
+            z = a + count
+            start, end, b = start + words[b : b + count], end + words[b : b + count], b + count
+        through[a:z] = forward[start] * p[a:z]
+        forward[end] += through[a:z]
+        steps.append((start, end, a, z))
+        a = z
+    backward[last] = n / np.maximum(forward[last], LEAST_ODDS)
+    for start, end, a, z in reversed(steps):
+        behind = backward[end]
+        np.multiply(through[a:z], behind, out=uses[a:z])
+        backward[start] += p[a:z] * behind
+    low = np.flatnonzero(((through < LEAST_ODDS) | (uses < LEAST_ODDS)) & (p > 0))
+    if len(low):
+        node = np.concatenate([np.arange(base[-1])[end] for _, end, _, _ in steps])
+        back = np.repeat(groups[1::3], [z - a for _, _, a, z in steps])
+        place = np.searchsorted(base, node, side="right") - 1
+        word = node - np.array(base)[place]
+        chosen = np.unique(word[low])
+        own = np.flatnonzero(np.isin(word, chosen))
+        uses[own] = 0.0
+        own = own[piece[own] < len(prob)]
+        _add_by_logs(chosen, sizes, n, word[own], place[own], back[own], piece[own], prob, into)
+    into += np.bincount(piece, uses, minlength=len(into) + 1)[:-1]
+
+
+def _add_by_logs(chosen: np.ndarray, sizes: np.ndarray, n: np.ndarray, word: np.ndarray, place: np.ndarray, back: np.ndarray, piece: np.ndarray, prob: np.ndarray, into: np.ndarray) -> None:
+    """The same for chosen words, by logarithms. word, place and back: of each piece in them, its word, the place of its end and its length."""
+    with np.errstate(divide="ignore"):
+        logp = np.append(np.log(prob), -np.inf)
+    sums = np.zeros(len(prob) + 1)
+    row = np.full(len(sizes), -1)
+    row[chosen] = np.arange(len(chosen))
+    own = np.argsort(row[word], kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(row[word[own]], minlength=len(chosen))))
+    a = 0
+    while a < len(chosen):  # sizes fall, so words of one size stand together
+        size, wide = int(sizes[chosen[a]]), int(back[own].max())
+        z = min(int(np.searchsorted(-sizes[chosen], -size, side="right")), a + max(1, 500_000 // (size * wide)))
+        at = own[ends[a] : ends[z]]
+        dense = np.full((z - a, size, min(size, wide)), -1)
+        dense[row[word[at]] - a, place[at] - 1, back[at] - 1] = piece[at]
+        expected_counts(dense, n[chosen[a:z]].astype(float), logp, sums)
+        a = z
+    into += sums[:-1]
+
+
 def _e_step(lattices: DataFrame, pieces: list[str], weight: dict[str, float]) -> dict[str, float]:
     total = sum(weight.values())
-    logp = np.full(len(pieces) + 1, -np.inf)
-    for i, t in enumerate(pieces):
-        if weight.get(t, 0.0) > 0:
-            logp[i] = math.log(weight[t] / total)
-    sent = lattices.sparkSession.sparkContext.broadcast(logp)  # bounded by the number of seeds
+    prob = np.array([weight.get(t, 0.0) / total for t in pieces])
+    sent = lattices.sparkSession.sparkContext.broadcast(prob)  # bounded by the number of seeds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = np.zeros(len(sent.value))
         for batch in batches:
-            sizes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flat, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
-            for size in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == size)
-                width = int(ends[rows[0]] - (ends[rows[0] - 1] if rows[0] else 0))
-                step = max(1, 500_000 // width)
-                for at in range(0, len(rows), step):
-                    own = rows[at : at + step]
-                    arcs = flat[(ends[own] - width)[:, None] + np.arange(width)].reshape(len(own), size, width // size)
-                    expected_counts(arcs, n[own].astype(float), sent.value, into)
-        used = np.flatnonzero(into[:-1])
+            for lattice in _read(batch):
+                lattice_uses(*lattice, sent.value, into)
+        used = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(into[used])], names=["piece", "w"])
 
-    sums = lattices.mapInArrow(run, "piece int, w double").groupBy("piece").agg(F.sum("w").alias("w"))
-    return {pieces[r.piece]: r.w for r in sums.collect()}
+    sums = lattices.mapInArrow(run, "piece int, w double").groupBy("piece").agg(F.sum("w").alias("w")).toArrow()
+    return {pieces[i]: w for i, w in zip(sums["piece"].to_pylist(), sums["w"].to_pylist())}
 
 
 def _m_step(expected: dict[str, float], chars: dict[str, int]) -> dict[str, float]:
