@@ -398,3 +398,15 @@ def test_no_query_lacks_a_check():
     from tokenloom.queries import ORACLES
 
     assert set(QUERIES) - set(ORACLES) == {"encode_greedy", "bpe_merges", "wordpiece_vocab", "unigram_vocab", "vocabulary_topk"}
+
+
+def test_few_longer_tokens_are_looked_for_in_whole_batches(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(WordEncoder, "greedy", lambda *_: pytest.fail("went word by word"))
+    for _ in range(100):
+        vocab = {"".join(rng.choices("ab\0é\U0001f600", k=rng.randint(1, 5))): k + 2 for k in range(rng.randint(6, 20))}
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("ab\0é\U0001f600", k=rng.randint(0, 60))) for _ in range(rng.randint(0, 5))]
+        assert WordEncoder(vocab)(pa.array(texts, pa.string())).to_pylist() == [None if t is None else greedy(t, vocab) for t in texts]
+    vocab = {"a": 2, "aa": 3, "ab": 4, "ba": 5, "aab": 6, "bb": 7}
+    for text in ("a" * 4001, "ab" * 2000, "aabba" * 900):
+        assert WordEncoder(vocab)(pa.array([text])).to_pylist() == [greedy(text, vocab)]

@@ -1,8 +1,7 @@
 """Greedy longest-match encoding by a dictionary, and decoding.
 
 The dictionary becomes one regular expression, a trie of optional tails; leftmost matches of it are the longest ones.
-Encoding by a small dictionary is then regexp_extract_all and a map lookup in the JVM. A literal map is searched from its
-beginning, so larger dictionaries are looked up by distinct word in an Arrow function, with the same ids.
+Ids are looked up in an Arrow function: by distinct word, or for dictionaries of few longer tokens over whole batches at once.
 The dictionary is bounded by the vocabulary size and does not grow with the data.
 """
 
@@ -73,18 +72,13 @@ def trie_tokens(text: Column, vocab: Mapping[str, int]) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{pattern}|[\\s\\S]" if pattern else r"[\s\S]"), F.lit(0))
 
 
-#: Up to so many tokens are looked up in a literal map in the JVM, whose price grows with the map; the ids are the same either way.
-MAPPED = 64
+#: Up to so many tokens of two characters or more are looked for one by one, all over a batch; the ids are the same either way.
+FEW = 64
 
 
 def encoded(text: Column, vocab: Mapping[str, int], unk: str = "[UNK]") -> Column:
     """Ids of a text. An unknown character becomes the id of `unk`, 1 if the vocabulary lacks it; null gives null."""
-    if len(vocab) > MAPPED:
-        return encoded_arrow(vocab, unk)(text)
-    ids = _lowest(vocab)
-    lookup = F.map_from_arrays(F.lit(list(ids)), F.lit(list(ids.values()))) if ids else F.create_map().cast("map<string,int>")
-    unknown = F.lit(int(vocab.get(unk, 1)))
-    return F.transform(trie_tokens(text, vocab), lambda t: F.coalesce(F.try_element_at(lookup, t), unknown))
+    return encoded_arrow(vocab, unk)(text)
 
 
 def _lowest(vocab: Mapping[str, int]) -> dict[str, int]:
@@ -95,8 +89,7 @@ class WordEncoder:
     """Greedy encoding word by word, each distinct word once.
 
     A text is cut behind the characters that no longer token holds, where greedy matches can't run across. Words and their
-    ids are remembered up to `kept` characters. Texts without any longer token, where few are to be looked for, go
-    character by character.
+    ids are remembered up to `kept` characters. Where there are few longer tokens, each is looked for in all texts at once.
     """
 
     def __init__(self, vocab: Mapping[str, int], unk: str = "[UNK]", kept: int = 2_000_000) -> None:
@@ -105,8 +98,8 @@ class WordEncoder:
         cuts = [ch for ch in " \t\n\r,;.:!?()<>[]{}\"'=&/#%|-_" if ch not in inside]
         at = re.escape("".join(cuts))
         self.pieces = re.compile(f"[^{at}]+[{at}]?|[{at}]").findall if cuts else lambda text: [text] if text else []
-        self.longer = [token for token in self.ids if len(token) > 1]
-        self.single = np.full(0x110000 if len(self.longer) <= 4 else 0, self.unknown, np.int32)
+        self.longer = sorted((token for token in self.ids if len(token) > 1), key=len)
+        self.single = np.full(0x110001 if len(self.longer) <= FEW else 0, self.unknown, np.int32)
         for token, number in self.ids.items():
             if len(token) == 1 and len(self.single):
                 self.single[ord(token)] = number
@@ -155,15 +148,36 @@ class WordEncoder:
             self.used += len(ids)
             self.letters += len(word)
 
-    def __call__(self, texts: pa.Array) -> pa.Array:
+    def few(self, texts: pa.Array) -> pa.Array:
         absent = texts.is_null().to_numpy(zero_copy_only=False)
+        given = [t or "" for t in texts.to_pylist()]
+        most = len(self.longer[-1]) if self.longer else 1
+        chars = np.frombuffer(("\0".join(given) + "\0" * most).encode("utf-32-le"), np.uint32).copy()
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in given), np.int64, len(given)))
+        # behind each text stands what is no character, so that no token runs across
+        chars[ends - 1] = 0x110000
+        chars[len(chars) - most :] = 0x110000
+        ids, size = self.single[chars], np.zeros(len(chars), np.int32)
+        heads = {ch: np.flatnonzero(chars == ord(ch)) for ch in {token[0] for token in self.longer}}
+        named = ids.copy() if self.longer else ids
+        for token in self.longer:
+            at = heads[token[0]]
+            for k in range(1, len(token)):
+                at = at[chars[at + k] == ord(token[k])]
+            size[at], named[at] = len(token), self.ids[token]
+        chosen = _from_the_left(np.flatnonzero(size), size)
+        ids[chosen] = named[chosen]
+        kept = chars != 0x110000
+        for k in range(1, most):
+            kept[chosen[size[chosen] > k] + k] = False
+        counts = np.add.reduceat(kept, np.append(0, ends[:-1]), dtype=np.int64) if len(given) else np.zeros(0, np.int64)
+        upto = np.append(0, np.cumsum(counts)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32(), mask=np.append(absent, False)), pa.array(ids[kept], pa.int32()))
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
         if len(self.single):
-            given = [t or "" for t in texts.to_pylist()]
-            joined = "".join(given)
-            if not any(token in joined for token in self.longer):
-                upto = np.cumsum([0, *map(len, given)]).astype(np.int32)
-                ids = self.single[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-                return pa.ListArray.from_arrays(pa.array(upto, pa.int32(), mask=np.append(absent, False)), pa.array(ids, pa.int32()))
+            return self.few(texts)
+        absent = texts.is_null().to_numpy(zero_copy_only=False)
         split = [[] if t is None else self.pieces(t) for t in texts.to_pylist()]
         flat = [w for ws in split for w in ws]
         self.learn(flat)
@@ -175,6 +189,25 @@ class WordEncoder:
         return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32), pa.int32(), mask=np.append(absent, False)), pa.array(ids, pa.int32()))
 
 
+def _from_the_left(starts: np.ndarray, size: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Of matches that may overlap, those that are left when each takes its place from the left."""
+    chosen = [starts[:0]]
+    for _ in range(rounds):
+        if not len(starts):
+            break
+        ends = starts + size[starts]
+        free = np.append(True, starts[1:] >= np.maximum.accumulate(ends)[:-1])
+        chosen.append(starts[free])
+        left = ~free & (starts >= ends[free][np.cumsum(free) - 1])
+        starts = starts[left]
+    upto, rest = 0, []
+    for start, end in zip(starts.tolist(), (starts + size[starts]).tolist()):  # long chains, as of aa in aaaa
+        if start >= upto:
+            rest.append(start)
+            upto = end
+    return np.concatenate([*chosen, np.array(rest, np.int64)])
+
+
 def slices(texts: pa.Array, rows: int = 512, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Start and length of slices of some `size` bytes and at most `rows` texts; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
