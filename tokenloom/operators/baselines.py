@@ -22,7 +22,7 @@ from tokenloom.operators.mining import SPECIALS, spans
 from tokenloom.sources.shared import dropped, settled
 
 MOST_WORDS = 400_000
-#: Distributed merging: parts of words that come to the driver in a round, words of a first task, pairs that a task holds before it gives them out.
+#: Distributed merging: parts of words that come to the driver in a round, words of a first task (of Unigram too), pairs that a task holds before it gives them out.
 MOST_PARTS, TASK_WORDS, HELD_PAIRS = 200_000, 50_000, 1_000_000
 #: Unigram: letters whose lattices are laid out together.
 LATTICE_LETTERS = 100_000
